@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op3_bpe
+from .html import op10_main_text
 from .neardup import op1_near_duplicates
+from .packing import op9_packing
+from .quality import op7_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_duplicates": op1_near_duplicates}
+    return {f.__name__: f for f in (op1_near_duplicates, op3_bpe, op7_quality, op9_packing, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
