@@ -9,7 +9,8 @@ concentration bounds, as coordinates come from one nearly without-replacement sa
 Bands of r coordinates bring together documents, and links are confirmed on full sets. All pairs of a bucket
 are never emitted: documents with one set are one node; a bucket first links its members to its leader; and
 only members that are still in different components meet in further rounds, first through one representative
-of each component and last through every pair that could still join two components.
+of each component and last through every pair that could still join two components: a set that holds too many
+shingles of its own can link with nothing, which spares the many pairs of heavily edited copies of one text.
 """
 
 from __future__ import annotations
@@ -95,6 +96,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([b.column(0), pa.array([np.frombuffer(x.as_py(), np.int64) for x in b.column(1)], pa.list_(pa.int64()))], ["node", "shingle"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -129,6 +135,23 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return ab.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long").distinct()
 
 
+def _able(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of buckets that may still have a link to another component, with their count of shared shingles.
+
+    A link needs 7 * |a and b| >= 3 * (|a| + |b|), and what two sets share is among the shingles that either
+    shares with any set here. So an edited copy whose own shingles are too many can link with nothing.
+    """
+    nodes = placed.select("node").distinct()
+    each = sets.join(nodes, "node", "left_semi").mapInArrow(_numbers, "node long, shingle array<long>").select("node", F.explode("shingle").alias("shingle"))
+    single = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    rows = saved(placed.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"))
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "bucket").filter("28 * shared >= 3 * (4 * n + greatest(4 * least, 3 * n))").drop("least")
+    mixed = rows.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
+    return rows.join(mixed, "bucket")
+
+
 def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text, ...).
 
@@ -161,14 +184,16 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
         mixed = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
         placed = placed.join(mixed, "bucket")
         last = step == rounds
+        if last:
+            placed = saved(_able(saved(placed), sets))
         if not last:  # each component of a bucket is spoken for by one member, another one each time
             pick = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n"))
             reps = placed.groupBy("bucket", "part").agg(pick.alias("r")).select("bucket", "part", "r.node", "r.n")
             one = reps.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("part", F.lit(step)).alias("h"), "part", "node", "n")).alias("r")).select("bucket", F.col("r.part").alias("q"), F.col("r.node").alias("other"), F.col("r.n").alias("m"))
             pairs = reps.join(one, "bucket").filter("part <> q")
         else:
-            placed = saved(placed)
-            pairs = placed.join(placed.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("q")), "bucket").filter("part < q")
+            other = placed.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("shared").alias("t"))
+            pairs = placed.join(other, "bucket").filter("part < q and 7 * least(shared, t) >= 3 * (n + m)")
         pairs = pairs.filter(sizes).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         fresh = saved(pairs.join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
