@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
 from .html import op10_main_text
+from .langid import op6_language
 from .neardup import op1_near_duplicates
+from .ngram import op2_ngram_scores
 from .packing import op9_packing
 from .quality import op7_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op3_bpe, op7_quality, op9_packing, op10_main_text)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_ngram_scores, op3_bpe, op6_language, op7_quality, op9_packing, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
