@@ -10,6 +10,7 @@ from .bpe import op3_bpe
 from .html import op10_main_text
 from .langid import op6_language
 from .neardup import op1_near_duplicates
+from .neighbours import op5_neighbours
 from .ngram import op2_ngram_scores
 from .packing import op9_packing
 from .pii import op8_personal
@@ -18,7 +19,7 @@ from .repeats import op4_repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_ngram_scores, op3_bpe, op4_repeats, op6_language, op7_quality, op8_personal, op9_packing, op10_main_text)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_ngram_scores, op3_bpe, op4_repeats, op5_neighbours, op6_language, op7_quality, op8_personal, op9_packing, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
