@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
@@ -19,8 +20,10 @@ from .repeats import op4_repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_ngram_scores, op3_bpe, op4_repeats, op5_neighbours, op6_language, op7_quality, op8_personal, op9_packing, op10_main_text)}
+    ops = (op1_near_duplicates, op2_ngram_scores, op3_bpe, op4_repeats, op5_neighbours, op6_language, op7_quality, op8_personal, op9_packing, op10_main_text)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
