@@ -9,8 +9,8 @@ concentration bounds, as coordinates come from one nearly without-replacement sa
 Bands of r coordinates bring together documents, and links are confirmed on full sets. All pairs of a bucket
 are never emitted: documents with one set are one node; a bucket first links its members to its leader; and
 only members that are still in different components meet in further rounds, first through one representative
-of each component and last through every pair that could still join two components: a set that holds too many
-shingles of its own can link with nothing, which spares the many pairs of heavily edited copies of one text.
+of each component and last through all that could still join two components: a set that holds too many shingles of
+its own can link with nothing; of the others, blocks meet blocks, and only links between components are emitted.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import ODD, WordHashes, documents, lower_words_of, mix, saved, stored
 
 WORDS, COORDS, BAND_ROWS = 5, 128, 4
+BLOCK = 1000  # rows of a bucket that meet each other, or those of another block, at once
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 FRACTION = np.uint64(54)  # bits of the fraction; the round stands above it
 
@@ -152,6 +153,71 @@ def _able(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(mixed, "bucket")
 
 
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([b.column(0), pa.array([(np.frombuffer(x.as_py(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b.column(1)], pa.binary())], ["node", "half"])
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, by products of blocks of columns."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = times > 1
+    number = np.cumsum(twice) - 1
+    ok = twice[col]
+    row, col = row[ok], number[col[ok]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(twice.sum()), 4096):
+        a, b = np.searchsorted(col, (low, low + 4096))
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[a:b], col[a:b] - low] = 1
+        out += m @ m.T
+    return out
+
+
+def _cross(key, table):
+    """Of one block of rows against another, in each bucket: for each node and other component, one link."""
+    _, i, j = (k.as_py() for k in key)
+    bucket, node, part, blk = (table.column(c).to_numpy() for c in ("bucket", "node", "part", "blk"))
+    half = table.column("half")
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+    out: set[tuple[int, int]] = set()
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        own = order[low:high]
+        if (part[own] == part[own[0]]).all():
+            continue
+        sets = [np.unique(np.frombuffer(half[int(k)].as_py(), np.uint32)) for k in own]
+        n = np.array([len(x) for x in sets])
+        both = _shared_counts(sets)
+        link = (100 * both >= 75 * (n[:, None] + n[None, :] - both)) & (part[own][:, None] != part[own][None, :])
+        link &= (blk[own] == i)[:, None] & (blk[own] == j)[None, :]
+        seen: set[tuple[int, int]] = set()
+        for x, y in zip(*np.nonzero(link), strict=True):
+            a, b = own[x], own[y]
+            if (node[a], part[b]) not in seen:
+                seen.add((node[a], part[b]))
+                out.add((int(min(node[a], node[b])), int(max(node[a], node[b]))))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _cross_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components that share a bucket. Blocks of a bucket's rows meet in pairs, each pair a group of
+    its own, so that no group holds more than two blocks of a bucket; pairs of nodes are counted within, not emitted.
+    32 bits of each shingle serve here; the links found are confirmed on full sets."""
+    spark = placed.sparkSession
+    deals = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = saved(placed)
+    half = sets.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(_halved, "node long, half binary")
+    blocks = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(blocks, "bucket").withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", "node", "part", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), F.pmod("bucket", F.lit(deals)).alias("deal"))
+    return rows.join(half, "node").groupBy("deal", "i", "j").applyInArrow(_cross, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text, ...).
 
@@ -172,7 +238,6 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
     wanted = buckets.select("node").distinct()
     sets = stored(docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
 
-    sizes = "4 * least(n, m) >= 3 * greatest(n, m)"
     first = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     tried = saved(first)
     # rows that repeat a doc_id with other texts join its classes
@@ -185,21 +250,16 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
         placed = placed.join(mixed, "bucket")
         last = step == rounds
         if last:
-            placed = saved(_able(saved(placed), sets))
-        if not last:  # each component of a bucket is spoken for by one member, another one each time
-            pick = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n"))
-            reps = placed.groupBy("bucket", "part").agg(pick.alias("r")).select("bucket", "part", "r.node", "r.n")
-            one = reps.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("part", F.lit(step)).alias("h"), "part", "node", "n")).alias("r")).select("bucket", F.col("r.part").alias("q"), F.col("r.node").alias("other"), F.col("r.n").alias("m"))
-            pairs = reps.join(one, "bucket").filter("part <> q")
-        else:
-            other = placed.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("shared").alias("t"))
-            pairs = placed.join(other, "bucket").filter("part < q and 7 * least(shared, t) >= 3 * (n + m)")
-        pairs = pairs.filter(sizes).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            fresh = _cross_links(_able(saved(placed), sets), sets).distinct()
+            links = saved(links.union(_verified(saved(fresh), sets)))
+            break
+        # each component of a bucket is spoken for by one member, another one each time
+        pick = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n"))
+        reps = placed.groupBy("bucket", "part").agg(pick.alias("r")).select("bucket", "part", "r.node", "r.n")
+        one = reps.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("part", F.lit(step)).alias("h"), "part", "node", "n")).alias("r")).select("bucket", F.col("r.part").alias("q"), F.col("r.node").alias("other"), F.col("r.n").alias("m"))
+        pairs = reps.join(one, "bucket").filter("part <> q and 4 * least(n, m) >= 3 * greatest(n, m)")
+        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         fresh = saved(pairs.join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if last:
-                break
-            continue
         tried = saved(tried.union(fresh))
         links = saved(links.union(_verified(fresh, sets)))
     final = components(links.union(same))
