@@ -27,7 +27,7 @@ from .common import documents
 WORD_END = "</w>"
 END = "\0"  # stands for it within a word
 #: Entries that a worker keeps of its words and of its arcs before it starts anew; only memory and time depend on it.
-CACHE_WORDS, CACHE_ARCS = 500_000, 1_000_000
+CACHE_WORDS, CACHE_ARCS = 400_000, 1_000_000
 #: The split pattern of the tokenizer's file. Its white space only parts words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -56,6 +56,7 @@ class Automaton:
         self.split = regex.compile(SPLIT)
         self.bytes = byte_chars()
         self.arcs: dict[int, bool] = {}
+        self.words: dict[str, list[int]] = {}
 
     def compile_merges(self, merges: list[tuple[int, int, int]]) -> None:
         """One gadget for each merge, in order. born: -1 for base symbols."""
@@ -142,6 +143,14 @@ class Automaton:
                 label = shorter[label]
         return path
 
+    def word(self, word: str) -> list[int]:
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+            got = self.words[word] = self.encode_word(word)
+        return got
+
     def encode_run(self, run: str) -> list[int]:
         """Ids of text without ASCII white space, special tokens included: normalised, split, encoded."""
         out: list[int] = []
@@ -153,11 +162,15 @@ class Automaton:
                     part = unicodedata.normalize("NFC", part)
                 # one character at a time: a final sigma gets no form of its own
                 part = part.lower() if "Σ" not in part else "".join([c.lower() for c in part])
-                if part.isalpha() and part.isascii():
-                    out += self.encode_word(part)
+                # letters, and letters with one mark behind them, need no pattern
+                core = part[:-1] if part[-1] in ".,!?;:" else part
+                if core.isascii() and core.isalpha():
+                    out += self.word(core)
+                    if core is not part:
+                        out += self.word(part[-1])
                 else:
                     for word in self.split.findall(part):
-                        out += self.encode_word(word)
+                        out += self.word(word)
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -169,13 +182,13 @@ class Automaton:
         return " ".join([self.labels[i] for i in ids])
 
 
-class Runs(dict):
+class Runs:
     """run of a text without white space -> what make(its ids) gives; a worker keeps it for its next tasks."""
 
     kept: dict[tuple[str, str], Runs] = {}
 
     def __init__(self, automaton: Automaton, make: Callable):
-        self.automaton, self.make = automaton, make
+        self.automaton, self.make, self.known = automaton, make, {}
 
     @classmethod
     def of(cls, path: str, kind: str, make: Callable[[Automaton], Callable]) -> Runs:
@@ -184,14 +197,24 @@ class Runs(dict):
             cls.kept[path, kind] = cls(automaton, make(automaton))
         return cls.kept[path, kind]
 
-    def __missing__(self, run: bytes):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        got = self[run] = self.make(self.automaton.encode_run(run.decode()))
-        return got
-
     def parts(self, text: str | None) -> list:
-        return [self[w] for w in text.encode("utf-8", "replace").split()] if text else []
+        if not text:
+            return []
+        runs = text.encode("utf-8", "replace").split()
+        known = self.known
+        got = list(map(known.get, runs))
+        if None in got:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            encode, make = self.automaton.encode_run, self.make
+            for k, part in enumerate(got):
+                if part is None:
+                    run = runs[k]
+                    part = known.get(run)
+                    if part is None:
+                        part = known[run] = make(encode(run.decode()))
+                    got[k] = part
+        return got
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
