@@ -12,7 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_captures(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).format(kind).load(path)
+    """Captures as files arrive. Event times need a zone: times without one are in the session's."""
+    df = spark.readStream.schema(schema).format(kind).load(path)
+    return df.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
 
 
 def deduplicated(captures: DataFrame, keys: list[str], lateness: str = "1 day") -> DataFrame:
