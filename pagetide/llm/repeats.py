@@ -222,6 +222,7 @@ def repeated_spans(docs: DataFrame, with_text: bool = False) -> DataFrame:
     parse = anchors.select("tid", "size", F.inline(F.arrays_zip("gram", "at")))
     place = F.xxhash64("tid", "size", "at")
     twice = parse.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("gram")
+    twice = stored(twice)  # so that both sides of the join are dealt by key, and a frequent phrase's rows can be split
     places = parse.join(twice, "gram").groupBy("tid", "size").agg(F.collect_set("at").alias("places"))
     wanted = places.join(copies, ["tid", "size"])
     same = (docs["tid"] == wanted["tid"]) & (docs["size"] == wanted["size"]) & docs["doc_id"].eqNullSafe(wanted["first"])
