@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import stored
 
 TOKEN = re.compile(r"""<(?:(?P<note>!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z))|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>)""", re.S)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -214,7 +214,7 @@ def main_texts(pages: DataFrame, n_paths: int = PATHS) -> DataFrame:
     votes = votes.groupBy("host", "path").agg(F.sum("share").alias("votes"))
     best = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     ranked = votes.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n_paths)
-    winners = saved(ranked.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths")))
+    winners = stored(ranked.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths")))
     joined = pages.join(winners, "host", "left").select("page_id", "url", "html", "paths")
     return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
