@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, documents, lower_words_of, mix, shared_dir
 
 END = b"\n"  # no word; after each text, and the context of its first word
-TASK_WORDS, TASK_PAIRS = 400_000, 4_000_000  # what a task counts before it sends
+TASK_WORDS, TASK_PAIRS = 400_000, 2_500_000  # what a task counts before it sends
 BLOCK = "part int, keys binary, counts binary"
 
 
