@@ -6,7 +6,7 @@ keeps the columns of documents: doc_id, text, lang, source, n_chars.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetide.llm.bpe import tokenizer_path
@@ -26,28 +26,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; of rows that repeat a doc_id, one."""
+    """One document of each group of near duplicates, the one with the smallest doc_id. Of rows that repeat a doc_id
+    one stays, the first by its columns; rows without doc_id all stay."""
+    docs = docs.select(*COLUMNS)
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    one = docs.join(kept, "doc_id", "left_semi").withColumn("_k", F.row_number().over(first)).filter("_k = 1").select(*COLUMNS)
+    return one.unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 400 bytes that repeat; documents of which no word is left go."""
-    left = repeated_spans(docs, with_text=True).select("doc_id", F.col("kept_text").alias("text"))
-    rest = docs.select("doc_id", "lang", "source").join(left, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
-    return rest.filter(F.length(F.trim("text")) > 0).select(*COLUMNS)
+    left = repeated_spans(docs, with_text=True, carry=("lang", "source")).withColumnRenamed("kept_text", "text")
+    return left.withColumn("n_chars", F.length("text").cast("long")).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with [KIND] in place of personal data; where spans overlap, the first takes the place."""
-    spans = personal_spans(docs).select("doc_id", "spans")
+    found = personal_spans(docs, carry=("text", "lang", "source"))
     text = F.expr("""aggregate(
         array_sort(transform(spans, x -> struct(x.start as start, x.end as end, x.kind as kind))),
         cast(struct(0 as at, '' as out) as struct<at:int,out:string>),
         (a, x) -> if(x.start < a.at, struct(greatest(a.at, x.end) as at, a.out as out), struct(x.end as at, concat(a.out, substr(text, a.at + 1, x.start - a.at), '[', upper(x.kind), ']') as out)),
         a -> concat(a.out, substr(text, a.at + 1)))""")
-    joined = docs.join(spans, "doc_id")
-    return joined.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,9 +97,10 @@ FEATURES = {
 }
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (valid base spans), tried (all candidates with votes and features); one row for each of docs."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def candidates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, base (valid base spans), tried (all candidates with votes and features), own (carried columns); one row for each of docs."""
+    own = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), own.alias("own"))
     has_digit = "text rlike '[0-9]'"
     for kind, p in BASE.items():
         need = f"contains(text, '{NEEDS[kind]}')" if kind in NEEDS else has_digit
@@ -116,7 +117,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("every", F.expr(every))
     cols = ", ".join([f"{e} as v_{k}" for k, e in VOTES.items()] + [f"{e} as f_{k}" for k, e in FEATURES.items()])
     tried = F.expr(f"transform(every, x -> struct(x.kind as kind, x.start as start, x.end as end, x.wide as wide, {cols}))")
-    return docs.select("doc_id", F.expr("transform(base, x -> struct(x.kind as kind, x.start as start, x.end as end))").alias("base"), tried.alias("tried"))
+    return docs.select("doc_id", "own", F.expr("transform(base, x -> struct(x.kind as kind, x.start as start, x.end as end))").alias("base"), tried.alias("tried"))
 
 
 def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[int, ...], float]:
@@ -158,12 +159,13 @@ def classifier(rows: list[Row]) -> tuple[float, dict[str, dict[str, float]]]:
     return math.log(mass[1] / mass[0]), weights
 
 
-def personal_spans(docs: DataFrame) -> DataFrame:
+def personal_spans(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base and spans of every row of docs(doc_id, text, ...): arrays of (kind, start, end), in order.
+    carry: other columns of docs that come along.
 
     A null text counts as empty and has none. Rows that repeat stay rows. Wider candidates never overlap a base span.
     """
-    found = stored(candidates(docs))
+    found = stored(candidates(docs, carry))
     each = found.select(F.explode("tried").alias("x"))
     names = [f"v_{k}" for k in VOTES] + [f"f_{k}" for k in FEATURES]
     # bounded: the number of patterns of votes and features
@@ -186,7 +188,7 @@ def personal_spans(docs: DataFrame) -> DataFrame:
         keyed = F.transform(c, lambda x: F.struct(F.element_at(rank, x["kind"]).alias("r"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
         return F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
-    return found.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", added)).alias("spans"))
+    return found.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", added)).alias("spans"), *[F.col(f"own.{c}").alias(c) for c in carry])
 
 
 def joined(spans: str):

@@ -203,8 +203,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(grams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "tid", "size", "gram", "at"])
 
 
-def repeated_spans(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text, ...); with_text: and kept_text.
+def repeated_spans(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text, ...); with_text: and kept_text;
+    carry: other columns of docs that come along.
 
     Every byte that a 400-byte string covers which also starts anywhere else is removed. A null text counts
     as empty. Rows that repeat are copies of each other, so a long text that stands there twice goes whole, whatever
@@ -214,7 +215,7 @@ def repeated_spans(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select("doc_id", text.alias("text")).withColumns({"tid": F.xxhash64("text"), "size": F.octet_length("text").cast("int")})
+    docs = docs.select("doc_id", text.alias("text"), *[F.col(c).alias(f"own_{c}") for c in carry]).withColumns({"tid": F.xxhash64("text"), "size": F.octet_length("text").cast("int")})
     long = docs.filter(F.col("size") >= LENGTH)
     anchors = stored(long.select("doc_id", "text", "tid", "size").mapInArrow(_anchors, "doc_id long, tid long, size int, gram array<long>, at array<int>"))
     copies = anchors.groupBy("tid", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
@@ -294,6 +295,7 @@ def repeated_spans(docs: DataFrame, with_text: bool = False) -> DataFrame:
         F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", "own_sha")).alias("kept_sha256"),
     ]
+    cols += [F.col(f"own_{c}").alias(c) for c in carry]
     if with_text:
         cols.append(F.when(whole, "").otherwise(F.coalesce("kept", "text")).alias("kept_text"))
     return joined.select(*cols)
