@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ODD, crc_mod, documents, mix
+from .common import ODD, crc_mod, documents, mix, stored
 
 ORDERS, BITS = (1, 2, 3, 4), 15
 #: The bounds of the sample: documents in all, documents of one language, characters of them all.
@@ -98,14 +98,16 @@ class Model:
 def sample_of(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Texts and languages of at most SAMPLE labelled documents outside the fold, those with the smallest hashes of doc_id."""
     labelled = docs.filter("lang is not null and doc_id is not null and text is not null").filter(crc_mod("doc_id", 5) != 0)
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")))
     most = max(1, min(PER_LANG, SAMPLE // max(1, counts.count())))
-    # a language's documents with hashes under 3 * most / n, about three times as many as wanted; then exactly `most`
-    h = F.xxhash64("doc_id").alias("h")
-    near = labelled.join(counts, "lang").select("doc_id", "lang", "text", h, "n").filter((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n") < 3.0 * most)
-    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= most)
+    # a language's documents with hashes under 3 * most / n, about three times as many as wanted; then at most `most`
+    h = F.xxhash64("doc_id")
+    near = labelled.select("doc_id", "lang").join(counts, "lang").filter((h.cast("double") / 2.0**64 + 0.5) * F.col("n") < 3.0 * most).select("doc_id", "lang", h.alias("h")).distinct()
+    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= most)
+    chosen = stored(first.orderBy("k", "lang").limit(SAMPLE))  # at most SAMPLE rows, without texts
+    first = labelled.join(F.broadcast(chosen), ["doc_id", "lang"])
     texts, langs, room = [], [], SAMPLE_CHARS
-    for r in first.orderBy("k", "lang").limit(SAMPLE).select("text", "lang").toLocalIterator():
+    for r in first.orderBy("k", "lang", "text").limit(SAMPLE).select("text", "lang").toLocalIterator():
         if (room := room - len(r["text"])) < 0:
             break
         texts.append(r["text"])
