@@ -22,8 +22,8 @@ from .common import ODD, WordHashes, documents, mix, saved, stored
 
 #: Ratio -> (its expression, whether low values count as bad too, the least range that a fence assumes).
 RATIOS = {
-    "symbols": ("n_symbols / n_words", False, 0.2),
-    "dup_lines": ("n_dup_lines / n_lines", False, 0.1),
+    "symbols": ("n_symbols / n_words", False, 0.1),
+    "dup_lines": ("n_dup_lines / n_lines", False, 0.2),
     "repeats": ("n_repeat_words / n_words", False, 0.1),
     "word_chars": ("word_chars / n_words", True, 0.5),
 }
