@@ -26,8 +26,8 @@ from .common import documents
 
 WORD_END = "</w>"
 END = "\0"  # stands for it within a word
-#: Entries that a worker keeps of its words and of its arcs before it starts anew; only memory and time depend on it.
-CACHE_WORDS, CACHE_ARCS = 400_000, 1_000_000
+#: Entries that a worker keeps of its runs, words and arcs before it starts anew; only memory and time depend on it.
+CACHE_RUNS, CACHE_WORDS, CACHE_ARCS = 600_000, 400_000, 1_000_000
 #: The split pattern of the tokenizer's file. Its white space only parts words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -90,35 +90,44 @@ class Automaton:
                 state, label, until = self.right[state], self.left[label], s - 1
 
     def _index(self) -> None:
-        """trie: every beginning of a label -> the label it is, or -1; shorter: a label's longest proper beginning that is one."""
+        """trie: every beginning of a label -> the longest label that it begins with; shorter: a label's next shorter one."""
         spelled = {(s.removesuffix(WORD_END) + END if s.endswith(WORD_END) else s): i for s, i in self.ids.items() if i not in self.never}
-        self.trie: dict[str, int] = {s[:k]: -1 for s in spelled for k in range(1, len(s) + 1)}
-        self.trie.update(spelled)
+        self.trie: dict[str, int] = {}
         self.size, self.shorter = [0] * len(self.ids), [-1] * len(self.ids)
-        for s, i in spelled.items():
+        for s, i in sorted(spelled.items(), key=lambda x: len(x[0])):
             self.size[i] = len(s)
-            self.shorter[i] = next((t for k in range(len(s) - 1, 0, -1) if (t := self.trie[s[:k]]) >= 0), -1)
+            last = -1
+            for k in range(1, len(s)):
+                last = spelled.get(s[:k], last)
+                if last >= 0:
+                    self.trie.setdefault(s[:k], last)
+            self.shorter[i] = last
+            self.trie[s] = i
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word."""
         chars = (word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode("utf-8", "replace")])) + END
-        whole = self.trie.get(chars, -1)
         n, trie, arcs, shorter, size = len(chars), self.trie.get, self.arcs, self.shorter, self.size
-        path, at, state, dead, label = [], 0, -1, None, -2
-        if whole >= 0 and self.has_arc(-1, whole):
-            return [whole]
+        path, at, state, label = [], 0, -1, -2
+        dead = {n - 1}  # no label is an end alone
         while at < n:
-            if label == -2:  # the longest token from here
-                label, k = -1, at + 1
-                while (node := trie(chars[at:k])) is not None:
-                    if node >= 0:
+            if label == -2:  # the longest label from here; most places have beginnings of three characters
+                k = at + 3
+                label = trie(chars[at:k], -1)
+                if label < 0:
+                    label = trie(chars[at : at + 2], -1)
+                    if label < 0:
+                        label = trie(chars[at], -1)
+                else:
+                    while k < n:
+                        k += 1
+                        node = trie(chars[at:k])
+                        if node is None:
+                            break
                         label = node
-                    if k == n:
-                        break
-                    k += 1
             while label >= 0:
                 to = at + size[label]
-                if dead is None or to not in dead:
+                if to not in dead:
                     if state < 0:
                         break
                     key = state << 20 | label
@@ -134,8 +143,6 @@ class Automaton:
                 path.append(label)
                 at, state, label = to, label, -2
             else:
-                if dead is None:
-                    dead = set()
                 dead.add(at)
                 label = path.pop()
                 at -= size[label]
@@ -201,19 +208,22 @@ class Runs:
         if not text:
             return []
         runs = text.encode("utf-8", "replace").split()
-        known = self.known
+        known, k = self.known, -1
         got = list(map(known.get, runs))
         if None in got:
-            if len(known) > CACHE_WORDS:
+            if len(known) > CACHE_RUNS:
                 known.clear()
             encode, make = self.automaton.encode_run, self.make
-            for k, part in enumerate(got):
+            while True:
+                try:
+                    k = got.index(None, k + 1)
+                except ValueError:
+                    break
+                run = runs[k]
+                part = known.get(run)
                 if part is None:
-                    run = runs[k]
-                    part = known.get(run)
-                    if part is None:
-                        part = known[run] = make(encode(run.decode()))
-                    got[k] = part
+                    part = known[run] = make(encode(run.decode()))
+                got[k] = part
         return got
 
 
