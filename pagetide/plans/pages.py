@@ -12,7 +12,7 @@ from ..functions.vocabulary import BAD_PAGE, FIRST_WEIGHTS, GOV, JS_SHELL, MONTH
 from ..operators import discovery as D
 from ..operators import history as H
 from ..operators import html as P
-from .inputs import links_sql, table
+from .inputs import decoded, links_sql, table
 from .registry import query
 
 
@@ -25,7 +25,10 @@ def page_links(spark, d):
     return links(spark, d).select("page_id", F.col("pos").cast("long").alias("pos"), "href", "text", "url")
 
 
-@query("page_titles", "select page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) as title from pages")
+TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
+@query("page_titles", f"select page_id, trim(regexp_replace({decoded(TITLE)}, '\\s+', ' ', 'g')) as title from pages")
 def page_titles(spark, d):
     return P.clean_pages(table(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
 
@@ -39,8 +42,8 @@ def cleaned_pages(spark, d):
     return snapshot_fields(p).select("page_id", "url", "html_sha256", "text_sha256", "byte_size", "title", "error")
 
 
-@query("visible_texts", """with s as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gs'), '<style[^>]*>.*?</style>', ' ', 'gs'), '<!--.*?-->|<[^>]*>', ' ', 'gs') as t from pages)
-    select page_id, sha256(trim(regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))) as text_sha256 from s""")
+@query("visible_texts", f"""with s as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gs'), '<style[^>]*>.*?</style>', ' ', 'gs'), '<!--.*?-->|<[^>]*>', ' ', 'gs') as t from pages)
+    select page_id, sha256(trim(regexp_replace({decoded("t")}, '\\s+', ' ', 'g'))) as text_sha256 from s""")
 def visible_texts(spark, d):
     return table(spark, d, "pages").select("page_id", X.sha256(P.visible_text(F.col("html"))).alias("text_sha256"))
 
