@@ -272,3 +272,16 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of the whole documents table."""
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
+#: The same by joining whole shingles: for small tables.
+OP1_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+    s as (select distinct doc_id, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(ws[i : i + 4], ' ') end as shingle
+        from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) as i from w where len(ws) > 0)),
+    n as (select doc_id, count(*) as n from s group by 1),
+    p as (select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+    e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * common >= 75 * (a.n + b.n - common)),
+    l as (select x, y from e union all select y, x from e),
+    r(doc_id, other) as (select distinct doc_id, doc_id from documents union select r.doc_id, l.y from r join l on l.x = r.other),
+    c as (select doc_id, min(other) as component_id from r group by 1)
+    select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept from documents d left join n using (doc_id) join c using (doc_id)"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .html import op10_main_text
 from .langid import op6_language
-from .neardup import op1_near_duplicates
+from .neardup import OP1_SQL, op1_near_duplicates
 from .neighbours import op5_neighbours
 from .ngram import op2_ngram_scores
 from .packing import op9_packing
@@ -26,4 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op1_near_duplicates": OP1_SQL} | pipeline
