@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import candidate_rejection
-from ..functions.scoring import first_score, internal_first, link_score
+from ..functions.scoring import first_score, internal_first, keyword_score, link_score
 from ..functions.urls import is_generic_portal
 from ..functions.vocabulary import EXTERNAL_PENALTY
 
@@ -15,10 +15,11 @@ def trimmed(url: Column) -> Column:
     return F.regexp_replace(url, "/+$", "")
 
 
-def ranked_links(links: DataFrame, page_type: str, keys: list[str], home: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def ranked_links(links: DataFrame, page_type: str, keys: list[str], home: str | None = None, exclude: DataFrame | None = None, weights: list[tuple[str, int]] | None = None) -> DataFrame:
     """links (keys, pos, text, url) of a page type, the best first: best score of a URL (the first on ties), then the
-    shorter URL, then the one seen first. Scores of 0 or less go before anything is shuffled."""
-    score = link_score(F.col("text"), F.col("url"), page_type)
+    shorter URL, then the one seen first. Scores of 0 or less go before anything is shuffled. weights: keywords in place
+    of the page type's own. exclude: (keys, site) of pages that are taken already, without their last slash."""
+    score = keyword_score(F.col("text"), F.col("url"), weights) if weights else link_score(F.col("text"), F.col("url"), page_type)
     if home and page_type in EXTERNAL_PENALTY:
         score = internal_first(score, F.col("url"), F.col(home), page_type)
     scored = links.withColumn("score", score).filter("score > 0").withColumn("site", trimmed(F.col("url")))

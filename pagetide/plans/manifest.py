@@ -9,7 +9,7 @@ from ..functions.values import slug
 from ..operators import captures as C
 from ..operators import integrity as Q
 from ..operators import manifest as M
-from .inputs import ATTEMPTS, COUNTIES, ORDINAL, TARGETS, attempts, counties, targets
+from .inputs import ATTEMPTS, COUNTIES, TARGETS, attempts, counties, targets
 from .registry import query
 
 HEALTH = "count(*) filter (verify_status = 'ok') as live, count(*) filter (verify_status = 'broken') as broken, count(*) filter (verify_status = 'gap') as gaps, count(*) filter (flag_for_review = 'yes') as flagged"
@@ -195,4 +195,55 @@ def artifacts(spark, d):
     return Q.missing_artifacts(t, files)
 
 
-assert ORDINAL
+
+@query("plain_or_rendered", """with d as (select doc_id, text, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 500 as shell, doc_id % 3 <> 0 as rendered_ok from documents)
+    select doc_id, case when shell and rendered_ok then 'headless' else 'plain' end as render_mode, case when shell and rendered_ok then null when shell then 'render timeout' end as error from d""")
+def plain_or_rendered(spark, d):
+    """Short documents need rendering; of three renderings one fails."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    common = {"ok": F.lit(True), "html": F.col("text"), "final_url": F.lit("u"), "redirect_chain": F.array(F.lit("u")), "http_status": F.lit(200), "content_type": F.lit("text/html"), "error": F.lit(None).cast("string")}
+    plain = docs.select("doc_id", *[c.alias(k) for k, c in common.items()], F.col("text").alias("clean_text"), F.col("text").alias("clean_html"))
+    good = F.col("doc_id") % 3 != 0
+    rendered = docs.select("doc_id", *[c.alias(k) for k, c in (common | {"ok": good, "error": F.when(~good, "render timeout")}).items()])
+    return C.plain_or_rendered(plain, rendered, ["doc_id"]).select("doc_id", "render_mode", "error")
+
+
+@query("page_liveness", f"with {ATTEMPTS} select requested_url, o, case when http_status is null and not ok then 'broken' when requested_url % 9 = 0 then 'broken' when http_status >= 400 then 'broken' else 'ok' end as verify_status, case when not ok then 'fetch failed: ' || error when requested_url % 9 = 0 then 'non-HTML content (application/pdf) — out of scope' when http_status >= 400 then 'HTTP ' || http_status end as reason from attempts")
+def page_liveness(spark, d):
+    from ..functions.rules import liveness
+
+    a = attempts(spark, d)
+    kind = F.when(F.col("requested_url") % 9 == 0, "application/pdf").otherwise("text/html")
+    told = liveness(F.col("requested_url").cast("string"), F.col("ok"), F.col("error"), kind, F.col("http_status"))
+    o = F.when(F.col("http2"), F.col("attempt")).otherwise(F.col("attempt") + 2)
+    return a.select("requested_url", o.alias("o"), told["status"].alias("verify_status"), told["reason"].alias("reason"))
+
+
+@query("integrity_gap_artifacts", f"with {TARGETS} select replace(lower(county), ' ', '_') as slug, page_type from targets where url = '' and batch = '1'")
+def gap_artifacts(spark, d):
+    t = targets(spark, d)
+    files = t.filter("batch = '1'").select(slug(F.col("county")).alias("slug"), "page_type")
+    return Q.artifacts_of_gaps(t, files)
+
+
+@query("integrity_values", f"with {TARGETS} select county, page_type from targets where url <> '' and batch = '3'")
+def bad_values(spark, d):
+    """The third batch's URLs lack their scheme."""
+    t = targets(spark, d).withColumn("url", F.when(F.col("batch") == "3", F.regexp_replace("url", "^https://", "")).otherwise(F.col("url")))
+    return Q.bad_values(t).select("county", "page_type")
+
+
+@query("integrity_repeats", f"with {TARGETS} select county, 2 * count(*) as n from targets where url <> '' group by 1")
+def repeats(spark, d):
+    t = M.captured(targets(spark, d)).select("county")
+    return Q.repeated(t.unionByName(t), "county")
+
+
+@query("fallback_pages", f"with {TARGETS} select county, page_type, case when k % 5 = 0 then '' when url <> '' then url when page_type in ('polling', 'early_voting') then 'hub' else '' end as url, case when k % 5 = 0 then 'GAP: no county-specific page found' when url = '' and page_type not in ('polling', 'early_voting') then 'GAP: no distinct page found (likely folded into elections page)' else '' end as notes from (select t.*, case when url <> '' and batch = '2' then 0 else 1 end as k from targets t)")
+def fallbacks(spark, d):
+    """The second batch's picks are not plausible."""
+    from ..operators.discovery import with_fallbacks
+
+    t = targets(spark, d)
+    picks = t.select("county", "page_type", F.when(F.col("url") != "", F.col("url")).alias("pick_url"), (F.col("batch") != "2").alias("plausible"), F.lit("hub").alias("hub_url"), F.lit("elections").alias("elections_url"))
+    return with_fallbacks(picks).select("county", "page_type", "url", "notes")

@@ -72,11 +72,7 @@ def link_sites(spark, d):
 @query("ranked_links", f"""with {links_sql()}, s as (select *, {_weighed('text', 'url')} as score, rtrim(url, '/') as site from links), b as (select page_id, site, max(score) as score, min(pos) as first_pos, arg_max(url, (score, -pos)) as url from s where score > 0 group by all)
     select page_id, row_number() over (partition by page_id order by score desc, length(url), first_pos) as rank, cast(score as int) as score, url from b qualify rank <= 6""")
 def ranked_links(spark, d):
-    import unittest.mock
-
-    with unittest.mock.patch.object(D, "link_score", lambda t, u, _: S.keyword_score(t, u, SYLLABLES)):
-        r = D.ranked_links(links(spark, d), "results", ["page_id"])
-    return r.filter("rank <= 6").select("page_id", "rank", "score", "url")
+    return D.ranked_links(links(spark, d), "results", ["page_id"], weights=SYLLABLES).filter("rank <= 6").select("page_id", "rank", "score", "url")
 
 
 @query("page_link_filter", f"with {links_sql()} select page_id, count(*) filter (trim(href) <> '' and not contains(href, '#') and not ends_with(lower(href), '.pdf')) as page_links, count(*) filter (not starts_with(href, '#')) as plain_links from links group by 1")
