@@ -160,26 +160,28 @@ class Automaton:
 
     def encode_run(self, run: str) -> list[int]:
         """Ids of text without ASCII white space, special tokens included: normalised, split, encoded."""
+        if "<|" not in run:
+            return self._encode_plain(run)
         out: list[int] = []
-        for k, part in enumerate(self.split_special.split(run) if self.split_special and "<|" in run else (run,)):
+        for k, part in enumerate(self.split_special.split(run) if self.split_special else (run,)):
             if k % 2:
                 out.append(self.special[part])
             elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                # one character at a time: a final sigma gets no form of its own
-                part = part.lower() if "Σ" not in part else "".join([c.lower() for c in part])
-                # letters, and letters with one mark behind them, need no pattern
-                core = part[:-1] if part[-1] in ".,!?;:" else part
-                if core.isascii() and core.isalpha():
-                    out += self.word(core)
-                    if core is not part:
-                        out += self.word(part[-1])
-                else:
-                    for word in self.split.findall(part):
-                        out += self.word(word)
+                out += self._encode_plain(part)
         return out
 
+    def _encode_plain(self, part: str) -> list[int]:
+        if not part.isascii():
+            part = unicodedata.normalize("NFC", part)
+        # one character at a time: a final sigma gets no form of its own
+        part = part.lower() if "Σ" not in part else "".join([c.lower() for c in part])
+        # letters, and letters with one mark behind them, need no pattern
+        if part.isalpha():
+            return self.word(part)
+        if part[-1] in ".,!?;:" and part[:-1].isalpha():
+            return self.word(part[:-1]) + self.word(part[-1])
+        return [i for word in self.split.findall(part) for i in self.word(word)]
+
     def encode(self, text: str | None) -> list[int]:
         """Nothing reaches over white space: normal forms, letters and splits are those of each run."""
         return [i for run in (text or "").encode("utf-8", "replace").split() for i in self.encode_run(run.decode())]

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import bisect
 import struct
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,12 +28,20 @@ from .common import documents, stored
 LENGTH, END_ID = 2048, 1
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Unsigned 32-bit ids."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 def pieces_of(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and end_id, cut after every `length`."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs.of(path, "bytes", lambda a: lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        runs = Runs.of(path, "bytes", lambda a: little_endian)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for doc_id, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
