@@ -22,12 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import KEPT, documents
 
 WORD_END = "</w>"
 END = "\0"  # stands for it within a word
 #: Entries that a worker keeps of its runs, words and arcs before it starts anew; only memory and time depend on it.
-CACHE_RUNS, CACHE_WORDS, CACHE_ARCS = 600_000, 400_000, 1_000_000
+CACHE_RUNS, CACHE_WORDS, CACHE_ARCS = 400_000, 200_000, 400_000
 #: The split pattern of the tokenizer's file. Its white space only parts words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -229,6 +229,9 @@ class Runs:
         return got
 
 
+KEPT.append(Runs.kept)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text, ...).
 

@@ -35,6 +35,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Caches that a worker keeps from task to task; other operators' tasks let go of them, since workers are shared.
+KEPT: list[dict] = []
+
+
+def release() -> None:
+    """Empties what earlier tasks of other operators have left in this worker."""
+    for kept in KEPT:
+        kept.clear()
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered within a task."""
 

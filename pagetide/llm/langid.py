@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ODD, crc_mod, documents, mix, stored
+from .common import ODD, crc_mod, documents, mix, release, stored
 
 ORDERS, BITS = (1, 2, 3, 4), 15
 #: The bounds of the sample: documents in all, documents of one language, characters of them all.
@@ -128,6 +128,7 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     at = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             pred, score, todo, sets = [UNDETERMINED] * b.num_rows, [0.0] * b.num_rows, [], []
 

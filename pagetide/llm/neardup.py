@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, WordHashes, documents, lower_words_of, mix, saved, stored
+from .common import ODD, WordHashes, documents, lower_words_of, mix, release, saved, stored
 
 WORDS, COORDS, BAND_ROWS = 5, 128, 4
 BLOCK = 1000  # rows of a bucket that meet each other, or those of another block, at once
@@ -79,6 +79,7 @@ def band_keys(values: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     hashes = WordHashes()
     for b in batches:
         texts, size, key, bands = b.column(1), [], [], []

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, documents, mix, stored
+from .common import ODD, documents, mix, release, stored
 
 LENGTH, GRAM = 400, 256
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
@@ -194,6 +194,7 @@ def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         grams, places = [], []
         for x in b.column(1):
