@@ -83,6 +83,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """stored(), then lets Spark delete the shuffle files of plans that nothing holds any more."""
+    out = stored(df)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*cols) if cols else df

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, documents, mix, release, stored
+from .common import ODD, documents, mix, release, stored, swept
 
 LENGTH, GRAM = 400, 256
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
@@ -193,22 +193,24 @@ def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     release()
     for b in batches:
         grams, places = [], []
         for x in b.column(1):
-            at, h = triggers(np.frombuffer((x.as_py() or "").encode("utf-8", "replace"), np.uint8))
+            at, h = triggers(np.frombuffer((x.as_py() or "").encode("utf-8", "replace"), np.uint8), length, gram)
             grams.append(h.view(np.int64))
             places.append(at.astype(np.int32))
         yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(grams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "tid", "size", "gram", "at"])
 
 
-def repeated_spans(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text, ...); with_text: and kept_text;
     carry: other columns of docs that come along.
 
-    Every byte that a 400-byte string covers which also starts anywhere else is removed. A null text counts
+    Every byte that a string of `length` bytes covers which also starts anywhere else is removed; triggers are strings
+    of `gram` bytes. words: only where such strings at neighbouring places hold at least so many words, or LENGTH
+    bytes, together; where 2 * words - 1 >= length, no repeated passage of so many words is missed. A null text counts
     as empty. Rows that repeat are copies of each other, so a long text that stands there twice goes whole, whatever
     their doc_ids. Texts are known by a 64-bit hash and their size. kept_text: what is left, without characters
     that a cut has broken.
@@ -217,24 +219,24 @@ def repeated_spans(docs: DataFrame, with_text: bool = False, carry: tuple[str, .
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), *[F.col(c).alias(f"own_{c}") for c in carry]).withColumns({"tid": F.xxhash64("text"), "size": F.octet_length("text").cast("int")})
-    long = docs.filter(F.col("size") >= LENGTH)
-    anchors = stored(long.select("doc_id", "text", "tid", "size").mapInArrow(_anchors, "doc_id long, tid long, size int, gram array<long>, at array<int>"))
+    long = docs.filter(F.col("size") >= length)
+    anchors = stored(long.select("doc_id", "text", "tid", "size").mapInArrow(lambda batches: _anchors(batches, length, gram), "doc_id long, tid long, size int, gram array<long>, at array<int>"))
     copies = anchors.groupBy("tid", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
 
     parse = anchors.select("tid", "size", F.inline(F.arrays_zip("gram", "at")))
     place = F.xxhash64("tid", "size", "at")
     twice = parse.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("gram")
-    twice = stored(twice)  # so that both sides of the join are dealt by key, and a frequent phrase's rows can be split
+    twice = swept(twice)  # so that both sides of the join are dealt by key, and a frequent phrase's rows can be split
     places = parse.join(twice, "gram").groupBy("tid", "size").agg(F.collect_set("at").alias("places"))
     wanted = places.join(copies, ["tid", "size"])
     same = (docs["tid"] == wanted["tid"]) & (docs["size"] == wanted["size"]) & docs["doc_id"].eqNullSafe(wanted["first"])
     found = docs.join(wanted, same).select(docs["tid"], docs["size"], "text", "places")
-    candidates = stored(found.mapInArrow(_units, "unit string, tid long, size int, text string, places array<int>"))
+    candidates = swept(found.mapInArrow(_units, "unit string, tid long, size int, text string, places array<int>"))
 
     def list_triggers(batches):
         for b in batches:
             for unit, rows in _by_unit(b):
-                got = [Text(b.column(3)[k].as_py(), b.column(4)[k].as_py()) for k in rows]
+                got = [Text(b.column(3)[k].as_py(), b.column(4)[k].as_py(), length, gram) for k in rows]
                 yield pa.record_batch([pa.array([unit], pa.string()), pa.array([np.concatenate([t.grams() for t in got]).tobytes()], pa.binary()), pa.array([np.concatenate([t.contexts() for t in got]).tobytes()], pa.binary())], ["unit", "grams", "contexts"])
 
     def ask_contexts(batches):
@@ -251,11 +253,11 @@ def repeated_spans(docs: DataFrame, with_text: bool = False, carry: tuple[str, .
     def texts(left, right):
         contexts, lead, grams = (keys_of(right, k) for k in ("context", "lead", "gram"))
         for x, p in zip(left.column("text"), left.column("places"), strict=True):
-            t = Text(x.as_py(), p.as_py())
+            t = Text(x.as_py(), p.as_py(), length, gram)
             c = t.contexts()
             known = among(c, contexts)
             ask = np.flatnonzero(t.around(~known | among(c, lead) & among(t.grams(), grams)))
-            yield t, known, ask, rolling(t.bytes, ask, LENGTH)
+            yield t, known, ask, rolling(t.bytes, ask, length)
 
     def ask_strings(key, left, right):
         got = [np.empty(0, np.uint64)] + [h for _, _, _, h in texts(left, right)]
@@ -267,24 +269,31 @@ def repeated_spans(docs: DataFrame, with_text: bool = False, carry: tuple[str, .
         for t, known, ask, h in texts(left, right):
             again = t.around(known)
             again[ask[among(h, strings)]] = True
-            starts = np.flatnonzero(again)
-            gone = covered(len(t.bytes), starts, starts + LENGTH)
+            starts, ends = spans_of(again)
+            ends += length - 1
+            if words:
+                held = np.array([e - a >= LENGTH or len(t.bytes[a:e].tobytes().split()) >= words for a, e in zip(starts, ends, strict=True)], bool)
+                starts, ends = starts[held], ends[held]
+            gone = covered(len(t.bytes), starts, ends)
             kept = t.bytes[~gone].tobytes()
             out.append((int(gone.sum()), len(spans_of(gone)[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
         n, s, sha, kept = zip(*out, strict=True) if out else ([], [], [], [])
         return pa.table({"tid": left.column("tid"), "size": left.column("size"), "gone": pa.array(n, pa.int64()), "spans": pa.array(s, pa.int64()), "sha": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.string())})
 
     found_triggers = stored(candidates.mapInArrow(list_triggers, "unit string, grams binary, contexts binary"))
-    contexts = stored(repeated(found_triggers.select("unit", "contexts").mapInArrow(ask_contexts, SENT), "context", "lead"))
+    contexts = swept(repeated(found_triggers.select("unit", "contexts").mapInArrow(ask_contexts, SENT), "context", "lead"))
     asked = found_triggers.groupBy("unit").cogroup(contexts.groupBy("unit")).applyInArrow(ask_grams, SENT)
-    answers = stored(contexts.unionByName(opened(asked, "gram")))
+    answers = swept(contexts.unionByName(opened(asked, "gram")))
     units = candidates.groupBy("unit")
     strings = repeated(units.cogroup(answers.groupBy("unit")).applyInArrow(ask_strings, SENT), "string")
     result = units.cogroup(answers.unionByName(strings).groupBy("unit")).applyInArrow(cut, "tid long, size int, gone long, spans long, sha string, kept string")
-    result = stored(result.dropDuplicates(["tid", "size"]))
+    result = swept(result.dropDuplicates(["tid", "size"]))
 
-    whole = F.col("copies") > 1
+    whole = F.coalesce(F.col("copies") > 1, F.lit(False))
     joined = docs.withColumn("own_sha", F.sha2(F.col("text").cast("binary"), 256))
+    if words:
+        joined = joined.withColumn("enough", (F.col("size") >= LENGTH) | (F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")) >= words))
+        whole &= F.col("enough")
     if not with_text:
         joined = joined.drop("text")
     joined = joined.join(copies.select("tid", "size", "copies"), ["tid", "size"], "left").join(result, ["tid", "size"], "left")

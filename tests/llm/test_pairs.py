@@ -127,3 +127,9 @@ def test_kept_text(spark):
     rows = [(1, "start " + "x1 y2 z3 " * 60 + "end"), (2, "other " + "x1 y2 z3 " * 60 + "tail")]
     got = {r["doc_id"]: r for r in repeats.repeated_spans(frame(spark, rows), with_text=True, carry=("size",)).collect()}
     assert (got[1]["kept_text"], got[2]["kept_text"], got[1]["size"]) == ("startend", "othertail", 1)
+
+
+def test_repeated_strings_of_other_lengths_equal_brute_force(spark):
+    rows = passages()
+    got = sorted((tuple(r) for r in repeats.repeated_spans(frame(spark, rows), length=101, gram=32).collect()), key=str)
+    assert got == repeated(rows, 101)

@@ -33,3 +33,16 @@ def test_stages_take_odd_rows(spark):
         for df in (docs, docs.limit(0)):
             out = stage(spark, df, SF)
             assert out.count() >= 0
+
+
+def test_repeated_passages_of_over_50_words_go_and_shorter_ones_stay(spark):
+    words = lambda n, k, size: " ".join("".join("abcdefghijklmnopqrstuvwxyz"[(k * 7919 + i * i * 31 + j * 17 + i * j) % 26] for j in range(size)) for i in range(n))
+    own = lambda k: " ".join(f"{k}own{k * 1000 + i}" for i in range(60))
+    long, brief, dense, twin = words(51, 1, 5), words(45, 2, 5), words(51, 3, 1), words(40, 4, 3)
+    texts = [f"{own(k)} {p} {own(k + 1)}" for k, p in ((10, long), (20, long), (30, brief), (40, brief), (50, dense), (60, dense))] + [twin, twin]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in c.repeated_passages(spark, docs, SF).collect()}
+    assert len(long) < 400 and 2 * 51 - 1 == len(dense)
+    assert not any(p in got[k] for k, p in ((0, long), (1, long), (4, dense), (5, dense)))
+    assert all("own" in got[k] and len(got[k]) > 900 for k in range(6))
+    assert [got[k] for k in (2, 3, 6, 7)] == [texts[k] for k in (2, 3, 6, 7)]
