@@ -2,7 +2,7 @@
 
 Documents become pieces: full sequences as often as they fill one, and a rest. Only the histogram of piece
 lengths comes to the driver, one row for each length up to the sequence length. There lengths are placed longest
-first, each into the packs with the least room that still holds it, else into new packs; what is kept are
+first, each into the shortest packs (with the most room) if it fits there, else into new packs; what is kept are
 patterns (which lengths lie in a sequence, and where) with counts. Pieces then find their pattern by length and
 by rank among the pieces of their length. Ranks come from counts by (length, chunk), so no length is ordered
 in one task.
@@ -72,30 +72,21 @@ def pack_histogram(counts: dict[int, int], length: int = LENGTH) -> list[tuple[i
         else:
             done.append((count, pattern))
 
-    def add(pattern: list[tuple[int, int]], size: int, times: int) -> list[tuple[int, int]]:
-        return [*pattern, (size, times)]
+    def add(pattern: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+        last, times = pattern[-1]
+        return [*pattern[:-1], (size, times + 1)] if last == size else [*pattern, (size, 1)]
 
     for size in sorted(counts, reverse=True):
         n = counts[size]
-        while n:
-            k = bisect.bisect_left(rooms, size)
-            if k == len(rooms):
-                break
-            room = rooms[k]
+        while n and rooms and rooms[-1] >= size:
+            room = rooms[-1]
             count, pattern = packs[room].pop()
             if not packs[room]:
-                rooms.pop(k)
-            fit = room // size
-            full, rest = divmod(n, fit)
-            if full >= count:
-                put(room - fit * size, count, add(pattern, size, fit))
-                n -= count * fit
-            else:
-                put(room - fit * size, full, add(pattern, size, fit))
-                if rest:
-                    put(room - rest * size, 1, add(pattern, size, rest))
-                put(room, count - full - (rest > 0), pattern)
-                n = 0
+                rooms.pop()
+            take = min(n, count)
+            put(room - size, take, add(pattern, size))
+            put(room, count - take, pattern)
+            n -= take
         fit = length // size
         put(length - fit * size, n // fit, [(size, fit)])
         if n % fit:

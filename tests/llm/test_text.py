@@ -82,6 +82,11 @@ def test_patterns_hold_every_piece_once(counts):
     assert sorted(used) == list(range(len(used)))
 
 
+def test_shortest_pack_takes_the_next_piece():
+    assert sorted(packing.pack_histogram({40: 1, 34: 1, 20: 1}, 64)) == [(1, [(34, 1), (20, 1)]), (1, [(40, 1)])]
+    assert sorted(packing.pack_histogram({40: 2, 10: 3}, 64)) == [(1, [(40, 1), (10, 1)]), (1, [(40, 1), (10, 2)])]
+
+
 def test_packing_is_gapless_and_tight(spark, library):
     rows = [*enumerate(TEXTS), (0, "again"), (None, "no id"), (50, "many words here " * 3000)]
     got = [r.asDict() for r in packing.packed(frame(spark, rows), bpe.tokenizer_path()).collect()]
