@@ -2,7 +2,8 @@
 
 Pass 1 parses each page, scores its containers by the text that stands in their blocks outside links, and votes
 for the best by their generalised path of tags and classes. Spark adds up votes for each host and path. Pass 2 parses the
-page again and takes the text of the first of its host's paths that it has.
+page again and takes the text of the first of its host's paths that it has. In both, what stands around the best
+container wins where it holds more of the article: an article element always, others by their text outside links.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class Page:
         self.tag, self.parent, self.path, self.out = ["#"], [-1], [""], [False]
         self.blocks: list[list] = []  # [element, parts, characters in links]
         self._parse(source)
+        self._sum()
 
     def _parse(self, source: str) -> None:
         stack, links, at, n = [0], 0, 0, len(source)
@@ -142,6 +144,49 @@ class Page:
         self.path.append(f"{self.path[up]}>{'.'.join([tag, *names])}" if tag in BLOCK else self.path[up])
         self.out.append(out)
 
+    def _sum(self) -> None:
+        """For each path of containers: characters outside links, in links, and outside links in its own blocks; the path around it."""
+        n = len(self.tag)
+        holder = [0] * n
+        for e in range(1, n):
+            holder[e] = e if self.tag[e] in CONTAINER else holder[self.parent[e]]
+        plain, linked, own = [0] * n, [0] * n, [0] * n
+        for e, parts, in_links in self.blocks:
+            size = sum(map(len, parts)) - in_links
+            plain[e] += size
+            linked[e] += in_links
+            own[holder[e]] += size
+        for e in range(n - 1, 0, -1):
+            plain[self.parent[e]] += plain[e]
+            linked[self.parent[e]] += linked[e]
+        self.sizes: dict[str, list[int]] = {}
+        self.around: dict[str, tuple[str, str]] = {}  # path -> tag, path around it
+        for e in range(n):
+            if holder[e] == e:
+                at = self.sizes.setdefault(self.path[e], [0, 0, 0])
+                for k, c in enumerate((plain, linked, own)):
+                    at[k] += c[e]
+                self.around.setdefault(self.path[e], (self.tag[e], self.path[holder[max(self.parent[e], 0)]]))
+
+    def climb(self, path: str, siblings: bool) -> str:
+        """The path around that holds the rest of the article: its nearest article element; else the last one
+        whose further text is mostly outside links and its own, or, with siblings, a fourth of what is inside."""
+        if path not in self.around:
+            return path
+        p = path
+        while p:
+            if self.around[p][0] == "article":
+                return p
+            p = self.around[p][1]
+        p = best = path
+        while p and self.around[p][0] != "main":
+            p = self.around[p][1]
+            plain, linked = (self.sizes[p][k] - self.sizes[best][k] for k in (0, 1))
+            top = self.around[p][0] in ("#", "html", "body")
+            if plain > 0 and plain >= linked and (2 * self.sizes[p][2] >= plain or (siblings and not top and 4 * plain >= self.sizes[best][0])):
+                best = p
+        return best
+
     def container(self, e: int) -> int:
         while e > 0 and self.tag[e] not in CONTAINER:
             e = self.parent[e]
@@ -173,14 +218,20 @@ class Page:
             if s > 0:
                 got[self.path[e]] += s
         best = max(got.values(), default=0)
+        if got:
+            top = self.climb(max(got, key=got.__getitem__), True)
+            got = {p: s for p, s in got.items() if not p.startswith(f"{top}>")} | {top: best}
         return [(p, s / best) for p, s in got.items() if s >= 0.1 * best]
 
+    def having(self, path: str) -> set[int]:
+        return {e for e, p in enumerate(self.path) if p == path and (self.tag[e] in CONTAINER or not e) and not self.out[e]}
+
     def main_text(self, paths: list[str]) -> str:
-        """By the first of the paths with text, else by the page's own best container, else all."""
-        for path in paths:
-            chosen = {e for e, p in enumerate(self.path) if p == path and self.tag[e] in CONTAINER and not self.out[e]}
-            if chosen and (text := self.text_of(chosen)):
-                return text
+        """By the first of the paths with text, else by the page's own best path, else all."""
+        own = self.votes()
+        for path in [p for p in paths if p] + ([max(own, key=lambda x: x[1])[0]] if own else []):
+            if self.text_of(self.having(path)):
+                return self.text_of(self.having(self.climb(path, False)))
         got = self.scores()
         return self.text_of({max(got, key=lambda e: (got[e], -e))} if got else {0})
 

@@ -51,3 +51,24 @@ def test_odd_pages(spark):
     assert len(got) == len(rows) and by.count((3, "plain words")) == 2
     assert {1: "", 2: "", 4: "deep", 6: "", 7: "", None: "x"}.items() <= dict(by).items()
     assert html.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+PROSE = "Many words of an article that are long enough to count as its text, and more of them. "
+
+
+def text_by_itself(source):
+    page = html.Page(source)
+    return page.main_text([p for p, _ in sorted(page.votes(), key=lambda v: (-v[1], v[0]))[:5]])
+
+
+def test_all_containers_of_an_article_count():
+    nav = "<nav><a href='/'>Home</a></nav>"
+    p = lambda n, k: f"<p>{k} {PROSE * n}</p>"
+    for inner in (
+        f"<h1>Title</h1>{p(1, 'lead')}<div class=content>{p(9, 'body')}</div>",
+        f"<h1>Title</h1><div class='part a'>{p(9, 'lead')}</div><div class='part b'>{p(4, 'body')}</div><section class=c>{p(5, 'more')}</section>",
+        f"<h1>Title</h1>{p(1, 'lead')}<table><tr><td>{PROSE * 9}<td>body<tr><td>{PROSE}<td>y</table>",
+    ):
+        for frame in ("<article>{}</article>", "<div class=post>{}</div>", "<main>{}</main>"):
+            got = text_by_itself(f"<html><body>{nav}<div id=page>{frame.format(inner)}</div><div id=sidebar>{p(3, 'aside')}</div></body></html>")
+            assert got.startswith("Title\nlead") and "body" in got and "aside" not in got and "Home" not in got, (frame, inner, got)
