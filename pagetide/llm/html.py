@@ -35,6 +35,10 @@ ENDS = {"li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl")
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 #: Words of class, id or role that mark what surrounds an article.
 HINTS = frozenset("ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
+#: Of them, those of readers' words, which may be longer than the article.
+TALK = frozenset("comment comments discussion disqus replies reply respond".split())
+#: Beside one of these, a header is the article's own.
+TITLED = frozenset("article entry headline post story".split())
 HINT_FREE = frozenset("html body article main h1 h2 h3 h4 h5 h6 p b i em strong span a".split())
 PATHS = 5
 
@@ -44,9 +48,10 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.path, self.out = ["#"], [-1], [""], [False]
-        self.blocks: list[list] = []  # [element, parts, characters in links]
+        self.hints: list[frozenset[str]] = [frozenset()]
+        self.blocks: list[list] = []  # [element, parts, characters in links]; while parsing, parts are (element, text, in a link)
         self._parse(source)
-        self._sum()
+        self._weigh()
 
     def _parse(self, source: str) -> None:
         stack, links, at, n = [0], 0, 0, len(source)
@@ -62,12 +67,10 @@ class Page:
                 k = len(stack) - 1
                 while k and self.tag[stack[k]] not in BLOCK:
                     k -= 1
-                block = [stack[k], [], 0]
+                block = [stack[k], []]
                 self.blocks.append(block)
             piece = html.unescape(piece) if "&" in piece else piece
-            block[1].append(piece)
-            if links:
-                block[2] += len(piece)
+            block[1].append((stack[-1], piece, links > 0))
 
         def close(k: int) -> None:
             nonlocal block, links
@@ -131,18 +134,54 @@ class Page:
     def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
         up = stack[-1]
         found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if "=" in attrs else {}
-        out = self.out[up] or tag in OPAQUE or tag in ASIDE
-        if not out and tag == "header":
-            out = not any(self.tag[e] in ("article", "main") for e in stack)
-        if not out and found and tag not in HINT_FREE:
-            out = any(w in HINTS for v in found.values() for w in re.split(r"[^a-z]+", v.lower()))
+        hints = {tag} if tag in ASIDE else set()
+        if tag == "header" and not any(self.tag[e] in ("article", "main") for e in stack):
+            hints.add("header")
+        if found and tag not in HINT_FREE:
+            names = {w for v in found.values() for w in re.split(r"[^a-z]+", v.lower())}
+            if names & HINTS:
+                hints |= names & (HINTS | TITLED)
         # generalised: classes in order, numbers taken out
         names = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
         stack.append(len(self.tag))
         self.tag.append(tag)
         self.parent.append(up)
         self.path.append(f"{self.path[up]}>{'.'.join([tag, *names])}" if tag in BLOCK else self.path[up])
-        self.out.append(out)
+        self.out.append(self.out[up] or tag in OPAQUE)
+        self.hints.append(frozenset(hints))
+
+    def _weigh(self) -> None:
+        """Sets out what hints mark, but for what holds (nearly) the whole page or is the article's header; all that is
+        left without any text so is taken in again."""
+        n = len(self.tag)
+        size = [0] * n
+        for _, parts in self.blocks:
+            for e, piece, linked in parts:
+                size[e] += 0 if linked else len(piece)
+        mains, heads, titles, articles = ([t in of for t in self.tag] for of in (("main",), ("h1",), ("h1", "h2"), ("article",)))
+        counts = (size, mains, heads, titles, articles)
+        for e in range(n - 1, 0, -1):
+            for c in counts:
+                c[self.parent[e]] += c[e]
+        inside = [False] * n
+        out = list(self.out)
+        for e in range(1, n):
+            up = self.parent[e]
+            inside[e] = inside[up] or self.tag[e] in ("article", "main")
+            hints = self.hints[e]
+            if hints - TITLED and not out[e]:
+                half = 2 * size[e] >= size[0] > 0
+                all_articles = 0 < articles[e] == articles[0]
+                whole = not hints & TALK and (5 * size[e] >= 4 * size[0] > 0 or mains[e] or half and (heads[e] or all_articles))
+                own = hints - TITLED == {"header"} and (inside[up] or titles[e] and hints & TITLED)
+                out[e] = not (whole or own)
+            out[e] = out[e] or out[up]
+        if not any(not out[e] and not linked and not piece.isspace() for _, parts in self.blocks for e, piece, linked in parts) and size[0]:
+            out = self.out
+        self.out = out
+        blocks = ((e, [x for x in parts if not out[x[0]]]) for e, parts in self.blocks)
+        self.blocks = [[e, [x[1] for x in parts], sum(len(x[1]) for x in parts if x[2])] for e, parts in blocks if parts]
+        self._sum()
 
     def _sum(self) -> None:
         """For each path of containers: characters outside links, in links, and outside links in its own blocks; the path around it."""

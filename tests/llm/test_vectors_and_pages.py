@@ -72,3 +72,16 @@ def test_all_containers_of_an_article_count():
         for frame in ("<article>{}</article>", "<div class=post>{}</div>", "<main>{}</main>"):
             got = text_by_itself(f"<html><body>{nav}<div id=page>{frame.format(inner)}</div><div id=sidebar>{p(3, 'aside')}</div></body></html>")
             assert got.startswith("Title\nlead") and "body" in got and "aside" not in got and "Home" not in got, (frame, inner, got)
+
+
+def test_a_hint_on_what_holds_the_page_does_not_lose_it():
+    article = f"<div class=post><h1>Title</h1><p>{PROSE * 5}</p></div><div id=comments><p>{PROSE * 3} reader</p></div><div class=sidebar>aside</div>"
+    for around in ("class='layout with-sidebar'", "class=no-ads", "id=header-and-main", "class=search-result"):
+        got = text_by_itself(f"<html><body><div {around}>{article}</div></body></html>")
+        assert got.startswith("Title\nMany") and "reader" not in got and "aside" not in got, (around, got)
+    for head in ("<header class='entry-header'><h1>Title</h1></header>", "<div class='post-header'><h2>Title</h2></div>"):
+        for tag in ("article", "div"):
+            got = text_by_itself(f"<body><{tag} class=x>{head}<p>{PROSE * 5}</p></{tag}><div class=related><article>{PROSE}other</article></div></body>")
+            assert got.startswith("Title\nMany") and "other" not in got, (head, tag, got)
+    assert text_by_itself(f"<body><div class=comments><p>{PROSE}</p></div></body>") == PROSE.strip()
+    assert text_by_itself(f"<body><form><div><p>{PROSE}</p></div></form></body>") == PROSE.strip()
