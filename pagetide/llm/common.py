@@ -1,4 +1,4 @@
-"""What several operators share: ASCII words, 64-bit word hashes, checkpoints."""
+"""What several operators share: ASCII words, 64-bit word hashes, tables between steps."""
 
 from __future__ import annotations
 
@@ -59,35 +59,49 @@ class WordHashes(dict):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a default that is then set (tests)."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where it is unset, a session on one
+    machine (tests) gets a folder of its own; on a cluster that would be another one on each machine, so it is an error."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"/tmp/pagetide-checkpoints-{uuid.uuid4().hex[:12]}"
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"/tmp/spark-{uuid.uuid4().hex[:12]}")
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+class Scratch:
+    """Tables of Parquet that one operator writes between its steps, in the shared folder. A step that reads one depends
+    on its files alone, so a lost executor costs no more than that step; those that no later step reads are dropped."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/pagetide-{uuid.uuid4().hex}"
+        self.at: dict[str, str] = {}
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table of Parquet in the shared folder and reads it back: smaller than a checkpoint, and columns prune."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/pagetide-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes df and reads it back. A table of that name stays until the new one is written."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.at[name] = path
+        # let Spark delete the shuffle files of plans that nothing holds any more
+        self.spark._jvm.System.gc()
+        return self.spark.read.parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.at.pop(name, None):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+    def keep_only(self, *names: str) -> None:
+        self.drop(*[n for n in self.at if n not in names])
 
-def swept(df: DataFrame) -> DataFrame:
-    """stored(), then lets Spark delete the shuffle files of plans that nothing holds any more."""
-    out = stored(df)
-    df.sparkSession._jvm.System.gc()
-    return out
+
+def stored(df: DataFrame) -> DataFrame:
+    """One table that stays."""
+    return Scratch(df.sparkSession).put("table", df)
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:

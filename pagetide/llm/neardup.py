@@ -7,10 +7,10 @@ so that every coordinate fills for certain. Equal coordinates estimate the Jacca
 concentration bounds, as coordinates come from one nearly without-replacement sample.
 
 Bands of r coordinates bring together documents, and links are confirmed on full sets. All pairs of a bucket
-are never emitted: documents with one set are one node; a bucket first links its members to its leader; and
-only members that are still in different components meet in further rounds, first through one representative
-of each component and last through all that could still join two components: a set that holds too many shingles of
-its own can link with nothing; of the others, blocks meet blocks, and only links between components are emitted.
+are never emitted: documents with one set are one node; a bucket first links its members to its leader; only members
+of different components meet further, first through one representative of each, then all that could still join
+two components: a set that shares too little with other components can link with none; the others meet block by
+block, and only links that join components are emitted.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, WordHashes, documents, lower_words_of, mix, release, saved, stored
+from .common import ODD, Scratch, WordHashes, documents, lower_words_of, mix, release
 
 WORDS, COORDS, BAND_ROWS = 5, 128, 4
-BLOCK = 1000  # rows of a bucket that meet each other, or those of another block, at once
+#: Of the last round: shingles of a group's sets (8 bytes each), rows that meet at once, columns of a product.
+BLOCK, TILE, COLUMNS = 2_000_000, 1000, 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 FRACTION = np.uint64(54)  # bits of the fraction; the round stands above it
 
@@ -100,7 +101,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([np.frombuffer(x.as_py(), np.int64) for x in b.column(1)], pa.list_(pa.int64()))], ["node", "shingle"])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array([np.frombuffer(x.as_py(), np.int64) for x in b.column(2)], pa.list_(pa.int64()))], ["node", "part", "shingle"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,159 +114,204 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every end of an edge (a, b); component: the smallest node reachable.
 
-    Every node's label falls to its neighbours' smallest, then to that label's own label, until nothing changes.
+    Every node's label falls to its neighbours' smallest, then to that label's own label, until nothing changes. Each
+    round's labels are a table of their own: plans, and what the optimizer derives from them, stay as small as one round.
     """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels = saved(labels)
+    both = scratch.put("edges", edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = scratch.put("labels", both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = saved(step.join(jump, "component", "left").select("node", "old", F.coalesce("further", "component").alias("component")))
+        new = scratch.put("labels", step.join(jump, "component", "left").select("node", "old", F.coalesce("further", "component").alias("component")))
         labels = new.select("node", "component")
         if new.filter("old <> component").isEmpty():
+            scratch.drop("edges")
             return labels
 
 
+def merged(parts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """parts(node, part) after links (a, b) between nodes: only parts that they join are gone through."""
+    of = [parts.select(F.col("node").alias(x), F.col("part").alias(f"p{x}")) for x in "ab"]
+    across = links.join(of[0], "a").join(of[1], "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    joined = components(across, scratch).withColumnRenamed("node", "part")
+    return scratch.put("parts", parts.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("part")))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     ab = a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     return ab.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _able(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of buckets that may still have a link to another component, with their count of shared shingles.
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one part."""
+    mixed = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
+    return placed.join(mixed, "bucket")
+
+
+def _able(placed: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of buckets that may still have a link to another part, with their count of shingles that other parts share.
 
-    A link needs 7 * |a and b| >= 3 * (|a| + |b|), and what two sets share is among the shingles that either
-    shares with any set here. So an edited copy whose own shingles are too many can link with nothing.
+    A link needs 7 * |a and b| >= 3 * (|a| + |b|), and what sets of two parts share is among the shingles that stand
+    in more than one part. So a copy whose edits, with those of its own part, are too many can link with nothing.
     """
-    nodes = placed.select("node").distinct()
-    each = sets.join(nodes, "node", "left_semi").mapInArrow(_numbers, "node long, shingle array<long>").select("node", F.explode("shingle").alias("shingle"))
-    single = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("own"))
-    rows = saved(placed.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"))
+    nodes = placed.select("node", "part").distinct()
+    each = sets.join(nodes, "node").select("node", "part", "shingles").mapInArrow(_numbers, "node long, part long, shingle array<long>").select("node", "part", F.explode("shingle").alias("shingle"))
+    wide = scratch.put("wide", each.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("shingle"))
+    shared = scratch.put("shared", each.join(wide, "shingle").groupBy("node").agg(F.count("*").alias("shared")))
+    rows = scratch.put("able", placed.join(shared, "node"))
     least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
     rows = rows.join(least, "bucket").filter("28 * shared >= 3 * (4 * n + greatest(4 * least, 3 * n))").drop("least")
-    mixed = rows.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
-    return rows.join(mixed, "bucket")
-
-
-def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([(np.frombuffer(x.as_py(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b.column(1)], pa.binary())], ["node", "half"])
-
-
-def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets with each other, by products of blocks of columns."""
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    twice = times > 1
-    number = np.cumsum(twice) - 1
-    ok = twice[col]
-    row, col = row[ok], number[col[ok]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(twice.sum()), 4096):
-        a, b = np.searchsorted(col, (low, low + 4096))
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[row[a:b], col[a:b] - low] = 1
-        out += m @ m.T
+    able = scratch.put("mixed", _mixed(rows))
+    scratch.drop("wide", "shared", "able")
+    return able
+
+
+class Forest:
+    """Parts that links join, within one task."""
+
+    def __init__(self, parts: np.ndarray):
+        _, self.of = np.unique(parts, return_inverse=True)
+        self.label = np.arange(self.of.max() + 1 if len(parts) else 0)
+
+    def apart(self, row: int, others: np.ndarray) -> list[int]:
+        """Of rows that link with `row`, one for each part that is not yet joined to its; joins them."""
+        out = []
+        roots = self.label[self.of[others]]
+        own = self.label[self.of[row]]
+        found, first = np.unique(roots, return_index=True)
+        for root, k in zip(found, first, strict=True):
+            if root != own:
+                out.append(int(others[k]))
+                self.label[self.label == root] = own
+        return out
+
+
+def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, by products of blocks of columns."""
+    at = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    to = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    vocabulary = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def columns(sets: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(sets)
+        col = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+        ok = vocabulary[col] == flat
+        order = np.argsort(col[ok], kind="stable")
+        return rows[ok][order], col[ok][order]
+
+    if not len(vocabulary):
+        return out
+    (at, a), (to, b) = columns(left, at), columns(right, to)
+    for low in range(0, len(vocabulary), COLUMNS):
+        x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        for m, rows, cols in ((x, at, a), (y, to, b)):
+            lo, hi = np.searchsorted(cols, (low, low + COLUMNS))
+            m[rows[lo:hi], cols[lo:hi] - low] = 1
+        out += x @ y.T
     return out
 
 
 def _cross(key, table):
-    """Of one block of rows against another, in each bucket: for each node and other component, one link."""
+    """Of one block of a cluster against another: links that join parts, as few as join them all."""
     _, i, j = (k.as_py() for k in key)
-    bucket, node, part, blk = (table.column(c).to_numpy() for c in ("bucket", "node", "part", "blk"))
-    half = table.column("half")
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
-    out: set[tuple[int, int]] = set()
+    cluster, node, part, blk = (table.column(c).to_numpy() for c in ("cluster", "node", "part", "blk"))
+    order = np.lexsort((part, blk, cluster))
+    cuts = np.flatnonzero(np.r_[True, np.diff(cluster[order]) != 0, True])
+    shingles, links = table.column("shingles"), []
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         own = order[low:high]
         if (part[own] == part[own[0]]).all():
             continue
-        sets = [np.unique(np.frombuffer(half[int(k)].as_py(), np.uint32)) for k in own]
+        forest = Forest(part[own])
+        sets = [np.frombuffer(shingles[int(k)].as_py(), np.uint64) for k in own]
         n = np.array([len(x) for x in sets])
-        both = _shared_counts(sets)
-        link = (100 * both >= 75 * (n[:, None] + n[None, :] - both)) & (part[own][:, None] != part[own][None, :])
-        link &= (blk[own] == i)[:, None] & (blk[own] == j)[None, :]
-        seen: set[tuple[int, int]] = set()
-        for x, y in zip(*np.nonzero(link), strict=True):
-            a, b = own[x], own[y]
-            if (node[a], part[b]) not in seen:
-                seen.add((node[a], part[b]))
-                out.add((int(min(node[a], node[b])), int(max(node[a], node[b]))))
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-
-def _cross_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components that share a bucket. Blocks of a bucket's rows meet in pairs, each pair a group of
-    its own, so that no group holds more than two blocks of a bucket; pairs of nodes are counted within, not emitted.
-    32 bits of each shingle serve here; the links found are confirmed on full sets."""
-    spark = placed.sparkSession
-    deals = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = saved(placed)
-    half = sets.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(_halved, "node long, half binary")
-    blocks = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(blocks, "bucket").withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        left, right = (np.flatnonzero(blk[own] == b) for b in (i, j))
+        for p in range(0, len(left), TILE):
+            for q in range(p if i == j else 0, len(right), TILE):
+                x, y = left[p : p + TILE], right[q : q + TILE]
+                if len(np.unique(forest.label[forest.of[np.r_[x, y]]])) == 1:
+                    continue
+                both = _counts([sets[k] for k in x], [sets[k] for k in y])
+                link = 100 * both >= 75 * (n[x][:, None] + n[y][None, :] - both)
+                for k in np.flatnonzero(link.any(1)):
+                    links += [(int(node[own[x[k]]]), int(node[own[c]])) for c in forest.apart(x[k], y[link[k]])]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _cross_links(able: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between the parts of able(bucket, node, n, part), exactly: nodes that buckets hold together are a cluster, and
+    a cluster's nodes meet each other once, however many buckets they share. A cluster is cut into blocks of bounded
+    size, which meet in pairs, each pair a group of its own; small clusters are dealt into groups of that size.
+    Pairs of nodes are counted within a group, and only links that join parts leave it."""
+    lowest = able.groupBy("bucket").agg(F.min("node").alias("a"))
+    clusters = scratch.put("clusters", components(able.join(lowest, "bucket").select("a", F.col("node").alias("b")), scratch))
+    members = able.select("node", "n", "part").distinct().join(clusters, "node").withColumnRenamed("component", "cluster")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    members = scratch.put("members", members.join(sizes, "cluster"))
+    deals = max(1, -(-(members.agg(F.sum("n").alias("n")).first()["n"] or 0) // BLOCK))
+    rows = members.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "node", "part", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), F.pmod("bucket", F.lit(deals)).alias("deal"))
-    return rows.join(half, "node").groupBy("deal", "i", "j").applyInArrow(_cross, "a long, b long")
+    deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(deals))).otherwise(F.col("cluster"))
+    rows = rows.select("cluster", "node", "part", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), F.struct(F.col("blocks") == 1, deal).alias("deal"))
+    return rows.join(sets, "node").groupBy("deal", "i", "j").applyInArrow(_cross, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text, ...).
 
     Null or blank texts have no shingles and link with nothing. Rows that repeat a doc_id are one document:
     each keeps its own n_shingles, they share a component. A row without doc_id links with nothing: its
     component_id is null, and it is kept. Other columns, whatever their names, play no part.
-    rounds: how often buckets go through representatives of components before the exact last round.
     """
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sketched = stored(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    sketched = scratch.put("sketched", docs.mapInArrow(_sketches, "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     named = sketched.filter("doc_id is not null and set_key is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = stored(classes)
+    classes = scratch.put("classes", named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")))
     rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    leaders = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other")
-    buckets = stored(rows.join(leaders.select("bucket", "leader"), "bucket").select("bucket", "node", "n", "leader"))
+    leaders = scratch.put("leaders", rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other"))
+    buckets = scratch.put("buckets", rows.join(leaders.select("bucket", "leader"), "bucket").select("bucket", "node", "n", "leader"))
+    # every document's class; classes that share a document are linked by it
+    sizes = scratch.put("sizes", sketched.select("doc_id", "n_shingles"))
+    of = scratch.put("of", named.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node").distinct())
+    scratch.drop("sketched", "classes", "leaders")
 
     wanted = buckets.select("node").distinct()
-    sets = stored(docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
-
+    sets = scratch.put("sets", docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
+    parts = scratch.put("parts", of.select("node", F.col("node").alias("part")).distinct())
+    twice = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    links = of.join(twice.select("doc_id", "a"), "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))
     first = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tried = saved(first)
-    # rows that repeat a doc_id with other texts join its classes
-    same = named.join(classes.select("set_key", "node"), "set_key").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = saved(_verified(tried, sets))
-    for step in range(rounds + 1):
-        parts = components(links)
-        placed = buckets.join(parts, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("part"))
-        mixed = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
-        placed = placed.join(mixed, "bucket")
-        last = step == rounds
-        if last:
-            fresh = _cross_links(_able(saved(placed), sets), sets).distinct()
-            links = saved(links.union(_verified(saved(fresh), sets)))
-            break
-        # each component of a bucket is spoken for by one member, another one each time
-        pick = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n"))
-        reps = placed.groupBy("bucket", "part").agg(pick.alias("r")).select("bucket", "part", "r.node", "r.n")
-        one = reps.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("part", F.lit(step)).alias("h"), "part", "node", "n")).alias("r")).select("bucket", F.col("r.part").alias("q"), F.col("r.node").alias("other"), F.col("r.n").alias("m"))
+    parts = merged(parts, scratch.put("links", links.union(_verified(first, sets))), scratch)
+
+    def still_mixed() -> DataFrame:
+        return scratch.put("placed", _mixed(buckets.join(parts, "node").select("bucket", "node", "n", "part")))
+
+    placed = still_mixed()
+    if not placed.isEmpty():
+        # each part of a bucket is spoken for by the member that shares most with other parts; an original whose copies
+        # differ from each other is such a one, and speaks for the bucket
+        able = _able(placed, sets, scratch)
+        most = F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), "node", "n"))
+        reps = scratch.put("reps", able.groupBy("bucket", "part").agg(most.alias("r")).select("bucket", "part", "r.share", "r.node", "r.n"))
+        one = reps.groupBy("bucket").agg(F.max(F.struct("share", "node", "part", "n")).alias("r")).select("bucket", F.col("r.part").alias("q"), F.col("r.node").alias("other"), F.col("r.n").alias("m"))
         pairs = reps.join(one, "bucket").filter("part <> q and 4 * least(n, m) >= 3 * greatest(n, m)")
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        fresh = saved(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = saved(tried.union(fresh))
-        links = saved(links.union(_verified(fresh, sets)))
-    final = components(links.union(same))
-    label = final.select(F.col("node").alias("doc_id"), "component")
-    out = sketched.select("doc_id", "n_shingles").join(label, "doc_id", "left")
+        parts = merged(parts, scratch.put("links", _verified(pairs, sets)), scratch)
+        placed = still_mixed()
+    if not placed.isEmpty():
+        able = _able(placed, sets, scratch)
+        if not able.isEmpty():
+            parts = merged(parts, scratch.put("links", _cross_links(able, sets, scratch)), scratch)
+    label = scratch.put("label", of.join(parts, "node").groupBy("doc_id").agg(F.min("part").alias("component")))
+    scratch.keep_only("sizes", "label")
+    out = sizes.join(label, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

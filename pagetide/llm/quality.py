@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ODD, WordHashes, documents, mix, saved, stored
+from .common import ODD, WordHashes, documents, mix, stored
 
 #: Ratio -> (its expression, whether low values count as bad too, the least range that a fence assumes).
 RATIOS = {
@@ -107,7 +107,7 @@ def judged(docs: DataFrame) -> DataFrame:
     source is a group like any other. Rows that repeat count as often as they stand there.
     """
     rows = stored(measured(docs).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")))
-    own = saved(sketches(rows.filter("not base_failed")))
+    own = stored(sketches(rows.filter("not base_failed")))
     by_lang = merged(own, "lang")
     levels = {"s": fences(own, "lang", "source"), "l": fences(by_lang, "lang"), "a": fences(merged(by_lang))}
     names = [f"{k}_{end}" for k in RATIOS for end in ("low", "high")]
@@ -115,7 +115,7 @@ def judged(docs: DataFrame) -> DataFrame:
     s, lang, all_ = named["s"], named["l"], named["a"]
     table = s.join(lang, F.col("s_lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(all_), F.lit(True), "left")  # all_: one row
     pick = [F.when(F.col("s_total") >= ENOUGH, F.col(f"s_{c}")).when(F.col("l_total") >= ENOUGH, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c) for c in names]
-    table = saved(table.select("s_lang", "s_source", *pick))
+    table = stored(table.select("s_lang", "s_source", *pick))
     joined = rows.join(table, rows["lang"].eqNullSafe(table["s_lang"]) & rows["source"].eqNullSafe(table["s_source"]), "left")
     inside = F.lit(True)
     for k, (e, _, _) in RATIOS.items():

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -66,19 +68,50 @@ def test_components_equal_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=str) == components(rows)
 
 
-def test_empty_table(spark):
-    assert neardup.near_duplicates(frame(spark, [])).collect() == []
-    assert repeats.repeated_spans(frame(spark, [])).collect() == []
+def test_many_texts_around_the_threshold(spark):
+    """One text with three words replaced at random places by one of five words: each shares much with all others. Rounds of
+    labels stay small plans."""
+    rng = random.Random(3)
+    base, rows = words(rng, 150), []
+    for k in range(500):
+        w = list(base)
+        for p in rng.sample(range(150), 3):
+            w[p] = f"e{rng.randrange(5)}"
+        rows.append((k, " ".join(w)))
+    began = time.time()
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert time.time() - began < 60
+    assert sorted((tuple(r) for r in got), key=str) == components(rows)
 
 
-def test_blocks_find_links_between_components(spark, monkeypatch):
-    """The last round alone, with tiny blocks, must find what the first rounds find."""
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+def test_copies_that_link_with_nothing_but_their_original(spark):
+    """Copies of one text with edits of their own: two of them differ too much, but all link with the original."""
+    rng = random.Random(5)
+    base = words(rng, 150)
+    rows = [(500, " ".join(base))]
+    for k in range(400):
+        w = list(base)
+        for p in rng.sample(range(150), 3):
+            w[p] = f"own{k}.{p}"
+        rows.append((k, " ".join(w)))
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == components(rows)
+
+
+def test_exact_round_in_blocks(spark, monkeypatch):
+    """Clusters cut into several blocks give the same components."""
+    monkeypatch.setattr(neardup, "BLOCK", 3000)
+    monkeypatch.setattr(neardup, "TILE", 7)
     rows = corpus()
-    got = neardup.near_duplicates(frame(spark, rows), rounds=0).collect()
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
     assert sorted((tuple(r) for r in got), key=str) == components(rows)
 
 
+def test_empty_table(spark):
+    assert neardup.near_duplicates(frame(spark, [])).collect() == []
+    assert repeats.repeated_spans(frame(spark, [])).collect() == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 100, 5000])
 def test_sketches_fill_and_estimate(n):
     rng = np.random.default_rng(n)
@@ -131,5 +164,43 @@ def test_kept_text(spark):
 
 def test_repeated_strings_of_other_lengths_equal_brute_force(spark):
     rows = passages()
-    got = sorted((tuple(r) for r in repeats.repeated_spans(frame(spark, rows), length=101, gram=32).collect()), key=str)
+    got = sorted((tuple(r) for r in repeats.repeated_spans(frame(spark, rows), unit=repeats.Unit(101, 32)).collect()), key=str)
     assert got == repeated(rows, 101)
+
+
+def repeated_words(rows, length):
+    """Bytes of each text that a run of so many words covers which also starts anywhere else, copies whole."""
+    split = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for _, t in rows]
+    words_ = [[(t or "").encode()[a:b] for a, b in spans] for (_, t), spans in zip(rows, split, strict=True)]
+    seen = Counter(tuple(w[p : p + length]) for w in words_ for p in range(len(w) - length + 1))
+    copies = Counter(t for _, t in rows)
+    out = []
+    for (i, t), spans, w in zip(rows, split, words_, strict=True):
+        raw = (t or "").encode()
+        gone, at = bytearray(len(w)), []
+        for p in range(len(w) - length + 1):
+            if seen[tuple(w[p : p + length])] > 1:
+                gone[p : p + length] = b"\1" * length
+        for k, g in enumerate(gone):
+            if g and k and gone[k - 1]:
+                at[-1][1] = spans[k][1]
+            elif g:
+                at.append([*spans[k]])
+        if len(w) >= length and copies[t] > 1:
+            at = [[0, len(raw)]]
+        left = bytes(x for k, x in enumerate(raw) if not any(a <= k < b for a, b in at))
+        out.append((i, len(raw), sum(b - a for a, b in at), len(at), hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_repeated_words_equal_brute_force(spark):
+    rows = passages()
+    for size in (40, 51, 60, 3000):
+        rows.append((100 + size, "\t ".join(f"w{k}" for k in range(size)) + " "))
+        rows.append((200 + size, f"own{size} \n" + " ".join(f"w{k}" for k in range(7, size))))
+    rows += [(300, "same " * 50), (301, "same " * 51), (302, " same" * 60), (303, "x " * 200), (304, "x " * 200)]
+    got = sorted((tuple(r) for r in repeats.repeated_spans(frame(spark, rows), unit=repeats.PASSAGES).collect()), key=str)
+    assert got == repeated_words(rows, 51)
+    both = repeats.repeated_spans(frame(spark, rows), passages=repeats.PASSAGES).collect()
+    assert sorted((tuple(r)[:5] for r in both), key=str) == repeated(rows)
+    assert sorted(((r["doc_id"], r["n_passage_bytes"], r["n_passages"]) for r in both), key=str) == sorted(((i, g, s) for i, _, g, s, _ in repeated_words(rows, 51)), key=str)
