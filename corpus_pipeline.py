@@ -15,7 +15,7 @@ from pagetide.llm.langid import UNDETERMINED, identified
 from pagetide.llm.neardup import near_duplicates
 from pagetide.llm.packing import packed
 from pagetide.llm.pii import personal_spans
-from pagetide.llm.repeats import repeated_spans
+from pagetide.llm.repeats import PASSAGES, repeated_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,10 +36,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of over 50 words, or of 400 bytes, that repeat; documents of which no word is left go.
-
-    51 words take 101 bytes at least, so strings of that length are looked for."""
-    left = repeated_spans(docs, with_text=True, carry=("lang", "source"), length=101, gram=32, words=51).withColumnRenamed("kept_text", "text")
+    """Texts without passages of over 50 words that repeat; documents of which no word is left go."""
+    left = repeated_spans(docs, with_text=True, carry=("lang", "source"), unit=PASSAGES).withColumnRenamed("kept_text", "text")
     return left.withColumn("n_chars", F.length("text").cast("long")).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*COLUMNS)
 
 
