@@ -5,10 +5,11 @@ arcs labelled a lead to a state s; they are led to a copy s' of s that lacks the
 arc a gets an arc ab to where b led. A path of the automaton then spells a word's tokens exactly if they are
 the tokens that BPE gives. All arcs of one label enter one state, so the state after label a at time T is the
 pair (a, T), a gadget is the note that (a, b) was taken away at its time, and has_arc() follows a state back
-through its copies. Arcs that were asked for stay in a table.
+through its copies. All arcs together would be the square of the vocabulary; those that were asked for stay in a table.
 
-A word has exactly one path. encode_word() finds it from left to right, longest tokens first; as the path to a
-place is unique, no place is tried twice. Decoding emits the arcs' labels.
+A word has exactly one path. It is found from left to right, longest tokens first; as the path to a place is unique, no
+place is tried twice. encode_words() lets all new words of a block of texts go along at once, each step a look-up in
+the tables of labels and arcs. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +28,23 @@ from .common import KEPT, documents
 
 WORD_END = "</w>"
 END = "\0"  # stands for it within a word
-#: Entries that a worker keeps of its runs, words and arcs before it starts anew; only memory and time depend on it.
-CACHE_RUNS, CACHE_WORDS, CACHE_ARCS = 400_000, 200_000, 400_000
+#: Entries of a generation of the runs and words that a worker keeps, and arcs; only memory and time depend on it.
+CACHE_RUNS, CACHE_WORDS, CACHE_ARCS = 300_000, 200_000, 400_000
+BLOCK_CHARS = 2_000_000  # characters of texts that are encoded together
+LONG = 64  # bytes of a word that goes its way alone
+STOP = 256  # the word end among bytes
 #: The split pattern of the tokenizer's file. Its white space only parts words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
 
+MARKS = frozenset(".,!?;:")
+
+
+def lowered(text: str) -> str:
+    """One character at a time: a final sigma gets no form of its own."""
+    return text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: bytes that are visible
     Latin-1 stand for themselves, the others are numbered from U+0100 in order."""
@@ -56,7 +69,7 @@ class Automaton:
         self.split = regex.compile(SPLIT)
         self.bytes = byte_chars()
         self.arcs: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.arc_keys, self.arc_ok = np.empty(0, np.int64), np.empty(0, bool)
 
     def compile_merges(self, merges: list[tuple[int, int, int]]) -> None:
         """One gadget for each merge, in order. born: -1 for base symbols."""
@@ -103,6 +116,14 @@ class Automaton:
                     self.trie.setdefault(s[:k], last)
             self.shorter[i] = last
             self.trie[s] = i
+        # the same by numbers: (node, byte) -> node in order, and each node's longest label
+        byte = {c: k for k, c in enumerate(byte_chars())} | {END: STOP}
+        nodes = {"": 0} | {s: k + 1 for k, s in enumerate(p for p in self.trie if set(p) <= byte.keys())}
+        steps = sorted((nodes[p[:-1]] * 512 + byte[p[-1]], k, self.trie[p]) for p, k in nodes.items() if p and p[:-1] in nodes)
+        self.step_keys, self.step_to = (np.array([x[j] for x in steps], np.int64) for j in (0, 1))
+        self.node_label = np.full(len(nodes), -1, np.int64)
+        self.node_label[self.step_to] = [x[2] for x in steps]
+        self.sizes, self.shorters = np.array([*self.size, 0], np.int64), np.array([*self.shorter, -1], np.int64)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word."""
@@ -150,38 +171,107 @@ class Automaton:
                 label = shorter[label]
         return path
 
-    def word(self, word: str) -> list[int]:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            got = self.words[word] = self.encode_word(word)
-        return got
+    def longest(self, chars: np.ndarray) -> np.ndarray:
+        """The longest label that begins at each place; -1 for none."""
+        out = np.full(len(chars), -1, np.int64)
+        at, node, deep = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        while len(at):
+            key = node * 512 + chars[at + deep]
+            k = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            ok = self.step_keys[k] == key
+            at, node = at[ok], self.step_to[k[ok]]
+            label = self.node_label[node]
+            out[at[label >= 0]] = label[label >= 0]
+            deep += 1
+            on = at + deep < len(chars)
+            at, node = at[on], node[on]
+        return out
+
+    def have_arcs(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """has_arc() of many, from the table; what it lacks is added."""
+        keys = states << 20 | labels
+        for _ in range(2):
+            k = np.minimum(np.searchsorted(self.arc_keys, keys), max(len(self.arc_keys) - 1, 0))
+            new = np.unique(keys[self.arc_keys[k] != keys]) if len(self.arc_keys) else np.unique(keys)
+            if not len(new):
+                break
+            ok = np.array([self.has_arc(x >> 20, x & 0xFFFFF) for x in new.tolist()], bool)
+            if len(self.arc_keys) > CACHE_ARCS:
+                new = np.unique(keys)
+                ok = np.array([self.has_arc(x >> 20, x & 0xFFFFF) for x in new.tolist()], bool)
+                self.arc_keys, self.arc_ok = new, ok
+            else:
+                place = np.searchsorted(self.arc_keys, new)
+                self.arc_keys, self.arc_ok = np.insert(self.arc_keys, place, new), np.insert(self.arc_ok, place, ok)
+        return self.arc_ok[k] if len(keys) else np.empty(0, bool)
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each of many pre-split words. All stand one behind the other; a word's walker is at `at`, has come by the label
+        `state` and tries `label`; out and before hold its path, dead the places from which no path goes on."""
+        raw = [w.encode("utf-8", "replace") for w in words]
+        if any(len(w) > LONG for w in raw):
+            brief = [k for k, w in enumerate(raw) if len(w) <= LONG]
+            got = dict(zip(brief, self.encode_words([words[k] for k in brief]), strict=True))
+            return [got[k] if k in got else self.encode_word(w) for k, w in enumerate(words)]
+        if not raw:
+            return []
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        ends = np.cumsum(sizes)
+        chars = np.full(ends[-1], STOP, np.int64)
+        inner = np.ones(len(chars), bool)
+        inner[ends - 1] = False
+        chars[inner] = np.frombuffer(b"".join(raw), np.uint8)
+        first = self.longest(chars)
+        out, before, dead = np.full(len(chars) + 1, -1, np.int64), np.zeros(len(chars) + 1, np.int64), np.zeros(len(chars) + 1, bool)
+        dead[ends - 1] = True  # no label is an end alone
+        start, stop = ends - sizes, ends
+        at, state, label = start.copy(), np.full(len(raw), -1, np.int64), first[start]
+        while len(at):
+            to = at + self.sizes[label]
+            ok = (label >= 0) & ~dead[to]
+            ask = np.flatnonzero(ok & (state >= 0))
+            ok[ask] = self.have_arcs(state[ask], label[ask])
+            back, less = label < 0, self.shorters[label]
+            out[at[ok]], before[to[ok]] = label[ok], at[ok]
+            next_at, next_state = np.where(ok, to, at), np.where(ok, label, state)
+            if back.any():
+                dead[at[back]] = True
+                gone = before[at[back]]
+                less[back] = self.shorters[out[gone]]
+                out[gone] = -1
+                next_at[back] = gone
+                next_state[back] = np.where(gone > start[back], out[before[gone]], -1)
+            on = next_at < stop
+            at, state, start, stop = next_at[on], next_state[on], start[on], stop[on]
+            label = np.where(ok[on], first[np.minimum(at, len(first) - 1)], less[on])
+        flat = out[out >= 0].tolist()
+        bounds = np.r_[0, np.cumsum(out[:-1] >= 0)[ends - 1]].tolist()
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def split_run(self, run: str) -> list[str]:
+        """Pre-split words of text without ASCII white space and special tokens: normalised, split."""
+        if not run.isascii():
+            run = unicodedata.normalize("NFC", run)
+        return self.words_of(lowered(run))
+
+    def words_of(self, run: str) -> list[str]:
+        # letters, and letters with one mark behind them, need no pattern
+        if run.isalpha():
+            return [run]
+        if run[-1:] in MARKS and run[:-1].isalpha():
+            return [run[:-1], run[-1]]
+        return self.split.findall(run)
 
     def encode_run(self, run: str) -> list[int]:
-        """Ids of text without ASCII white space, special tokens included: normalised, split, encoded."""
-        if "<|" not in run:
-            return self._encode_plain(run)
+        """Ids of text without ASCII white space, special tokens included."""
         out: list[int] = []
         for k, part in enumerate(self.split_special.split(run) if self.split_special else (run,)):
             if k % 2:
                 out.append(self.special[part])
-            elif part:
-                out += self._encode_plain(part)
+            else:
+                out += [i for w in self.split_run(part) for i in self.encode_word(w)]
         return out
 
-    def _encode_plain(self, part: str) -> list[int]:
-        if not part.isascii():
-            part = unicodedata.normalize("NFC", part)
-        # one character at a time: a final sigma gets no form of its own
-        part = part.lower() if "Σ" not in part else "".join([c.lower() for c in part])
-        # letters, and letters with one mark behind them, need no pattern
-        if part.isalpha():
-            return self.word(part)
-        if part[-1] in ".,!?;:" and part[:-1].isalpha():
-            return self.word(part[:-1]) + self.word(part[-1])
-        return [i for word in self.split.findall(part) for i in self.word(word)]
-
     def encode(self, text: str | None) -> list[int]:
         """Nothing reaches over white space: normal forms, letters and splits are those of each run."""
         return [i for run in (text or "").encode("utf-8", "replace").split() for i in self.encode_run(run.decode())]
@@ -192,46 +282,81 @@ class Automaton:
 
 
 class Runs:
-    """run of a text without white space -> what make(its ids) gives; a worker keeps it for its next tasks."""
+    """run of a text without white space -> make(ids) of its words, joined; a worker keeps it for its next tasks.
+
+    Runs and words are remembered in two generations: when the younger is full it becomes the older, and what is asked
+    for again moves to the new one, so that frequent ones stay while rare ones go."""
 
     kept: dict[tuple[str, str], Runs] = {}
 
-    def __init__(self, automaton: Automaton, make: Callable):
-        self.automaton, self.make, self.known = automaton, make, {}
+    def __init__(self, automaton: Automaton, make: Callable, join: Callable):
+        self.automaton, self.make, self.join = automaton, make, join
+        self.runs: list[dict] = [{}, {}]
+        self.words: list[dict] = [{}, {}]
 
     @classmethod
-    def of(cls, path: str, kind: str, make: Callable[[Automaton], Callable]) -> Runs:
+    def of(cls, path: str, kind: str, make: Callable[[Automaton], Callable], join: Callable) -> Runs:
         if (path, kind) not in cls.kept:
             automaton = Automaton(path)
-            cls.kept[path, kind] = cls(automaton, make(automaton))
+            cls.kept[path, kind] = cls(automaton, make(automaton), join)
         return cls.kept[path, kind]
 
-    def parts(self, text: str | None) -> list:
-        if not text:
-            return []
-        runs = text.encode("utf-8", "replace").split()
-        known, k = self.known, -1
-        got = list(map(known.get, runs))
-        if None in got:
-            if len(known) > CACHE_RUNS:
-                known.clear()
-            encode, make = self.automaton.encode_run, self.make
-            while True:
-                try:
-                    k = got.index(None, k + 1)
-                except ValueError:
-                    break
-                run = runs[k]
-                part = known.get(run)
-                if part is None:
-                    part = known[run] = make(encode(run.decode()))
-                got[k] = part
-        return got
+    @staticmethod
+    def lacking(held: list[dict], most: int, keys: set) -> list:
+        """Keys that neither generation has; those of the older one come to the younger."""
+        if len(held[0]) > most:
+            held[:] = [{}, held[0]]
+        now, older = held
+        lacking = []
+        for key in keys.difference(now):
+            if (value := older.get(key)) is None:
+                lacking.append(key)
+            else:
+                now[key] = value
+        return lacking
+
+    def blocks(self, texts: Iterable) -> Iterator[list]:
+        """For each text (an Arrow string) of a column, the list of its runs' values."""
+        block, size = [], 0
+        for x in texts:
+            text = x.as_py() or ""
+            block.append(text.encode("utf-8", "replace").split())
+            size += len(text)
+            if size > BLOCK_CHARS:
+                yield from self.values(block)
+                block, size = [], 0
+        yield from self.values(block)
+
+    def values(self, block: list[list[bytes]]) -> Iterator[list]:
+        self.learn(self.lacking(self.runs, CACHE_RUNS, set().union(*block)))
+        for runs in block:
+            yield list(map(self.runs[0].__getitem__, runs))
+
+    def learn(self, runs: list[bytes]) -> None:
+        if not runs:
+            return
+        a, known = self.automaton, self.runs[0]
+        plain = [r for r in runs if b"<|" not in r]
+        text = b"\n".join(plain).decode()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        split = [a.words_of(run) for run in lowered(text).split("\n")] if plain else []
+        new = self.lacking(self.words, CACHE_WORDS, {w for ws in split for w in ws})
+        words = self.words[0]
+        words.update(zip(new, map(self.make, a.encode_words(new)), strict=True))
+        for run, ws in zip(plain, split, strict=True):
+            known[run] = words[ws[0]] if len(ws) == 1 else self.join([words[w] for w in ws])
+        if len(plain) < len(runs):
+            known.update((r, self.make(a.encode_run(r.decode()))) for r in runs if b"<|" in r)
 
 
 KEPT.append(Runs.kept)
 
 
+def joined_texts(parts: list[tuple[str, str]]) -> tuple[str, str]:
+    return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text, ...).
 
@@ -239,11 +364,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs.of(path, "text", lambda a: lambda ids: (" ".join(map(str, ids)), a.decode(ids)))
+        runs = Runs.of(path, "text", lambda a: lambda ids: (" ".join(map(str, ids)), a.decode(ids)), joined_texts)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for x in b.column(1):
-                parts = [p for p in runs.parts(x.as_py()) if p[0]]
+            for values in runs.blocks(b.column(1)):
+                parts = [p for p in values if p[0]]
                 ids = " ".join([p[0] for p in parts])
                 n.append(ids.count(" ") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())

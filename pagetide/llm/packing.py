@@ -41,11 +41,11 @@ def pieces_of(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs.of(path, "bytes", lambda a: little_endian)
+        runs = Runs.of(path, "bytes", lambda a: little_endian, b"".join)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for doc_id, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = b"".join(runs.parts(x.as_py())) + end
+            for doc_id, values in zip(b.column(0).to_pylist(), runs.blocks(b.column(1)), strict=True):
+                ids = b"".join(values) + end
                 n = len(ids) // 4
                 for at in range(0, n, length):
                     piece = ids[4 * at : 4 * (at + length)]
