@@ -1,11 +1,12 @@
 """Quality rules with thresholds from the data.
 
-Each document gets a few ratios. For each language and source, and each ratio, a quantile sketch of logarithmic
+Each document gets a few ratios of counts. For each language and source, and each ratio, a quantile sketch of logarithmic
 buckets (relative error 1 %) is kept as rows (language, source, ratio, bucket, count): sketches merge by adding
-counts, so a language's sketch, and that of everything, come from those of its sources without a second pass. A
-document is dropped when a ratio lies outside fences that stand three interquartile ranges from the quartiles
-of its own language and source. Sources with too few documents take their language's fences, languages with
-too few those of everything.
+counts, so a language's sketch, and that of everything, come from those of its sources without a second pass. The
+fences of a group lie beyond its tail quantiles, three times as far as these are from the median. A document is dropped
+when a count lies outside what its group's fences allow for its size, by more than three standard errors of such a count and three
+single cases: so one odd word of a brief text drops nothing, where no other text of the group has any. Sources with too
+few documents take their language's fences, languages with too few those of everything.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import ODD, WordHashes, documents, mix, stored
 
-#: Ratio -> (its expression, whether low values count as bad too, the least range that a fence assumes).
+#: Ratio -> (count, size, whether low values count as bad too).
 RATIOS = {
-    "symbols": ("n_symbols / n_words", False, 0.1),
-    "dup_lines": ("n_dup_lines / n_lines", False, 0.2),
-    "repeats": ("n_repeat_words / n_words", False, 0.1),
-    "word_chars": ("word_chars / n_words", True, 0.5),
+    "symbols": ("n_symbols", "n_words", False),
+    "dup_lines": ("n_dup_lines", "n_lines", False),
+    "repeats": ("n_repeat_words", "n_words", False),
+    "word_chars": ("word_chars", "n_words", True),
 }
-GAMMA, ENOUGH, FENCE = 1.02, 200, 3.0
+#: Growth of the sketch's buckets, documents that make a group, tail quantile, reach beyond it in distances from the median,
+#: and how many standard errors and single cases a count may lie outside. The same for every ratio.
+GAMMA, ENOUGH, TAIL, REACH, ERRORS, CASES = 1.02, 200, 0.9, 3.0, 3.0, 3.0
 ZERO = -(1 << 20)  # the bucket of 0
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
@@ -74,7 +77,7 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): one sketch for each language, source and ratio."""
-    each = ", ".join(f"'{k}', double({e})" for k, (e, _, _) in RATIOS.items())
+    each = ", ".join(f"'{k}', double({c} / {n})" for k, (c, n, _) in RATIOS.items())
     long = rows.selectExpr("lang", "source", f"stack({len(RATIOS)}, {each}) as (ratio, value)")
     bucket = F.when(F.col("value") <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log("value") / math.log(GAMMA)).cast("int"))
     return long.withColumn("bucket", bucket).groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
@@ -86,24 +89,24 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, total, <ratio>_low, <ratio>_high) from the sketches' quartiles."""
+    """(keys, total, <ratio>_low, <ratio>_high) from the sketches' median and tails."""
     by = Window.partitionBy(*keys, "ratio")
     cum = sketch.withColumn("cum", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
     value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), "bucket") * (2 / (1 + GAMMA)))
-    q = {p: F.min(F.when(F.col("cum") >= p * F.col("total"), value)) for p in (0.25, 0.75)}
-    quartiles = cum.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), q[0.25].alias("q1"), q[0.75].alias("q3"))
+    low, mid, high = (F.min(F.when(F.col("cum") >= p * F.col("total"), value)) for p in (1 - TAIL, 0.5, TAIL))
+    quantiles = cum.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), low.alias("low"), mid.alias("mid"), high.alias("high"))
     out = [F.max("total").alias("total")]
-    for k, (_, both, least) in RATIOS.items():
-        reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        out.append(F.max(F.when(F.col("ratio") == k, F.col("q3") + reach)).alias(f"{k}_high"))
-        out.append(F.max(F.when(F.col("ratio") == k, F.col("q1") - reach if both else F.lit(-1.0))).alias(f"{k}_low"))
-    return quartiles.groupBy(*keys).agg(*out)
+    for k, (_, _, both) in RATIOS.items():
+        own = F.col("ratio") == k
+        out.append(F.max(F.when(own, F.col("high") + REACH * (F.col("high") - F.col("mid")))).alias(f"{k}_high"))
+        out.append(F.max(F.when(own, F.greatest(F.lit(0.0), F.col("low") - REACH * (F.col("mid") - F.col("low"))) if both else F.lit(0.0))).alias(f"{k}_low"))
+    return quantiles.groupBy(*keys).agg(*out)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row of docs.
 
-    docs(doc_id, text, lang, source, ...). A null text has no words, so it fails the base. A null language or
+    docs(doc_id, text, lang, source, ...). Statistics cover the documents that pass the base rules. A null text has no words, so it fails the base. A null language or
     source is a group like any other. Rows that repeat count as often as they stand there.
     """
     rows = stored(measured(docs).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")))
@@ -118,8 +121,9 @@ def judged(docs: DataFrame) -> DataFrame:
     table = stored(table.select("s_lang", "s_source", *pick))
     joined = rows.join(table, rows["lang"].eqNullSafe(table["s_lang"]) & rows["source"].eqNullSafe(table["s_source"]), "left")
     inside = F.lit(True)
-    for k, (e, _, _) in RATIOS.items():
-        inside = inside & F.expr(e).between(F.col(f"{k}_low"), F.col(f"{k}_high"))
+    for k, (count, n, _) in RATIOS.items():
+        low, high = (F.col(f"{k}_{end}") * F.col(n) for end in ("low", "high"))
+        inside = inside & F.col(count).between(low - ERRORS * F.sqrt(low) - CASES, high + ERRORS * F.sqrt(high) + CASES)
     kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True)))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
