@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 
 from .common import documents, stored
 
-SPANS = "array<struct<kind:string,start:int,end:int,hit:string>>"
+SPANS = "array<struct<kind:string,start:int,end:int,hit:string,before:string>>"
+NEAR = 40  # characters before a span that labelers see
 LOCAL = "A-Za-z0-9._%+-"
 #: Base patterns, written so that a long run is not tried anew from each of its characters: a match can only
-#: start where its first run starts or where the match before has ended, and what is matched is never given back.
+#: start where its first run starts or where the match before has ended, and what is matched is never given back. Of runs
+#: of digits, those of 13 and more are worth a vote, so shorter ones are no matches.
 BASE = {
     "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Wider candidates: an address with "at" in words, a number in groups without a plus, a long hexadecimal string.
@@ -62,19 +64,33 @@ def valid(kind: str) -> str:
 
 
 def matches(kind: str, pattern: str) -> str:
-    """SQL: leftmost non-overlapping matches of a pattern in text, with places in code points, end exclusive."""
-    step = f"struct(a.at + length(x.g) + length(x.h) as at, concat(a.out, array(struct('{kind}' as kind, a.at + length(x.g) as start, a.at + length(x.g) + length(x.h) as end, x.h as hit))) as out)"
-    return f"""aggregate(
-        zip_with(split(text, r'{pattern}'), regexp_extract_all(text, r'{pattern}', 0), (g, h) -> struct(g, h)),
-        cast(struct(0, array()) as struct<at:int,out:{SPANS}>),
-        (a, x) -> if(x.h is null, a, {step}), a -> a.out)"""
+    """SQL: leftmost non-overlapping matches of a pattern in text, with places in code points, end exclusive, and the characters
+    before them.
+
+    Places are sums of the lengths before. They are summed in chunks of about sqrt(n) matches, so that nothing grows or
+    is counted off match by match over a dense text."""
+    found = f"""filter(zip_with(split(text, r'{pattern}'), regexp_extract_all(text, r'{pattern}', 0), (g, h) -> struct(length(g) as n, right(g, {NEAR}) as g, h as h)), x -> x.h is not null)"""
+    start, end = "a.at + x.n", "a.at + x.n + length(x.h)"
+    step = f"""struct({end} as at, right(concat(a.near, x.g, x.h), {NEAR}) as near,
+        concat(a.out, array(struct('{kind}' as kind, {start} as start, {end} as end, x.h as hit, right(concat(a.near, x.g), {NEAR}) as before))) as out)"""
+    # what stands before a chunk: its last NEAR matches hold at least so many characters
+    near = f"right(array_join(transform(slice(i, greatest(1, o.k - {NEAR} + 1), least({NEAR}, o.k)), x -> concat(x.g, x.h)), ''), {NEAR})"
+    each = f"aggregate(c, cast(struct(o.at, {near}, array()) as struct<at:int,near:string,out:{SPANS}>), (a, x) -> {step}, a -> a.out)"
+    before = """aggregate(cs, array(struct(0 as k, 0 as at)), (b, c) -> concat(b, array(struct(element_at(b, -1).k + size(c) as k,
+        element_at(b, -1).at + aggregate(c, 0, (a, x) -> a + x.n + length(x.h)) as at))))"""
+    return f"transform(array({found}), i -> flatten(transform(array({chunks('i')}), cs -> zip_with(cs, slice({before}, 1, size(cs)), (c, o) -> {each}))[0]))[0]"
+
+
+def chunks(items: str) -> str:
+    """SQL: an array cut into about sqrt(n) chunks of so many."""
+    return f"transform(array({items}), q -> if(size(q) = 0, array(), transform(sequence(0, size(q) - 1, int(ceil(sqrt(size(q))))), k -> slice(q, k + 1, int(ceil(sqrt(size(q))))))))[0]"
 
 
 def when_found(kind: str, pattern: str, need: str) -> str:
     return f"case when {need} then if(text rlike r'{pattern}', {matches(kind, pattern)}, cast(array() as {SPANS})) else cast(array() as {SPANS}) end"
 
 
-#: SQL: votes on a candidate x with x.kind, x.hit, x.before (the 40 characters before it, in lower case).
+#: SQL: votes on a candidate x with x.kind, x.hit, x.before (the characters before it, in lower case).
 VOTES = {
     "shape": f"""case x.kind when 'email' then if(x.hit rlike r'^[A-Za-z0-9][{LOCAL}]*', 1, -1) when 'ip' then if(x.hit rlike r'^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$', 1, -1)
         when 'card' then if(length({digits()}) = 16, 1, -1) when 'phone' then if(length({digits()}) between 9 and 13 and x.hit rlike r'[ ().-]', 1, -1)
@@ -107,14 +123,15 @@ def candidates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         docs = docs.withColumn(f"b_{kind}", F.expr(when_found(kind, p, need)))
     for kind, p in WIDE.items():
         docs = docs.withColumn(f"w_{kind}", F.expr(when_found(kind, p, "contains(text, 'at)') or contains(text, 'at]')" if kind == "email" else has_digit)))
-    # of the card pattern's matches, those of at least 13 digits are worth a vote
-    docs = docs.withColumn("b_card", F.expr(f"filter(b_card, x -> length({digits()}) >= 13)"))
     base = "concat(" + ", ".join(f"filter(b_{k}, x -> {valid(k)})" for k in BASE) + ")"
     docs = docs.withColumn("base", F.expr(base))
-    apart = "not exists(base, y -> x.start < y.end and y.start < x.end)"
-    seen = "struct(x.kind as kind, x.start as start, x.end as end, x.hit as hit, {wide} as wide, lower(substr(text, greatest(1, x.start - 39), least(40, x.start))) as before)"
+    # base spans in chunks by place, so that a wider candidate looks into few of them
+    ordered = "array_sort(transform(base, y -> struct(y.start as start, y.end as end)))"
+    placed = f"transform({chunks(ordered)}, c -> struct(c[0].start as low, array_max(transform(c, y -> y.end)) as high, c as c))"
+    apart = "not exists(placed, p -> p.low < x.end and x.start < p.high and exists(p.c, y -> x.start < y.end and y.start < x.end))"
+    seen = "struct(x.kind as kind, x.start as start, x.end as end, x.hit as hit, {wide} as wide, lower(x.before) as before)"
     every = f"concat(transform(concat({', '.join(f'b_{k}' for k in BASE)}), x -> {seen.format(wide='false')}), transform(filter(concat({', '.join(f'w_{k}' for k in WIDE)}), x -> {apart}), x -> {seen.format(wide='true')}))"
-    docs = docs.withColumn("every", F.expr(every))
+    docs = docs.withColumn("every", F.expr(f"transform(array({placed}), placed -> {every})[0]"))  # bound once, not once a candidate
     cols = ", ".join([f"{e} as v_{k}" for k, e in VOTES.items()] + [f"{e} as f_{k}" for k, e in FEATURES.items()])
     tried = F.expr(f"transform(every, x -> struct(x.kind as kind, x.start as start, x.end as end, x.wide as wide, {cols}))")
     return docs.select("doc_id", "own", F.expr("transform(base, x -> struct(x.kind as kind, x.start as start, x.end as end))").alias("base"), tried.alias("tried"))
@@ -191,6 +208,20 @@ def personal_spans(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return found.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", added)).alias("spans"), *[F.col(f"own.{c}").alias(c) for c in carry])
 
 
+def masked() -> str:
+    """SQL: text with [KIND] in place of its spans; where spans overlap, the first takes the place. By chunks of spans, each on
+    its own piece of the text."""
+    order = "array_sort(transform(spans, x -> struct(x.start as start, x.end as end, x.kind as kind)))"
+    ends = "aggregate(cs, array(0), (b, c) -> concat(b, array(greatest(element_at(b, -1), array_max(transform(c, x -> x.end))))))"
+    step = """if(x.start < a.at, struct(greatest(a.at, x.end) as at, a.out as out),
+        struct(x.end as at, concat(a.out, substr(e.piece, a.at - e.low + 1, x.start - a.at), '[', upper(x.kind), ']') as out))"""
+    piece = "struct(b[k] as low, cs[k] as c, substr(text, b[k] + 1, b[k + 1] - b[k]) as piece)"
+    each = f"aggregate(e.c, cast(struct(e.low, '') as struct<at:int,out:string>), (a, x) -> {step}, a -> a.out)"
+    parts = f"transform(transform(sequence(0, size(cs) - 1), k -> {piece}), e -> {each})"
+    whole = f"concat(array_join({parts}, ''), substr(text, element_at(b, -1) + 1))"
+    return f"if(size(spans) = 0, text, transform(array({chunks(order)}), cs -> transform(array({ends}), b -> {whole})[0])[0])"
+
+
 def joined(spans: str):
     return F.expr(f"array_join(transform({spans}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
 
