@@ -16,6 +16,7 @@ Scoring looks up each distinct pair of a block of documents once.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -45,6 +46,8 @@ class Folder:
     offsets: np.ndarray | None = None  # ids before each range
     total: int = 0  # training tokens
     hot: np.ndarray | None = None  # ids of contexts that are dealt out by pair
+    ranges: frozenset = frozenset()  # of words; and shards of pairs, that hold any
+    pairs: frozenset = frozenset()
     discounts: dict = field(default_factory=dict)
     opened: dict = field(default_factory=dict, repr=False)
 
@@ -57,9 +60,11 @@ class Folder:
         os.replace(beside, at)
 
     def read(self, name: str, dtype) -> np.ndarray:
+        """An array; empty where nothing was written. A file that was written and is not to be seen is an error."""
         if name not in self.opened:
-            at = f"{self.path}/{name}"
-            self.opened[name] = np.memmap(at, dtype, "r") if os.path.exists(at) and os.path.getsize(at) else np.empty(0, dtype)
+            part = int(re.search(r"-([0-9]+)", name)[1])
+            there = part in (self.pairs if name.startswith("pairs") else self.ranges)
+            self.opened[name] = np.memmap(f"{self.path}/{name}", dtype, "r") if there else np.empty(0, dtype)
         return self.opened[name]
 
     @property
@@ -227,7 +232,7 @@ def count_pairs(train: DataFrame, folder: Folder) -> list:
         folder.write(f"pairs-{part}.keys", keys)
         folder.write(f"pairs-{part}.counts", counts.astype(np.uint32))
         context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        out = [pa.table({"kind": ["cc"], "part": pa.array([0], pa.int32()), "keys": pa.array([b""], pa.binary()), "counts": pa.array([np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.uint64).tobytes()], pa.binary())})]
+        out = [pa.table({"kind": ["cc"], "part": pa.array([0], pa.int32()), "keys": pa.array([np.array([part], np.uint64).tobytes()], pa.binary()), "counts": pa.array([np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.uint64).tobytes()], pa.binary())})]
         words, n = np.unique(word, return_counts=True)
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
         follow = np.stack([np.add.reduceat(test.astype(np.int64), first) for test in (counts == 1, counts == 2, counts >= 3)], 1)
@@ -253,11 +258,12 @@ def count_pairs(train: DataFrame, folder: Folder) -> list:
                 follow[at] += np.frombuffer(c.as_py(), np.uint32).reshape(-1, 3)
         folder.write(f"left-{r}", left.astype(np.uint32))
         folder.write(f"follow-{r}", follow.astype(np.uint32))
+        shards = [int(np.frombuffer(k.as_py(), np.uint64)[0]) for kind, k in zip(kinds, table.column("keys"), strict=True) if kind == "cc"]
         pairs = np.sum([np.frombuffer(c.as_py(), np.uint64) for kind, c in zip(kinds, table.column("counts"), strict=True) if kind == "cc"] or [np.zeros(4)], axis=0)
-        return pa.table({"pairs": pa.array([[int(x) for x in pairs]], pa.list_(pa.int64())), "left": pa.array([[int((left == k).sum()) for k in (1, 2, 3, 4)] + [int((left > 4).sum()), int(left.sum())]], pa.list_(pa.int64()))})
+        return pa.table({"shards": pa.array([shards], pa.list_(pa.int64())), "pairs": pa.array([[int(x) for x in pairs]], pa.list_(pa.int64())), "left": pa.array([[int((left == k).sum()) for k in (1, 2, 3, 4)] + [int((left > 4).sum()), int(left.sum())]], pa.list_(pa.int64()))})
 
     merged = train.mapInArrow(count, BLOCK).groupBy("part").applyInArrow(merge, "kind string, part int, keys binary, counts binary")
-    return merged.groupBy("part").applyInArrow(by_id, "pairs array<long>, left array<long>").collect()
+    return merged.groupBy("part").applyInArrow(by_id, "shards array<long>, pairs array<long>, left array<long>").collect()
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -288,10 +294,13 @@ def trained(train: DataFrame) -> Folder:
     sizes = [parts[p]["types"] if p in parts else 0 for p in range(folder.shards)]
     folder.offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
     folder.total = sum(r["tokens"] for r in parts.values())
-    folder.hot = np.empty(0, np.uint64)
+    folder.hot, folder.ranges = np.empty(0, np.uint64), frozenset(parts)
+    if folder.types >= 2**32:
+        raise ValueError("a pair's key has 32 bits for each word: over 2 ** 32 words need wider keys")
     if folder.types:
         folder.hot = hot_words(spark, folder)
         rows = count_pairs(train, folder)
+        folder.pairs = frozenset(p for r in rows for p in r["shards"])
         pairs, left = ([sum(x) for x in zip(*(r[k] for r in rows), strict=True)] for k in ("pairs", "left"))
         folder.discounts = {"pairs": discounts(pairs), "left": discounts(left), "distinct": left[5]}
         d = folder.discounts["left"]
