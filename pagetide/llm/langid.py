@@ -3,7 +3,8 @@
 Blended-spectrum presence kernel: a text is the set of its 1- to 4-grams of characters (letters in lower case,
 runs of all else as one blank), and k(x, y) = |x and y| / sqrt(|x| |y|). A bounded, documented sample of labelled
 documents fits the model: some of them are the Nystroem landmarks, whose kernel matrix gives the features, and
-one-versus-rest kernel ridge regression in these features gives one weight vector for each language. Scoring is a product of
+one-versus-rest kernel ridge regression in these features gives one weight vector for each language. n-grams are known
+by 64-bit hashes, so the kernel is exact but for their collisions. Scoring is a product of
 the presence matrix of a batch of documents with the landmarks' presence matrix, then one with the weights.
 """
 
@@ -17,38 +18,35 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ODD, crc_mod, documents, mix, release, stored
+from .common import M1, ODD, crc_mod, documents, mix, release, stored
 
-ORDERS, BITS = (1, 2, 3, 4), 15
+ORDERS = 4
 #: The bounds of the sample: documents in all, documents of one language, characters of them all.
 SAMPLE, PER_LANG, SAMPLE_CHARS = 3000, 400, 30_000_000
 LANDMARKS, RIDGE = 192, 0.05
-UNDETERMINED = "und"
+UNDETERMINED, BATCH = "und", 64
 LETTER, OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def grams(text: str) -> np.ndarray:
-    """Slots (of 2 ** BITS) of the text's distinct n-grams; none without letters."""
+    """Sorted 64-bit hashes of the text's distinct n-grams; none without letters."""
     clean = OTHER.sub(" ", text.lower()).strip()
     if not clean:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     c = np.frombuffer(f" {clean} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    seen = np.zeros(1 << BITS, bool)
-    acc = np.zeros(len(c), np.uint64)
-    for k in range(max(ORDERS)):
-        if k >= len(c):
-            break
+    acc, found = np.zeros(len(c), np.uint64), []
+    for k in range(min(ORDERS, len(c))):
         acc = acc[: len(c) - k] * ODD + c[k:]
-        if k + 1 in ORDERS:
-            seen[mix(acc + np.uint64(k)) >> np.uint64(64 - BITS)] = True
-    return np.flatnonzero(seen)
+        found.append(acc + M1 * np.full(1, k, np.uint64))
+    h = np.sort(mix(np.concatenate(found)))
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 class Model:
     """languages, the landmarks' normalised presence matrix, and weights from landmark kernels to languages."""
 
-    def __init__(self, languages: list[str], slots: np.ndarray, landmarks: np.ndarray, weights: np.ndarray):
-        self.languages, self.slots, self.landmarks, self.weights = languages, slots, landmarks, weights
+    def __init__(self, languages: list[str], used: np.ndarray, landmarks: np.ndarray, weights: np.ndarray):
+        self.languages, self.used, self.landmarks, self.weights = languages, used, landmarks, weights
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], n_landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
@@ -63,12 +61,10 @@ class Model:
             chosen += [x.pop(0) for x in left if x]
         chosen = chosen[:n_landmarks]
         used = np.unique(np.concatenate([sets[k] for k in chosen]))
-        place = np.full(1 << BITS, -1)
-        place[used] = np.arange(len(used))
         marks = np.zeros((len(used), len(chosen)), np.float32)
         for m, k in enumerate(chosen):
-            marks[place[sets[k]], m] = 1 / np.sqrt(len(sets[k]))
-        model = cls(languages, place, marks, np.zeros((len(chosen), len(languages))))
+            marks[np.searchsorted(used, sets[k]), m] = 1 / np.sqrt(len(sets[k]))
+        model = cls(languages, used, marks, np.zeros((len(chosen), len(languages))))
         kernel = model.kernels([sets[k] for k in rows]).astype(float)
         among = model.kernels([sets[k] for k in chosen]).astype(float)
         values, vectors = np.linalg.eigh((among + among.T) / 2)
@@ -81,10 +77,11 @@ class Model:
         return model
 
     def kernels(self, sets: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(sets), self.landmarks.shape[0]), np.float32)
+        """k(x, y) of each set x with each landmark y."""
+        x = np.zeros((len(sets), len(self.used)), np.float32)
         for k, s in enumerate(sets):
-            at = self.slots[s]
-            x[k, at[at >= 0]] = 1 / np.sqrt(max(1, len(s)))
+            at = np.minimum(np.searchsorted(self.used, s), len(self.used) - 1)
+            x[k, at[self.used[at] == s]] = 1 / np.sqrt(max(1, len(s)))
         return x @ self.landmarks
 
     def predict(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +142,7 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 if model is not None and text and LETTER.search(text):
                     todo.append(k)
                     sets.append(grams(text))
-                    if len(sets) == 256:
+                    if len(sets) == BATCH:
                         flush()
             flush()
             yield pa.record_batch([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
