@@ -26,7 +26,7 @@ SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000  # the sample has at most so man
 #: Rows in the leaves that a query opens (a row counts in each tree), as a share of all rows. Vectors without clusters, as
 #: those of the test tables, need this much for a recall of 0.94; clustered ones far less.
 SHARE = 1.0
-SMALL, PART_ROWS = 2000, 2000  # tables up to SMALL are searched whole; rows of a leaf that go to one task
+PART_ROWS = 2000  # rows of a leaf that go to one task
 
 
 class Tree:
@@ -133,7 +133,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, s
     for r in placed.select("leaves").mapInArrow(count, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
         sizes[r["tree"], r["leaf"]] = r["n"]
     parts = -(-sizes // PART_ROWS)
-    wanted = max(share * n, trees * (k + 2)) if n > SMALL else np.inf
+    wanted = max(share * n, trees * (k + 2))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
