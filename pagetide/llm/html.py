@@ -14,6 +14,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from .common import stored
 
 TOKEN = re.compile(r"""<(?:(?P<note>!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z))|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>)""", re.S)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NOTE = re.compile("<[!?]")
+ROOT = "#"  # the path of the page itself
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text.
 OPAQUE = frozenset("script style noscript template svg iframe object select textarea button canvas audio video math title head".split())
@@ -44,10 +47,13 @@ PATHS = 5
 
 
 class Page:
-    """Elements as parallel lists (parent before child), and blocks of text in page order."""
+    """Elements as parallel lists (parent before child), and blocks of text in page order. An element's path is a hash of the path
+    around it and its own step, so that deep pages take no more memory than flat ones."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.path, self.out = ["#"], [-1], [""], [False]
+        self.tag, self.parent, self.path, self.out = ["#"], [-1], [ROOT], [False]
+        # nearest block around; nearest open p that a new block ends; place in the stack
+        self.near_block, self.near_p, self.depth = [0], [0], [0]
         self.hints: list[frozenset[str]] = [frozenset()]
         self.blocks: list[list] = []  # [element, parts, characters in links]; while parsing, parts are (element, text, in a link)
         self._parse(source)
@@ -55,6 +61,8 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, links, at, n = [0], 0, 0, len(source)
+        last = source.rfind(">") + 1  # no tag ends behind it
+        open_tags: dict[str, int] = defaultdict(int)
         block: list | None = None
 
         def text(piece: str) -> None:
@@ -64,10 +72,7 @@ class Page:
             if block is None:
                 if piece.isspace():
                     return
-                k = len(stack) - 1
-                while k and self.tag[stack[k]] not in BLOCK:
-                    k -= 1
-                block = [stack[k], []]
+                block = [self.near_block[stack[-1]], []]
                 self.blocks.append(block)
             piece = html.unescape(piece) if "&" in piece else piece
             block[1].append((stack[-1], piece, links > 0))
@@ -76,44 +81,43 @@ class Page:
             nonlocal block, links
             for e in stack[k:]:
                 links -= self.tag[e] == "a"
+                open_tags[self.tag[e]] -= 1
                 if self.tag[e] in BLOCK:
                     block = None
             del stack[k:]
 
         while at < n:
-            m = TOKEN.search(source, at)
+            m = TOKEN.search(source, at, last)
             if m is None:
-                text(source[at:])
+                note = NOTE.search(source, max(at, last))  # one without an end
+                text(source[at : note.start() if note else n])
                 break
             text(source[at : m.start()])
             at = m.end()
             if m["note"]:
+                if m["note"].startswith("!--") and not m["note"].endswith("-->"):
+                    break
                 continue
             tag = (m["tag"] or m["tag2"]).lower()
             if m["end"] or m["end2"]:
-                k = len(stack) - 1
-                while k and self.tag[stack[k]] != tag:
-                    k -= 1
-                if k:
+                if open_tags[tag]:
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != tag:
+                        k -= 1
                     close(k)
                 continue
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if (t := self.tag[stack[k]]) == "p":
-                        close(k)
-                        break
-                    if t in CONTAINER:
-                        break
+            if tag in CLOSES_P and (p := self.near_p[stack[-1]]):
+                close(self.depth[p])
             if tag in ENDS:
                 what, stop = ENDS[tag]
-                last = 0
+                ended = 0
                 for k in range(len(stack) - 1, 0, -1):
                     if (t := self.tag[stack[k]]) in stop:
                         break
                     if t in what:
-                        last = k
-                if last:
-                    close(last)
+                        ended = k
+                if ended:
+                    close(ended)
             if tag in BLOCK:
                 block = None
             elif tag == "br":
@@ -122,6 +126,7 @@ class Page:
                 continue
             attrs = m["attrs"] or m["attrs2"] or ""
             self._open(tag, attrs, stack)
+            open_tags[tag] += 1
             links += tag == "a"
             if tag in RAW and not attrs.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
@@ -143,10 +148,14 @@ class Page:
                 hints |= names & (HINTS | TITLED)
         # generalised: classes in order, numbers taken out
         names = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
-        stack.append(len(self.tag))
+        e = len(self.tag)
+        self.depth.append(len(stack))
+        self.near_block.append(e if tag in BLOCK else self.near_block[up])
+        self.near_p.append(e if tag == "p" else 0 if tag in CONTAINER else self.near_p[up])
+        stack.append(e)
         self.tag.append(tag)
         self.parent.append(up)
-        self.path.append(f"{self.path[up]}>{'.'.join([tag, *names])}" if tag in BLOCK else self.path[up])
+        self.path.append(xxhash.xxh64_hexdigest(f"{self.path[up]}>{'.'.join([tag, *names])}") if tag in BLOCK else self.path[up])
         self.out.append(self.out[up] or tag in OPAQUE)
         self.hints.append(frozenset(hints))
 
@@ -198,6 +207,7 @@ class Page:
         for e in range(n - 1, 0, -1):
             plain[self.parent[e]] += plain[e]
             linked[self.parent[e]] += linked[e]
+        self.holder = holder
         self.sizes: dict[str, list[int]] = {}
         self.around: dict[str, tuple[str, str]] = {}  # path -> tag, path around it
         for e in range(n):
@@ -213,12 +223,12 @@ class Page:
         if path not in self.around:
             return path
         p = path
-        while p:
+        while p != ROOT:
             if self.around[p][0] == "article":
                 return p
             p = self.around[p][1]
         p = best = path
-        while p and self.around[p][0] != "main":
+        while p != ROOT and self.around[p][0] != "main":
             p = self.around[p][1]
             plain, linked = (self.sizes[p][k] - self.sizes[best][k] for k in (0, 1))
             top = self.around[p][0] in ("#", "html", "body")
@@ -226,21 +236,16 @@ class Page:
                 best = p
         return best
 
-    def container(self, e: int) -> int:
-        while e > 0 and self.tag[e] not in CONTAINER:
-            e = self.parent[e]
-        return e
-
     def scores(self) -> dict[int, float]:
         """Container -> characters of its blocks outside links; the container around it gets half."""
         got: dict[int, float] = defaultdict(float)
         for e, parts, linked in self.blocks:
             size = sum(map(len, parts)) - 2 * linked
-            own = self.container(e)
+            own = self.holder[e]
             weight = 1.5 if self.tag[own] in ("article", "main") else 1.0
             got[own] += size * weight
             if own > 0:
-                got[self.container(self.parent[own])] += size / 2
+                got[self.holder[self.parent[own]]] += size / 2
         return got
 
     def text_of(self, chosen: set[int]) -> str:
@@ -259,7 +264,13 @@ class Page:
         best = max(got.values(), default=0)
         if got:
             top = self.climb(max(got, key=got.__getitem__), True)
-            got = {p: s for p, s in got.items() if not p.startswith(f"{top}>")} | {top: best}
+            below, under = [False] * len(self.tag), set()
+            for e in range(1, len(self.tag)):
+                up = self.parent[e]
+                below[e] = below[up] or self.path[up] == top != self.path[e]
+                if below[e]:
+                    under.add(self.path[e])
+            got = {p: s for p, s in got.items() if p not in under} | {top: best}
         return [(p, s / best) for p, s in got.items() if s >= 0.1 * best]
 
     def having(self, path: str) -> set[int]:
@@ -268,7 +279,7 @@ class Page:
     def main_text(self, paths: list[str]) -> str:
         """By the first of the paths with text, else by the page's own best path, else all."""
         own = self.votes()
-        for path in [p for p in paths if p] + ([max(own, key=lambda x: x[1])[0]] if own else []):
+        for path in [p for p in paths if p != ROOT] + ([max(own, key=lambda x: x[1])[0]] if own else []):
             if self.text_of(self.having(path)):
                 return self.text_of(self.having(self.climb(path, False)))
         got = self.scores()
