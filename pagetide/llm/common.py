@@ -85,8 +85,6 @@ class Scratch:
         df.write.parquet(path)
         self.drop(name)
         self.at[name] = path
-        # let Spark delete the shuffle files of plans that nothing holds any more
-        self.spark._jvm.System.gc()
         return self.spark.read.parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -98,6 +96,10 @@ class Scratch:
     def keep_only(self, *names: str) -> None:
         self.drop(*[n for n in self.at if n not in names])
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing holds any more, after the large steps."""
+        self.spark._jvm.System.gc()
+
 
 def stored(df: DataFrame) -> DataFrame:
     """One table that stays."""

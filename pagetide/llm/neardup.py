@@ -281,6 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = scratch.put("sizes", sketched.select("doc_id", "n_shingles"))
     of = scratch.put("of", named.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node").distinct())
     scratch.drop("sketched", "classes", "leaders")
+    scratch.sweep()
 
     wanted = buckets.select("node").distinct()
     sets = scratch.put("sets", docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
@@ -288,7 +289,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     twice = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     links = of.join(twice.select("doc_id", "a"), "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))
     first = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    parts = merged(parts, scratch.put("links", links.union(_verified(first, sets))), scratch)
+    links = scratch.put("links", links.union(_verified(first, sets)))
+    scratch.sweep()
+    parts = merged(parts, links, scratch)
 
     def still_mixed() -> DataFrame:
         return scratch.put("placed", _mixed(buckets.join(parts, "node").select("bucket", "node", "n", "part")))
@@ -311,6 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             parts = merged(parts, scratch.put("links", _cross_links(able, sets, scratch)), scratch)
     label = scratch.put("label", of.join(parts, "node").groupBy("doc_id").agg(F.min("part").alias("component")))
     scratch.keep_only("sizes", "label")
+    scratch.sweep()
     out = sizes.join(label, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -2,15 +2,20 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from pagetide.llm import bpe, langid, ngram, packing, pii, quality
 
@@ -46,6 +51,24 @@ def test_automaton_equals_the_library(text):
     assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_go_together_take_the_paths_of_each_alone(automaton):
+    rng = random.Random(9)
+    some = ["".join(rng.choice("abehinrstéß'1") for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["x" * 200, "日本語", "é" * 40]
+    assert automaton.encode_words(some) == [automaton.encode_word(w) for w in some]
+    assert automaton.encode_words([]) == []
+
+
+def test_runs_are_remembered_in_two_generations(automaton, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_RUNS", 20)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    monkeypatch.setattr(bpe, "CACHE_ARCS", 50)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 60)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of.", f"w{rng.randrange(40)}", "in<|endoftext|>the", "ΑΣ"]) for _ in range(12)) for _ in range(60)] + [None, ""]
+    runs = bpe.Runs(automaton, list, lambda parts: [i for p in parts for i in p])
+    assert [[i for v in values for i in v] for values in runs.blocks(pa.array(texts, pa.string()))] == [automaton.encode(t) for t in texts]
+
+
 def test_encoding_and_decoding(spark, library, automaton):
     rows = [*enumerate(TEXTS), (0, "again"), (None, "no id")]
     got = [tuple(r) for r in bpe.encoded(frame(spark, rows), bpe.tokenizer_path()).collect()]
@@ -154,6 +177,30 @@ def test_kneser_ney_equals_brute_force_and_sums_to_one(spark):
     assert (nothing["n_tokens"], nothing["n_known"], nothing["train_tokens"], nothing["score"]) == (3, 0, 0, 0.0)
 
 
+def test_a_model_file_that_is_not_seen_is_an_error(spark):
+    rows = [(k, f"the w{k} of") for k in range(30)]
+    docs = frame(spark, rows).selectExpr("doc_id", "text", "false as held_out")
+    for kind in ("vocab", "pairs"):
+        folder = ngram.trained(docs.select("text"))
+        gone = next(f for f in sorted(os.listdir(folder.path)) if f.startswith(kind) and f.endswith(".keys") and os.path.getsize(f"{folder.path}/{f}"))
+        os.remove(f"{folder.path}/{gone}")
+        with pytest.raises(PythonException, match="No such file"):
+            ngram.scored(docs, folder).collect()
+
+
+def test_kernel_equals_brute_force():
+    texts = ["The cat, and the dog!", "Der Hund und die Katze", "the the the", "été", "a", "und " * 3000]
+    model = langid.Model.fit(texts[:4], ["en", "de", "en", "fr"], n_landmarks=4)
+
+    def sets(text):
+        clean = " " + re.sub(r"[^a-zé]+", " ", text.lower()).strip() + " "
+        return {clean[k : k + n] for n in (1, 2, 3, 4) for k in range(len(clean) - n + 1)}
+
+    marks = [texts[k] for k in (1, 0, 3, 2)]  # in turn from de, en, fr
+    want = [[len(sets(x) & sets(y)) / math.sqrt(len(sets(x)) * len(sets(y))) for y in marks] for x in texts]
+    assert model.kernels([langid.grams(t) for t in texts]) == pytest.approx(np.array(want), abs=1e-6)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identified(docs).filter("held_out").select("lang", "lang_pred", "score").collect()
@@ -200,6 +247,55 @@ def test_quality_thresholds_drop_junk_and_keep_prose(spark):
     assert all(v == (k % 10 != 0) for k, v in kept.items())
 
 
+def brute_kept(rows):
+    """Verdicts by exact quantiles of each group; sketches are 1 % off, so those near a fence may differ."""
+    docs = []
+    for i, t, lang, source in rows:
+        n, chars, symbols, dup, again = brute_quality(t)
+        lines = len([x for x in (t or "").split("\n") if x.strip()])
+        docs.append((i, lang, source, n < 50 or 100 * again > 50 * n, [(symbols, n), (dup, lines), (again, n), (chars, n)]))
+    good = [d for d in docs if not d[3]]
+    out = {}
+    for i, lang, source, failed, counts in docs:
+        pool = [d for d in good if d[1:3] == (lang, source)]
+        if len(pool) < quality.ENOUGH:
+            pool = [d for d in good if d[1] == lang]
+        if len(pool) < quality.ENOUGH:
+            pool = good
+        ok, near = True, False
+        for k, (c, n) in enumerate(counts):
+            if failed:
+                break
+            v = sorted(d[4][k][0] / d[4][k][1] for d in pool)
+            low, mid, high = (v[max(0, math.ceil(p * len(v) - 1e-9) - 1)] for p in (1 - quality.TAIL, 0.5, quality.TAIL))
+            for fence, sign in ((high + quality.REACH * (high - mid), 1), (max(0, low - quality.REACH * (mid - low)) if k == 3 else 0, -1)):
+                room = fence * n + sign * (quality.ERRORS * math.sqrt(fence * n) + quality.CASES) - c
+                ok &= sign * room >= 0
+                near |= abs(room) <= 0.1 * max(fence * n, c)
+        out[i] = (ok and not failed, near)
+    return out
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("etaoinshrdlu") for _ in range(k))
+    rows = []
+    for k in range(900):
+        lang, source = ("en", "a") if k < 300 else ("en", f"s{k % 3}") if k < 560 else ("de", "b") if k < 840 else ("fr", None)
+        size = rng.randrange(60, 200)
+        ws = [word(rng.randrange(2, 9) + (k % 17 == 0) * 9) + ("#" * rng.randrange(1, 4) if k % 13 == 0 or (source == "b" and rng.random() < 0.1) else "") for _ in range(size)]
+        if k % 19 == 0:
+            ws += ["same odd line\n"] * rng.randrange(2, 30)
+        rows.append((k, " ".join(ws), lang, source))
+    rows += [(1000, None, "en", "a"), (1001, "", None, None), (1002, "one " * 10, "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(df).collect()}
+    want = brute_kept(rows)
+    sure = [i for i, (_, near) in want.items() if not near]
+    assert len(sure) > 800 and 20 < sum(not want[i][0] for i in sure) < 400
+    assert [i for i in sure if got[i] != want[i][0]] == []
+
+
 def test_sketches_merge(spark):
     df = quality.measured(frame(spark, [(k, "a b c " * (k % 9 + 1)) for k in range(90)]))
     whole, a, b = quality.sketches(df), quality.sketches(df.filter("doc_id < 30")), quality.sketches(df.filter("doc_id >= 30"))
@@ -244,6 +340,23 @@ def test_added_spans(spark):
                 assert x["kind"] != "secret" or re.fullmatch("[0-9a-f]{32,}", r["text"][x["start"] : x["end"]])
 
 
+def test_dense_texts_take_seconds(spark):
+    texts = ["12," * 300000, "a@b.com é " * 5000, "+1 234 567 890;" * 5000, "1.2.3.4 " * 5000]
+    rows = list(enumerate(texts))
+    began = time.time()
+    got = pii.personal_spans(frame(spark, rows), carry=("text",)).withColumn("masked", F.expr(pii.masked())).collect()
+    assert time.time() - began < 60
+    for r in got:
+        assert [tuple(x) for x in r["base"]] == brute_personal(texts[r["doc_id"]])
+        want = texts[r["doc_id"]].replace("a@b.com", "[EMAIL]").replace("+1 234 567 890", "[PHONE]").replace("1.2.3.4", "[IP]")
+        assert r["masked"] == want
+
+
+def test_spans_that_overlap_are_masked_once(spark):
+    df = spark.sql("select 'abcdefghij' as text, array(named_struct('kind', 'ip', 'start', 2, 'end', 5), named_struct('kind', 'card', 'start', 4, 'end', 7), named_struct('kind', 'email', 'start', 6, 'end', 8), named_struct('kind', 'phone', 'start', 8, 'end', 10)) as spans union all select null, array()")
+    assert {r[0] for r in df.select(F.expr(pii.masked())).collect()} == {"ab[IP][PHONE]", None}
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     rng = random.Random(6)
     patterns, truth = Counter(), Counter()

@@ -1,6 +1,9 @@
 """Neighbours and main texts."""
 
+import time
+
 import numpy as np
+import pytest
 
 from pagetide.llm import html, neighbours
 
@@ -21,6 +24,18 @@ def test_recall_and_exact_scores(spark):
     assert hit / 400 >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_of_the_query_on_its_own_table(spark, sf):
+    got = neighbours.op5_neighbours(spark, f"/root/testdata/{sf}").toPandas()
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+    x, ids, hit = np.stack(t["embedding"]).astype(float), t["vec_id"].to_numpy(), 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hit += len(set(ids[np.lexsort((ids, d))[:10]]) & set(g["vec_id"]))
+    assert hit / len(got) >= 0.9 and got["query_id"].nunique() == (ids % 100 == 0).sum()
+
+
 def test_small_and_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, score double"
     nan, inf = float("nan"), float("inf")
@@ -85,3 +100,20 @@ def test_a_hint_on_what_holds_the_page_does_not_lose_it():
             assert got.startswith("Title\nMany") and "other" not in got, (head, tag, got)
     assert text_by_itself(f"<body><div class=comments><p>{PROSE}</p></div></body>") == PROSE.strip()
     assert text_by_itself(f"<body><form><div><p>{PROSE}</p></div></form></body>") == PROSE.strip()
+
+
+def test_deep_and_broken_pages_take_seconds():
+    began = time.time()
+    assert html.Page("<div>x " * 100_000).main_text([]).count("x") == 100_000
+    assert html.Page("<a " * 400_000).main_text([]).startswith("<a")
+    assert html.Page("<b>" * 100_000 + "<p>x" * 1000).main_text([]).count("x") == 1000
+    assert html.Page("<div>" * 50_000 + "</x>" * 50_000 + "t").main_text([]) == "t"
+    assert html.Page("x<!-- abc <p>y").main_text([]) == "x" and html.Page("x <p>y</p> <! abc z").main_text([]) == "x\ny"
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("wrap", ["<div class='layout with-sidebar'>{}</div>", "<div class='layout no-sidebar'><main>{}</main></div>", "<div id='page' class='no-header'>{}</div>", "<form id='aspnetForm'>{}</form>", "<section class='related-content tags'>{}</section>", "<article><div class='article-header'><h1>Head</h1></div>{}</article>"])
+def test_wrappers_with_hints_do_not_lose_the_article(wrap):
+    text = html.Page("<html><body>" + wrap.format("<p>A first paragraph of the article.</p><p>And a second one, some longer.</p>") + "<div class='footer'>us</div></body></html>").main_text([])
+    assert "A first paragraph of the article.\nAnd a second one, some longer." in text and "us" not in text.split("\n")
+    assert ("Head" in text) == ("Head" in wrap)
