@@ -14,17 +14,18 @@ the tables of labels and arcs. Decoding emits the arcs' labels.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import KEPT, documents
+from .common import KEPT, ODD, documents
 
 WORD_END = "</w>"
 END = "\0"  # stands for it within a word
@@ -53,6 +54,42 @@ def byte_chars() -> list[str]:
     return [chr(other.get(b, b)) for b in range(256)]
 
 
+class Table:
+    """int64 key -> int64 value, -1 for none, for whole arrays: open addressing, the next place on a collision."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, -1, np.int64)
+        todo, at = np.arange(len(keys)), self.place(keys)
+        while len(todo):
+            if at.max(initial=0) >= len(self.keys) - 1:
+                self.keys, self.values = np.append(self.keys, np.full(64, -1)), np.append(self.values, np.full(64, -1))
+            free = np.flatnonzero(self.keys[at] == -1)
+            slots, first = np.unique(at[free], return_index=True)
+            own = free[first]
+            self.keys[slots], self.values[slots] = keys[todo[own]], values[todo[own]]
+            left = np.ones(len(todo), bool)
+            left[own] = False
+            todo, at = todo[left], at[left] + 1
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * ODD >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self.place(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        live = np.flatnonzero((found != keys) & (found != -1))
+        while len(live):
+            at[live] += 1
+            found = self.keys[at[live]]
+            hit = found == keys[live]
+            out[live[hit]] = self.values[at[live[hit]]]
+            live = live[~hit & (found != -1)]
+        return out
+
+
 class Automaton:
     """The compiled merges of a tokenizer file (BPE with word ends, byte-level characters)."""
 
@@ -68,8 +105,9 @@ class Automaton:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
         self.bytes = byte_chars()
-        self.arcs: dict[int, bool] = {}
-        self.arc_keys, self.arc_ok = np.empty(0, np.int64), np.empty(0, bool)
+        self.arcs: dict[int, int] = {}
+        self.arcs_settled = 0
+        self.settle()
 
     def compile_merges(self, merges: list[tuple[int, int, int]]) -> None:
         """One gadget for each merge, in order. born: -1 for base symbols."""
@@ -120,9 +158,14 @@ class Automaton:
         byte = {c: k for k, c in enumerate(byte_chars())} | {END: STOP}
         nodes = {"": 0} | {s: k + 1 for k, s in enumerate(p for p in self.trie if set(p) <= byte.keys())}
         steps = sorted((nodes[p[:-1]] * 512 + byte[p[-1]], k, self.trie[p]) for p, k in nodes.items() if p and p[:-1] in nodes)
-        self.step_keys, self.step_to = (np.array([x[j] for x in steps], np.int64) for j in (0, 1))
+        keys, to = (np.array([x[j] for x in steps], np.int64) for j in (0, 1))
+        self.steps = Table(keys, to)
         self.node_label = np.full(len(nodes), -1, np.int64)
-        self.node_label[self.step_to] = [x[2] for x in steps]
+        self.node_label[to] = [x[2] for x in steps]
+        # the first two steps at once: both bytes -> node after them, else after the first; how many were taken
+        one = self.steps.get(np.arange(512))
+        two = np.where(one[:, None] >= 0, self.steps.get((np.maximum(one, 0)[:, None] * 512 + np.arange(512)).ravel()).reshape(512, 512), -1)
+        self.second, self.began = two.ravel(), np.where(one >= 0, self.node_label[np.maximum(one, 0)], -1)
         self.sizes, self.shorters = np.array([*self.size, 0], np.int64), np.array([*self.shorter, -1], np.int64)
 
     def encode_word(self, word: str) -> list[int]:
@@ -154,9 +197,7 @@ class Automaton:
                     key = state << 20 | label
                     ok = arcs.get(key)
                     if ok is None:
-                        if len(arcs) > CACHE_ARCS:
-                            arcs.clear()
-                        ok = arcs[key] = self.has_arc(state, label)
+                        ok = arcs[key] = int(self.has_arc(state, label))
                     if ok:
                         break
                 label = shorter[label]
@@ -171,39 +212,42 @@ class Automaton:
                 label = shorter[label]
         return path
 
-    def longest(self, chars: np.ndarray) -> np.ndarray:
-        """The longest label that begins at each place; -1 for none."""
-        out = np.full(len(chars), -1, np.int64)
-        at, node, deep = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
-        while len(at):
-            key = node * 512 + chars[at + deep]
-            k = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
-            ok = self.step_keys[k] == key
-            at, node = at[ok], self.step_to[k[ok]]
+    def longest(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The longest label that begins at each of the places; -1 for none. chars: with a few places behind the end."""
+        out = self.began[chars[at]]
+        node = self.second[chars[at] * 512 + chars[at + 1]]
+        live, deep = np.flatnonzero(node >= 0), 2
+        at, node = at[live], node[live]
+        while len(live):
             label = self.node_label[node]
-            out[at[label >= 0]] = label[label >= 0]
+            out[live] = np.where(label >= 0, label, out[live])
+            node = self.steps.get(node * 512 + chars[at + deep])
+            on = node >= 0
+            live, at, node = live[on], at[on], node[on]
             deep += 1
-            on = at + deep < len(chars)
-            at, node = at[on], node[on]
         return out
 
     def have_arcs(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """has_arc() of many, from the table; what it lacks is added."""
+        """has_arc() of many: from the table of arcs, or the few that were added since it was made; what both lack is added."""
         keys = states << 20 | labels
-        for _ in range(2):
-            k = np.minimum(np.searchsorted(self.arc_keys, keys), max(len(self.arc_keys) - 1, 0))
-            new = np.unique(keys[self.arc_keys[k] != keys]) if len(self.arc_keys) else np.unique(keys)
-            if not len(new):
-                break
-            ok = np.array([self.has_arc(x >> 20, x & 0xFFFFF) for x in new.tolist()], bool)
-            if len(self.arc_keys) > CACHE_ARCS:
-                new = np.unique(keys)
-                ok = np.array([self.has_arc(x >> 20, x & 0xFFFFF) for x in new.tolist()], bool)
-                self.arc_keys, self.arc_ok = new, ok
-            else:
-                place = np.searchsorted(self.arc_keys, new)
-                self.arc_keys, self.arc_ok = np.insert(self.arc_keys, place, new), np.insert(self.arc_ok, place, ok)
-        return self.arc_ok[k] if len(keys) else np.empty(0, bool)
+        got = self.arc_table.get(keys)
+        lack = np.flatnonzero(got < 0)
+        if len(lack):
+            new = np.unique(keys[lack])
+            added = [self.arcs.get(k, -1) for k in new.tolist()]
+            for j, k in enumerate(new.tolist()):
+                if added[j] < 0:
+                    added[j] = self.arcs[k] = int(self.has_arc(k >> 20, k & 0xFFFFF))
+            got[lack] = np.array(added)[np.searchsorted(new, keys[lack])]
+        return got > 0
+
+    def settle(self) -> None:
+        """Makes the table of arcs anew when many were added, or empties it when it is full."""
+        if len(self.arcs) > CACHE_ARCS:
+            self.arcs = {}
+        if len(self.arcs) > 1.05 * self.arcs_settled or not self.arcs:
+            self.arcs_settled = len(self.arcs)
+            self.arc_table = Table(*(np.fromiter(x, np.int64, len(self.arcs)) for x in (self.arcs.keys(), self.arcs.values())))
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each of many pre-split words. All stand one behind the other; a word's walker is at `at`, has come by the label
@@ -215,17 +259,17 @@ class Automaton:
             return [got[k] if k in got else self.encode_word(w) for k, w in enumerate(words)]
         if not raw:
             return []
+        self.settle()
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
         ends = np.cumsum(sizes)
-        chars = np.full(ends[-1], STOP, np.int64)
-        inner = np.ones(len(chars), bool)
+        chars = np.full(ends[-1] + 2, STOP, np.int64)
+        inner = np.ones(ends[-1], bool)
         inner[ends - 1] = False
-        chars[inner] = np.frombuffer(b"".join(raw), np.uint8)
-        first = self.longest(chars)
+        chars[:-2][inner] = np.frombuffer(b"".join(raw), np.uint8)
         out, before, dead = np.full(len(chars) + 1, -1, np.int64), np.zeros(len(chars) + 1, np.int64), np.zeros(len(chars) + 1, bool)
         dead[ends - 1] = True  # no label is an end alone
         start, stop = ends - sizes, ends
-        at, state, label = start.copy(), np.full(len(raw), -1, np.int64), first[start]
+        at, state, label = start.copy(), np.full(len(raw), -1, np.int64), self.longest(chars, start)
         while len(at):
             to = at + self.sizes[label]
             ok = (label >= 0) & ~dead[to]
@@ -243,7 +287,8 @@ class Automaton:
                 next_state[back] = np.where(gone > start[back], out[before[gone]], -1)
             on = next_at < stop
             at, state, start, stop = next_at[on], next_state[on], start[on], stop[on]
-            label = np.where(ok[on], first[np.minimum(at, len(first) - 1)], less[on])
+            label, new = less[on], np.flatnonzero(ok[on])
+            label[new] = self.longest(chars, at[new])
         flat = out[out >= 0].tolist()
         bounds = np.r_[0, np.cumsum(out[:-1] >= 0)[ends - 1]].tolist()
         return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -315,12 +360,12 @@ class Runs:
                 now[key] = value
         return lacking
 
-    def blocks(self, texts: Iterable) -> Iterator[list]:
-        """For each text (an Arrow string) of a column, the list of its runs' values."""
+    def blocks(self, texts: pa.Array) -> Iterator[list]:
+        """For each text of an Arrow column, the list of its runs' values."""
         block, size = [], 0
-        for x in texts:
-            text = x.as_py() or ""
-            block.append(text.encode("utf-8", "replace").split())
+        for x in texts.cast(pa.binary()):
+            text = x.as_py() or b""
+            block.append(text.split())
             size += len(text)
             if size > BLOCK_CHARS:
                 yield from self.values(block)
@@ -333,6 +378,14 @@ class Runs:
             yield list(map(self.runs[0].__getitem__, runs))
 
     def learn(self, runs: list[bytes]) -> None:
+        """Encodes new runs. Many small objects are made, none in cycles: looking for cycles would take a tenth of the time."""
+        gc.disable()
+        try:
+            self._learn(runs)
+        finally:
+            gc.enable()
+
+    def _learn(self, runs: list[bytes]) -> None:
         if not runs:
             return
         a, known = self.automaton, self.runs[0]
@@ -340,7 +393,7 @@ class Runs:
         text = b"\n".join(plain).decode()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        split = [a.words_of(run) for run in lowered(text).split("\n")] if plain else []
+        split = [[run] if run.isalpha() else a.words_of(run) for run in lowered(text).split("\n")] if plain else []
         new = self.lacking(self.words, CACHE_WORDS, {w for ws in split for w in ws})
         words = self.words[0]
         words.update(zip(new, map(self.make, a.encode_words(new)), strict=True))
