@@ -20,13 +20,22 @@ def is_html(content_type: Column) -> Column:
     return F.coalesce(content_type, F.lit("")).eqNullSafe("") | F.lower(content_type).rlike("html|xml|text/plain")
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it stands there."""
+    return F.transform(F.array(value), then)[0]
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    return bound(text, lambda t: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w)))
+
+
 def is_js_shell(text: Column, html: Column, min_chars: int = 500) -> Column:
-    marks = any_of(JS_SHELL)
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(marks) | F.lower(F.coalesce(html, F.lit(""))).rlike(marks) | (F.length(stripped(text)) < min_chars)
+    marked = [holds_any(F.lower(F.coalesce(c, F.lit(""))), JS_SHELL) for c in (text, html)]
+    return (F.length(stripped(text)) < min_chars) | marked[0] | marked[1]
 
 
 def is_interstitial(html: Column) -> Column:
-    return F.lower(F.substring(F.coalesce(html, F.lit("")), 1, 6000)).rlike(any_of(INTERSTITIAL))
+    return holds_any(F.lower(F.substring(F.coalesce(html, F.lit("")), 1, 6000)), INTERSTITIAL)
 
 
 def stripped(c: Column) -> Column:
@@ -55,7 +64,7 @@ def usable(error: Column) -> Column:
 
 def hits(text: Column, words: list[str]) -> Column:
     """Those of the words that the text holds, in their order."""
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]))
 
 
 def hits_for(text: Column, page_type: Column, words: dict[str, list[str]]) -> Column:
@@ -82,12 +91,16 @@ def liveness(url: Column, ok: Column, error: Column, content_type: Column, statu
 def audit_content(county: Column, seat: Column, page_type: Column, text: Column, title: Column, final_url: Column, requested: Column) -> Column:
     """struct(confidence, reason, flag) of a page that is there. A county without a seat has an empty one."""
     t = F.coalesce(title, F.lit(""))
-    hay = F.lower(F.concat(t, F.lit("\n"), text))
-    in_text = F.contains(hay, F.lower(county))
+    found = bound(F.lower(F.concat(t, F.lit("\n"), text)), lambda hay: F.struct(
+        F.contains(hay, F.lower(county)).alias("in_text"), ((seat != "") & F.contains(hay, F.lower(seat))).alias("seat_in"),
+        hits_for(hay, page_type, STRONG).alias("strong"), hits_for(hay, page_type, WEAK).alias("weak"), hits(hay, BAD_PAGE).alias("bad")))
+    return bound(found, lambda f: _audited(f, county, seat, page_type, text, t, final_url, requested))
+
+
+def _audited(found: Column, county: Column, seat: Column, page_type: Column, text: Column, t: Column, final_url: Column, requested: Column) -> Column:
+    in_text, seat_in, strong, weak, bad = (found[k] for k in ("in_text", "seat_in", "strong", "weak", "bad"))
     in_url = F.contains(squeezed(final_url), squeezed(county))
-    seat_in = (seat != "") & F.contains(hay, F.lower(seat))
     identity = in_text | in_url | (seat_in & (page_type != "homepage"))
-    strong, weak, bad = hits_for(hay, page_type, STRONG), hits_for(hay, page_type, WEAK), hits(hay, BAD_PAGE)
     root = redirected_to_root(requested, final_url)
     some = lambda c: F.size(c) > 0
     first = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
@@ -125,15 +138,26 @@ def verify(county: Column, seat: Column, url: Column, text: Column, title: Colum
 
     others_in_title: other counties that the title names (operators.discovery.other_counties).
     """
-    t = F.coalesce(title, F.lit(""))
-    hay, title_l = F.lower(F.concat(t, F.lit(" "), text)), F.lower(t)
-    gov, commercial, other_org, title_org = hits(hay, GOV), hits(hay, COMMERCIAL), hits(hay, NON_GOV), hits(title_l, NON_GOV_TITLE)
-    parked = hits(F.substring(hay, 1, 4000), PARKED)
-    n = F.length(stripped(text))
+    title_l = F.lower(F.coalesce(title, F.lit("")))
     name = quoted(county)
-    named = F.regexp_like(hay, F.concat(F.lit(r"(?U)\b"), name, F.lit(r"\b\s*'?s?\s+county\b"))) | F.regexp_like(hay, F.concat(F.lit(r"(?U)\bcounty\s+of\s+"), name, F.lit(r"\b")))
-    state = F.contains(hay, F.lit("texas")) | hay.rlike(r"(?U)\btx\b")
-    seated = F.regexp_like(hay, F.concat(F.lit(r"(?U)\b"), quoted(seat), F.lit(r"\b")))
+
+    def signals(hay):
+        # a name is looked for before its pattern is
+        named = F.regexp_like(hay, F.concat(F.lit(r"(?U)\b"), name, F.lit(r"\b\s*'?s?\s+county\b"))) | F.regexp_like(hay, F.concat(F.lit(r"(?U)\bcounty\s+of\s+"), name, F.lit(r"\b")))
+        seated = F.regexp_like(hay, F.concat(F.lit(r"(?U)\b"), quoted(seat), F.lit(r"\b")))
+        return F.struct(
+            hits(hay, GOV).alias("gov"), hits(hay, COMMERCIAL).alias("commercial"), hits(hay, NON_GOV).alias("other_org"), bound(F.substring(hay, 1, 4000), lambda h: hits(h, PARKED)).alias("parked"),
+            bound(F.substring(hay, 1, 2000), lambda h: hits(h, ERROR_PAGE)).alias("errors"), (F.contains(hay, F.lower(county)) & F.contains(hay, F.lit("county")) & named).alias("named"),
+            (F.contains(hay, F.lit("texas")) | F.contains(hay, F.lit("tx")) & hay.rlike(r"(?U)\btx\b")).alias("state"), (F.contains(hay, F.lower(seat)) & seated).alias("seated"),
+            hits(title_l, NON_GOV_TITLE).alias("title_org"), hits(title_l, PARKED).alias("title_parked"), F.length(stripped(text)).alias("n"),
+        )
+
+    hay = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), text))
+    return bound(bound(hay, signals), lambda s: _verified(s, county, seat, url, others_in_title))
+
+
+def _verified(found: Column, county: Column, seat: Column, url: Column, others_in_title: Column) -> Column:
+    gov, commercial, other_org, title_org, parked, n, named, state, seated = (found[k] for k in ("gov", "commercial", "other_org", "title_org", "parked", "n", "named", "state", "seated"))
     site = F.regexp_replace(host(url), r":\d+$", "")
     official = site.endswith(".tx.us") | site.endswith(".gov")
     some = lambda c: F.size(c) > 0
@@ -155,8 +179,8 @@ def verify(county: Column, seat: Column, url: Column, text: Column, title: Colum
     tail = F.concat(F.lit(f" {DASH} "), evidence)
     why_org = F.when(some(title_org), title_org).otherwise(other_org)
     return (
-        F.when(some(parked) & (some(hits(title_l, PARKED)) | ((n < 800) & ~some(gov))), told("reject", F.concat(F.lit("parked/placeholder domain ("), parked[0], F.lit(")"))))
-        .when(some(hits(F.substring(hay, 1, 2000), ERROR_PAGE)), told("reject", F.lit("error page")))
+        F.when(some(parked) & (some(found["title_parked"]) | ((n < 800) & ~some(gov))), told("reject", F.concat(F.lit("parked/placeholder domain ("), parked[0], F.lit(")"))))
+        .when(some(found["errors"]), told("reject", F.lit("error page")))
         .when(n < 120, told("reject", F.concat(F.lit("near-empty page ("), n.cast("string"), F.lit(" chars)"))))
         .when(some(commercial) & (F.size(gov) < 2), told("reject", F.concat(F.lit("commercial site ("), commercial[0], F.lit(")"), tail)))
         .when(some(title_org) | ((F.size(other_org) >= 3) & (F.size(other_org) > F.size(gov))), told("reject", F.concat(F.lit(f"not the county government {DASH} looks like a tourism/EDC/chamber site ("), first(why_org, 2), F.lit(")"), tail)))

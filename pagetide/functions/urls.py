@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import GUID, LONG_HEX, hyphened, squashed
+from .values import EPOCH, GUID, LONG_HEX, hyphened, squashed
 from .vocabulary import BAD_HOSTS, CACHE_PARAMETERS, CANDIDATE_HOSTS, GENERIC_PORTALS
 
 
@@ -73,6 +75,10 @@ def stabilized(url: Column) -> Column:
     return F.when(index != "", index).otherwise(real)
 
 
+#: Values of parameters that change by themselves.
+VOLATILE_VALUES = [GUID, LONG_HEX, EPOCH]
+
+
 def strip_cachebust(url: Column) -> Column:
     """Without parameters that only bust caches or carry session tokens; without any if most are of that kind.
 
@@ -82,12 +88,27 @@ def strip_cachebust(url: Column) -> Column:
     pairs = F.filter(F.split(query(url), "&"), lambda x: x != "")
     named = F.transform(pairs, lambda x: F.struct(F.url_decode(F.split(x, "=", 2)[0]).alias("k"), F.coalesce(F.url_decode(F.get(F.split(x, "=", 2), F.lit(1))), F.lit("")).alias("v")))
     # Java's word boundaries see Unicode letters, like the values' own
-    kept = F.filter(named, lambda p: ~F.lower(p["k"]).isin(CACHE_PARAMETERS) & ~p["v"].rlike(GUID) & ~p["v"].rlike(LONG_HEX) & ~F.trim(p["v"]).rlike(r"^\d{10,}(\.\d+)?$"))
+    kept = F.filter(named, lambda p: ~F.lower(p["k"]).isin(CACHE_PARAMETERS) & ~reduce(lambda a, b: a | b, [F.trim(p["v"]).rlike(v) for v in VOLATILE_VALUES]))
     text = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
     out = F.when((F.size(kept) * 2 < F.size(named)) | (F.size(kept) == 0), whole).otherwise(F.concat(whole, F.lit("?"), text))
     return F.when(~url.contains("?") | (F.size(pairs) == 0), url).otherwise(out)
 
 
+def stable_query(url: str) -> str:
+    """strip_cachebust() for the cleaning helper."""
+    bare = url.partition("#")[0]
+    address, _, query_ = bare.partition("?")
+    pairs = parse_qsl(query_, keep_blank_values=True)
+    stays = [not (k.lower() in CACHE_PARAMETERS or any(v.search(value.strip()) for v in PATTERNS)) for k, value in pairs]
+    if not pairs:
+        return url
+    left = [p for p, s in zip(pairs, stays, strict=True) if s]
+    return f"{address}?{urlencode(left)}" if left and sum(stays) * 2 >= len(pairs) else address
+
+
+PATTERNS = [re.compile(v) for v in VOLATILE_VALUES]
+
+
 def squeezed(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[\s_-]", "")
 

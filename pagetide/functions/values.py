@@ -72,6 +72,8 @@ CANONICAL = [
 ]
 EDGE_REFERENCE = r"\b\d+\.[0-9a-f]{6,}\.\d+\.[0-9a-f]{6,}\b"
 EMAIL_TOKEN = r"(/cdn-cgi/l/email-protection#)[0-9a-fA-F]+"
+EPOCH = r"^\d{10,}(\.\d+)?$"
+RAW_DATE = (r"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) ", r" (\d{2})", r" \d{2}:\d{2}:\d{2} [A-Z]{2,5} (\d{4})\b")  # around the month
 # ---- end of fixed values ----
 
 
@@ -91,15 +93,22 @@ def email_tokens(c: Column) -> Column:
 
 
 def plain_dates(c: Column) -> Column:
-    """`Tue Jul 08 08:49:00 CDT 2026` as `July 8, 2026`: one replacement for each month and width of the day."""
-    day = r"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) "
-    rest = r" \d{2}:\d{2}:\d{2} [A-Z]{2,5} (\d{4})\b"
+    """`Tue Jul 08 08:49:00 CDT 2026` as `July 8, 2026`: one replacement for each month."""
+    day, _, rest = RAW_DATE
     out = c
     for m in MONTHS:
         out = F.regexp_replace(out, f"{day}{m[:3]} 0?(\\d+){rest}", f"{m} $1, $2")
     return F.when(c.rlike(day), out).otherwise(c)
 
 
+def python_plain_dates(text: str) -> str:
+    """plain_dates() for the cleaning helper: the month is told by its place among the parts around it."""
+    for month, pattern in DATES.items():
+        if month[:3] in text:
+            text = pattern.sub(lambda m, month=month: f"{month} {m[1].lstrip('0') or '0'}, {m[2]}", text)
+    return text
+
+
 def python_canon_ids(value: str) -> str:
     """canon_ids() for the cleaning helper."""
     for pattern, to in PATTERNS:
@@ -108,3 +117,4 @@ def python_canon_ids(value: str) -> str:
 
 
 PATTERNS = [(re.compile(p), t.replace("$1", r"\1")) for p, t in CANONICAL]
+DATES = {m: re.compile(m[:3].join((RAW_DATE[0], "".join(RAW_DATE[1:])))) for m in MONTHS}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import candidate_rejection
 from ..functions.scoring import first_score, internal_first, keyword_score, link_score
-from ..functions.urls import is_generic_portal
-from ..functions.vocabulary import EXTERNAL_PENALTY
+from ..functions.urls import host, is_external, is_generic_portal
+from ..functions.vocabulary import DEPARTMENT_WEIGHTS, DISCOVERED_TYPES, EXTERNAL_PENALTY, HUB_WEIGHTS
 
 
 def trimmed(url: Column) -> Column:
@@ -22,7 +22,12 @@ def ranked_links(links: DataFrame, page_type: str, keys: list[str], home: str |
     score = keyword_score(F.col("text"), F.col("url"), weights) if weights else link_score(F.col("text"), F.col("url"), page_type)
     if home and page_type in EXTERNAL_PENALTY:
         score = internal_first(score, F.col("url"), F.col(home), page_type)
-    scored = links.withColumn("score", score).filter("score > 0").withColumn("site", trimmed(F.col("url")))
+    return best_urls(links.withColumn("score", score).filter("score > 0"), keys, exclude)
+
+
+def best_urls(scored: DataFrame, keys: list[str], exclude: DataFrame | None = None) -> DataFrame:
+    """Links with scores, one for each URL, ranked."""
+    scored = scored.withColumn("site", trimmed(F.col("url")))
     if exclude is not None:
         scored = scored.join(exclude, [*keys, "site"], "left_anti")
     best = F.max_by(F.struct("url", "text", "score"), F.struct("score", -F.col("pos"))).alias("b")
@@ -99,3 +104,52 @@ def level(links: DataFrame, captures: DataFrame, links_of, keys: list[str]) -> D
     """One level further: pages that links lead to, and their links. links_of: operators.html.extract_links."""
     pages = links.join(captures.select(F.col("requested_url").alias("url"), "html").dropDuplicates(["url"]), "url")
     return links_of(pages, keys)
+
+
+def department_pages(links: DataFrame, keys: list[str], home: str, exclude: DataFrame | None = None) -> DataFrame:
+    """The two homepage links that look most like a list of departments: where an elections page is looked for next."""
+    return _own_first(links, DEPARTMENT_WEIGHTS, keys, home, exclude).filter("rank <= 2")
+
+
+def hub_pages(links: DataFrame, keys: list[str], home: str, elections: str, exclude: DataFrame | None = None) -> DataFrame:
+    """Pages of single elections among an elections page's links: of the four best, the first two on the county's site
+    or on its elections page's."""
+    best = _own_first(links, HUB_WEIGHTS, keys, home, exclude).filter("rank <= 4")
+    sites = links.select(*keys, home, elections).distinct()
+    own = best.join(sites, keys).filter(~is_external(F.col("url"), F.col(home)) | ~is_external(F.col("url"), F.col(elections)))
+    w = Window.partitionBy(*keys).orderBy("rank")
+    return own.withColumn("rank", F.row_number().over(w)).filter("rank <= 2").select(*keys, "rank", "score", "url")
+
+
+def _own_first(links: DataFrame, weights: list[tuple[str, int]], keys: list[str], home: str, exclude: DataFrame | None) -> DataFrame:
+    score = keyword_score(F.col("text"), F.col("url"), weights)
+    # what leaves the county's site is worth a point less
+    less = score - F.when(is_external(F.col("url"), F.col(home)), 1).otherwise(0)
+    return best_urls(links.withColumn("score", F.when(score > 0, less)).filter("score > 0"), keys, exclude)
+
+
+def portals(links: DataFrame, keys: list[str], elections: str) -> DataFrame:
+    """An elections page that only hands off to a portal of its own: its first link to another site whose host is named for
+    voting and is no statewide one."""
+    label = F.split(F.regexp_replace(host(F.col("url")), r"^www\.", ""), r"\.")[0]
+    named = (label.contains("vote") | (label == "elections")) & ~is_generic_portal(F.col("url")) & is_external(F.col("url"), F.col(elections))
+    return links.filter(named).groupBy(*keys).agg(F.min_by("url", "pos").alias("portal"))
+
+
+def unreachable(homepages: DataFrame) -> DataFrame:
+    """Four gaps for each county whose homepage fails (county, batch, ok, http_status, error): what could not be crawled."""
+    failed = ~F.col("ok") | (F.coalesce("http_status", F.lit(0)) >= 400)
+    why = F.coalesce(F.when(F.col("error") != "", F.col("error")), F.concat(F.lit("HTTP "), F.coalesce(F.col("http_status").cast("string"), F.lit("None"))))
+    notes = F.concat(F.lit("GAP: could not crawl — homepage blocked/unreachable ("), why, F.lit("); needs manual URL discovery"))
+    rows = homepages.filter(failed).withColumn("page_type", F.explode(F.array(*[F.lit(p) for p in DISCOVERED_TYPES])))
+    return rows.select("county", "batch", "page_type", F.lit("").alias("url"), F.lit("false").alias("external"), notes.alias("notes"))
+
+
+def candidates_report(suggested: DataFrame, homepages: DataFrame) -> DataFrame:
+    """county, homepage, error, suggestions: for each homepage the ranked links of each page type, or what went wrong.
+
+    suggested: county, page_type, rank, score, url (suggestions()); homepages: county, homepage, error."""
+    each = F.sort_array(F.collect_list(F.struct("page_type", "rank", "score", "url")))
+    found = suggested.groupBy("county").agg(each.alias("suggestions"))
+    out = homepages.join(found, "county", "left")
+    return out.select("county", "homepage", "error", F.when(F.col("error").isNull(), F.coalesce("suggestions", F.array())).alias("suggestions"))

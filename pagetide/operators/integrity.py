@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import verify
 from ..functions.values import slug
 from ..functions.vocabulary import PAGE_TYPES
 
@@ -77,3 +78,14 @@ def bad_metadata(snapshots: DataFrame, targets: DataFrame) -> DataFrame:
 def stamped_bodies(bodies: DataFrame) -> DataFrame:
     """bodies: keys, body, fetched_at as text. Bodies that hold the time of their capture."""
     return bodies.filter((F.col("fetched_at") != "") & F.contains(F.col("body"), F.col("fetched_at")))
+
+
+def bad_homepages(counties: DataFrame, batch: str = "1") -> DataFrame:
+    """Counties of the first batch whose homepage is no web address."""
+    return counties.filter((F.col("batch") == batch) & ~F.coalesce(F.col("homepage"), F.lit("")).startswith("http"))
+
+
+def unverified_homepages(homepages: DataFrame) -> DataFrame:
+    """Captured homepages (county, seat, url, text, title, others) that no longer pass for their county's."""
+    v = verify(F.col("county"), F.col("seat"), F.col("url"), F.col("text"), F.col("title"), F.col("others"))
+    return homepages.select("county", "url", v.alias("v")).filter("v.confidence = 'reject'").select("county", "url", "v.evidence")

@@ -149,5 +149,11 @@ def collisions(counties: DataFrame) -> DataFrame:
     return counties.select("county", "seat").join(other, "seat").filter("county <> seat").select("county", "seat", "other_seat")
 
 
-def first_rows(t: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return t.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
+def seed_union(*batches: tuple[str, DataFrame]) -> DataFrame:
+    """One seed of several batches' counties (county, seat, homepage): a county that two name belongs to the first."""
+    rows = None
+    for k, (label, df) in enumerate(batches):
+        own = df.select("county", "seat", F.lit(label).alias("batch"), "homepage", F.lit(k).alias("_k"))
+        rows = own if rows is None else rows.unionByName(own)
+    first = F.min_by(F.struct("seat", "batch", "homepage"), F.struct("_k", "seat", "homepage"))
+    return rows.groupBy("county").agg(first.alias("f")).select("county", "f.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import AUDIT_COLUMNS, BASE_COLUMNS, PAGE_TYPES
@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer pieces than the session has cores (one large row group, say) dealt out to all of them, before costly
+    work on each row. A larger table has more pieces and is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures: a user is a county, an event a capture, its value the content."""
     e = table(spark, sf_dir, "events")
@@ -83,18 +90,20 @@ ORDINAL = "list_position(" + TYPES_SQL + ", page_type)"
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetch attempts: an order is a URL, its first four lines two attempts over each protocol."""
-    x = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
+    """Fetch attempts: an order is a URL, its lines in order attempts that take turns between the protocols."""
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("o", nth)
     s = F.col("l_partkey") % 5
     status = F.when(s == 0, 500).when(s == 1, 404).when(s == 2, F.lit(None)).when(s == 3, 200).otherwise(503).cast("int")
     return x.select(
-        F.col("l_orderkey").alias("requested_url"), (F.col("l_linenumber") <= 2).alias("http2"), ((F.col("l_linenumber") - 1) % 2 + 1).alias("attempt"), (s != 2).alias("ok"), status.alias("http_status"),
+        F.col("l_orderkey").alias("requested_url"), (F.col("o") % 2 == 1).alias("http2"), F.floor((F.col("o") + 1) / 2).cast("int").alias("attempt"), (s != 2).alias("ok"), status.alias("http_status"),
         F.when(s == 2, F.concat(F.lit("timeout "), F.col("l_linenumber").cast("string"))).alias("error"), F.col("l_suppkey").alias("body"),
     )
 
 
-ATTEMPTS = """attempts as (select l_orderkey as requested_url, l_linenumber <= 2 as http2, (l_linenumber - 1) % 2 + 1 as attempt, l_linenumber as o, l_partkey % 5 <> 2 as ok,
-    case l_partkey % 5 when 0 then 500 when 1 then 404 when 3 then 200 when 4 then 503 end as http_status, case when l_partkey % 5 = 2 then 'timeout ' || l_linenumber end as error, l_suppkey as body from lineitem where l_linenumber <= 4)"""
+ATTEMPTS = """lines_in_order as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as nth from lineitem),
+    attempts as (select l_orderkey as requested_url, nth % 2 = 1 as http2, (nth + 1) // 2 as attempt, (nth + 1) % 2 * 1000 + (nth + 1) // 2 as o, l_partkey % 5 <> 2 as ok,
+    case l_partkey % 5 when 0 then 500 when 1 then 404 when 3 then 200 when 4 then 503 end as http_status, case when l_partkey % 5 = 2 then 'timeout ' || l_linenumber end as error, l_suppkey as body from lines_in_order)"""
 
 
 def decoded(sql: str) -> str:

@@ -146,7 +146,7 @@ def gap_notes(spark, d):
     return targets(spark, d).filter("notes <> ''").select("county", "page_type", gap_reason(F.col("notes")).alias("reason"), externally_confirmed(F.col("notes")).alias("confirmed"))
 
 
-ARBITRATED = f"""{ATTEMPTS}, r as (select *, http_status is not null and not (http_status >= 500 and attempt < 2) as kept from attempts),
+ARBITRATED = f"""{ATTEMPTS}, r as (select *, http_status is not null and not (http_status >= 500 and attempt < 4) as kept from attempts),
     k as (select requested_url, case when bool_or(http_status < 400) then arg_min(body, o) filter (http_status < 400) when bool_or(kept) then arg_max(body, o) filter (kept) else arg_max(body, o) end as body,
     case when bool_or(http_status < 400) then arg_min(http_status, o) filter (http_status < 400) when bool_or(kept) then arg_max(http_status, o) filter (kept) end as http_status,
     case when bool_or(http_status < 400) or bool_or(kept) then null else 'plain_fetch_error: ' || coalesce((arg_max(struct_pack(e := error), o)).e, '') end as error from r group by 1)"""
@@ -154,7 +154,7 @@ ARBITRATED = f"""{ATTEMPTS}, r as (select *, http_status is not null and not (ht
 
 @query("arbitrated_attempts", f"with {ARBITRATED} select requested_url, body, http_status, error from k")
 def arbitrated(spark, d):
-    return C.arbitrated(attempts(spark, d), ["requested_url"]).select("requested_url", "body", "http_status", "error")
+    return C.arbitrated(attempts(spark, d), ["requested_url"], retries=4).select("requested_url", "body", "http_status", "error")
 
 
 @query("integrity_missing_rows", f"with {TARGETS}, {COUNTIES} select county, page_type from targets where url = ''")
@@ -215,7 +215,7 @@ def page_liveness(spark, d):
     a = attempts(spark, d)
     kind = F.when(F.col("requested_url") % 9 == 0, "application/pdf").otherwise("text/html")
     told = liveness(F.col("requested_url").cast("string"), F.col("ok"), F.col("error"), kind, F.col("http_status"))
-    o = F.when(F.col("http2"), F.col("attempt")).otherwise(F.col("attempt") + 2)
+    o = F.when(F.col("http2"), F.col("attempt")).otherwise(F.col("attempt") + 1000).cast("long")
     return a.select("requested_url", o.alias("o"), told["status"].alias("verify_status"), told["reason"].alias("reason"))
 
 

@@ -8,16 +8,16 @@ from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions import urls as U
 from ..functions import values as X
-from ..functions.vocabulary import BAD_PAGE, FIRST_WEIGHTS, GOV, JS_SHELL, MONTHS
+from ..functions.vocabulary import BAD_PAGE, FIRST_WEIGHTS, GOV, INTERSTITIAL, JS_SHELL, MONTHS
 from ..operators import discovery as D
 from ..operators import history as H
 from ..operators import html as P
-from .inputs import decoded, links_sql, table
+from .inputs import decoded, links_sql, spread, table
 from .registry import query
 
 
 def links(spark, d):
-    return P.extract_links(table(spark, d, "pages").select("page_id", F.col("url").alias("page"), "html"), ["page_id", "page"], url="page")
+    return P.extract_links(spread(table(spark, d, "pages").select("page_id", F.col("url").alias("page"), "html")), ["page_id", "page"], url="page")
 
 
 @query("page_links", f"with {links_sql()} select page_id, pos, href, text, url from links")
@@ -30,13 +30,13 @@ TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 @query("page_titles", f"select page_id, trim(regexp_replace({decoded(TITLE)}, '\\s+', ' ', 'g')) as title from pages")
 def page_titles(spark, d):
-    return P.clean_pages(table(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", P.titles(F.col("html")).alias("title"))
 
 
 @query("cleaned_pages")
 def cleaned_pages(spark, d):
     """Hashes and sizes of cleaned pages; held against idempotence and volatile tokens in the tests."""
-    p = P.clean_pages(table(spark, d, "pages").select("page_id", "url", "html").withColumn("content_type", F.lit("text/html")).withColumn("error", F.lit(None).cast("string")))
+    p = P.clean_pages(spread(table(spark, d, "pages").select("page_id", "url", "html")).withColumn("content_type", F.lit("text/html")).withColumn("error", F.lit(None).cast("string")))
     from ..operators.captures import snapshot_fields
 
     return snapshot_fields(p).select("page_id", "url", "html_sha256", "text_sha256", "byte_size", "title", "error")
@@ -45,7 +45,7 @@ def cleaned_pages(spark, d):
 @query("visible_texts", f"""with s as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gs'), '<style[^>]*>.*?</style>', ' ', 'gs'), '<!--.*?-->|<[^>]*>', ' ', 'gs') as t from pages)
     select page_id, sha256(trim(regexp_replace({decoded("t")}, '\\s+', ' ', 'g'))) as text_sha256 from s""")
 def visible_texts(spark, d):
-    return table(spark, d, "pages").select("page_id", X.sha256(P.visible_text(F.col("html"))).alias("text_sha256"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", X.sha256(P.visible_text(F.col("html"))).alias("text_sha256"))
 
 
 FIRST = " + ".join(f"case when contains(lower(text || ' ' || url), '{w}') then {n} else 0 end" for w, n in FIRST_WEIGHTS["results"])
@@ -131,10 +131,21 @@ def canonical_texts(spark, d):
 SHELL = " or ".join(f"contains(lower(text), '{w}')" for w in JS_SHELL)
 
 
-@query("page_predicates", f"select doc_id, ({SHELL}) or length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 500 as js_shell, false as interstitial, octet_length(encode(text)) as n_bytes, sha256(text) as sha from documents")
+def quoted(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
+
+
+CHECKED = f"p as (select doc_id, case when doc_id % 7 = 0 then [{', '.join(map(quoted, INTERSTITIAL))}][doc_id % {len(INTERSTITIAL)} + 1] || ' ' else '' end || text as text from documents)"
+
+
+@query("page_predicates", f"with {CHECKED} select doc_id, ({SHELL}) or length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 500 as js_shell, " + " or ".join(f"contains(lower(left(text, 6000)), {quoted(w)})" for w in INTERSTITIAL) + " as interstitial, octet_length(encode(text)) as n_bytes, sha256(text) as sha from p")
 def page_predicates(spark, d):
+    """Every seventh document begins with one of the marks of a bot check."""
+    k = F.col("doc_id")
+    mark = F.element_at(F.array(*[F.lit(w) for w in INTERSTITIAL]), (k % len(INTERSTITIAL) + 1).cast("int"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("text", F.concat(F.when(k % 7 == 0, F.concat(mark, F.lit(" "))).otherwise(""), "text"))
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", R.is_js_shell(t, t).alias("js_shell"), R.is_interstitial(t).alias("interstitial"), X.byte_size(t).alias("n_bytes"), X.sha256(t).alias("sha"))
+    return docs.select("doc_id", R.is_js_shell(t, t).alias("js_shell"), R.is_interstitial(t).alias("interstitial"), X.byte_size(t).alias("n_bytes"), X.sha256(t).alias("sha"))
 
 
 @query("text_lines", "with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as k from documents), c as (select doc_id, k, trim(regexp_replace(x, '\\s+', ' ', 'g')) as x from l) select doc_id, sha256(coalesce(string_agg(x, chr(10) order by k) || chr(10), '')) as sha from c where x <> '' group by 1")
@@ -161,7 +172,7 @@ def candidate_urls(spark, d):
 def audited_documents(spark, d):
     """Documents as homepages of the county "The"."""
     a = R.audit_content(F.lit("The"), F.lit("Of"), F.lit("homepage"), F.col("text"), F.col("source"), F.lit("https://x.gov/"), F.lit("https://x.gov/"))
-    return table(spark, d, "documents").select("doc_id", a["confidence"].alias("confidence"))
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", a["confidence"].alias("confidence"))
 
 
 GOV_SQL = " + ".join(f"cast(contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}') as int)" for w in GOV)
@@ -172,13 +183,6 @@ def keyword_hits(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(R.hits(F.lower("text"), GOV)).alias("gov"))
 
 
-@query("verified_documents")
-def verified_documents(spark, d):
-    """Identity of each document as a page of its language's county; the ladder's rules have tests of their own."""
-    v = R.verify(F.lit("The"), F.lit("Of"), F.concat(F.lit("https://"), F.col("source"), F.lit(".gov/")), F.col("text"), F.col("source"), F.array().cast("array<string>"))
-    return table(spark, d, "documents").select("doc_id", v["confidence"].alias("confidence"), v["evidence"].alias("evidence"))
-
-
 @query("documents_beside_labels", "select quality, toxic, count(*) as n, count(distinct sha256(text)) as texts from documents join labels using (doc_id) group by all")
 def documents_beside_labels(spark, d):
     h = H.text_hashes(table(spark, d, "documents"), "text")

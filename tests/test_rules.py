@@ -75,7 +75,7 @@ URLS = [
 @pytest.mark.parametrize(("url", "expected"), URLS)
 def test_cache_parameters_in_both_forms(spark, url, expected):
     assert one(spark, urls.strip_cachebust(F.lit(url))) == expected
-    assert html.strip_cachebust(url) == expected
+    assert urls.stable_query(url) == expected
 
 
 def test_sites(spark):
