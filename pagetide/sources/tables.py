@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,14 +70,41 @@ def merged_latest(latest: DataFrame, new: DataFrame) -> DataFrame:
     return latest.join(new.select("county", "page_type").distinct(), ["county", "page_type"], "left_anti").unionByName(new)
 
 
-def write_latest(latest: DataFrame, new: DataFrame, path: str) -> None:
-    """Into a new folder: a table cannot be overwritten while it is read."""
-    merged_latest(latest, new).write.partitionBy("page_type").mode("errorifexists").parquet(path)
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def append_history(new: DataFrame, path: str) -> None:
-    """One partition for each day; a run only adds files."""
-    new.withColumn("run_date", F.to_date("fetched_at")).write.partitionBy("run_date").mode("append").parquet(path)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Whole versions of a table of latest captures, in order."""
+    fs, at = _files(spark, path)
+    found = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+    child = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(f.getName()[8:]) for f in found if f.getName().startswith("version=") and fs.exists(child(f, "_SUCCESS")))
+
+
+def read_latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last whole version (before a number); None if there is none."""
+    there = [v for v in versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={there[-1]}") if there else None
+
+
+def replace_latest(new: DataFrame, path: str, run: int) -> None:
+    """New captures in place of their targets' old ones, as version `run`: a version takes effect when it is whole, and a
+    run that comes again writes the same. The one before stays for readers that have begun; older ones go."""
+    spark = new.sparkSession
+    latest = read_latest(spark, path, before=run)
+    merged = new if latest is None else merged_latest(latest, new)
+    merged.write.partitionBy("page_type").mode("overwrite").parquet(f"{path}/version={run}")
+    for v in versions(spark, path)[:-2]:
+        fs, at = _files(spark, f"{path}/version={v}")
+        fs.delete(at, True)
+
+
+def append_history(new: DataFrame, path: str, run: int) -> None:
+    """One partition for each day and run: a run only adds files, and replaces its own if it comes again."""
+    days = new.withColumn("run_date", F.to_date("fetched_at")).withColumn("run_id", F.lit(run))
+    days.write.partitionBy("run_date", "run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def new_blobs(bodies: DataFrame, stored: DataFrame | None) -> DataFrame:
@@ -94,22 +122,28 @@ def write_checkpoint(done: DataFrame, path: str) -> None:
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """Keys that are done; none if there is no checkpoint."""
+    """Keys that are done; none if there is no checkpoint. Damaged files are passed over: what they held is done again."""
     try:
-        return spark.read.schema(schemas.CHECKPOINT).parquet(path)
-    except Exception as e:  # noqa: BLE001  a missing or unreadable checkpoint starts anew
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
+        return spark.read.schema(schemas.CHECKPOINT).option("ignoreCorruptFiles", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schemas.CHECKPOINT)
         raise
 
 
+def clear_checkpoint(spark: SparkSession, path: str) -> None:
+    """After a run that came to its end."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
 def write_manifest(targets: DataFrame, path: str) -> None:
     """Columns in their order; others are left out."""
     targets.select(*BASE_COLUMNS, *AUDIT_COLUMNS).write.mode("overwrite").csv(path, header=True, emptyValue="", escape='"')
 
 
 def markdown_cell(c):
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\|", r"\\\\|"), r"[\r\n]", " ")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\|", r"\\|"), r"[\r\n]", " ")
 
 
 def write_table_as_markdown(df: DataFrame, path: str) -> None:
@@ -126,6 +160,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def probe_log(tried: DataFrame) -> DataFrame:
+    """county, attempts: what was tried for each county (priority, url, confidence, evidence), in order. Candidates are at most sixteen."""
+    return tried.groupBy("county").agg(F.sort_array(F.collect_list(F.struct("priority", "url", "confidence", "evidence"))).alias("attempts"))
+
+
+def write_draft(draft: DataFrame, path: str) -> None:
+    """A draft of the manifest, in the order it has."""
+    draft.select(*BASE_COLUMNS).coalesce(1).write.mode("overwrite").csv(path, header=True, emptyValue="", escape='"')
+
+
 def write_homepages(found: DataFrame, path: str) -> None:
     found.withColumn("flag_for_review", F.when(F.col("confidence") == "confident", "").otherwise("yes")).select("county", "seat", "homepage", "confidence", "evidence", "flag_for_review").write.mode("overwrite").csv(path, header=True, emptyValue="")
 

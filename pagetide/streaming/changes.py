@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.captures import snapshot_fields
+from ..operators.html import clean_pages
+from ..sources.tables import append_history, replace_latest
+
+TARGET = ["county", "page_type"]
+
 
 def read_captures(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
     """Captures as files arrive. Event times need a zone: times without one are in the session's."""
@@ -28,8 +34,24 @@ def ingest(captures: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int
     return captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def changes(captures: DataFrame, keys: list[str], content: str = "html_sha256") -> DataFrame:
-    """Changes as they come: keys, fetched_at, previous, content. State is one hash and time for each target.
+def capture_job(history: str, latest: str) -> Callable[[DataFrame, int], None]:
+    """A batch of captures (county, page_type, html, content_type, error, fetched_at, ...): cleaned, appended to the history,
+    and put in place of its targets' latest. Both write by the batch's number, so that one that comes again adds nothing."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        cleaned = snapshot_fields(clean_pages(batch)).drop("html")
+        append_history(cleaned, history, number)
+        # read back, so that pages are cleaned once
+        own = batch.sparkSession.read.parquet(history).filter(F.col("run_id") == number).drop("run_date", "run_id")
+        last = F.max_by(F.struct(*[c for c in own.columns if c not in TARGET]), "fetched_at").alias("l")
+        replace_latest(own.groupBy(*TARGET).agg(last).select(*TARGET, "l.*"), latest, number)
+
+    return run
+
+
+def changes(captures: DataFrame, keys: list[str], contents: tuple[str, ...] = ("html_sha256", "text_sha256")) -> DataFrame:
+    """Changes as they come: keys, fetched_at, previous, content (of the first of the contents). A capture differs if any of
+    its contents does. State is the contents' hashes and the time of each target's last capture.
 
     Captures of a batch are put in order of time; one that is older than the state is late and changes nothing.
     """
@@ -38,18 +60,19 @@ def changes(captures: DataFrame, keys: list[str], content: str = "html_sha256")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("fetched_at", kind="stable")
-        last, at = state.get if state.exists else (None, None)
+        *last, at = state.get if state.exists else (*[None] * len(contents), None)
         out = []
-        for when, value in zip(rows["fetched_at"], rows[content], strict=True):
+        for when, *values in rows[["fetched_at", *contents]].itertuples(index=False):
             if at is not None and when.value // 1000 < at:
                 continue
-            if at is not None and value != last:
-                out.append((*key, when, last, value))
-            last, at = value, when.value // 1000
-        state.update((last, at))
+            if at is not None and values != last:
+                out.append((*key, when, last[0], values[0]))
+            last, at = values, when.value // 1000
+        state.update((*last, at))
         yield pd.DataFrame(out, columns=[*keys, "fetched_at", "previous", "content"])
 
-    return captures.groupBy(*keys).applyInPandasWithState(step, f"{key_schema}, fetched_at timestamp, previous string, content string", "last string, at long", "append", GroupStateTimeout.NoTimeout)
+    held = ", ".join(f"last{k} string" for k in range(len(contents)))
+    return captures.groupBy(*keys).applyInPandasWithState(step, f"{key_schema}, fetched_at timestamp, previous string, content string", f"{held}, at long", "append", GroupStateTimeout.NoTimeout)
 
 
 def per_window(changed: DataFrame, width: str = "3 hours", lateness: str | None = None) -> DataFrame:

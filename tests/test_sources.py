@@ -27,7 +27,8 @@ def test_absent_columns_are_empty(spark, tmp_path):
 
 def test_history_latest_blobs_checkpoint(spark, tmp_path):
     h = inputs.history(spark, SF)
-    tables.append_history(h, f"{tmp_path}/h")
+    tables.append_history(h, f"{tmp_path}/h", 7)
+    tables.append_history(h, f"{tmp_path}/h", 7)
     assert spark.read.parquet(f"{tmp_path}/h").count() == h.count()
     first = h.filter("capture_id < 100").dropDuplicates(inputs.KEYS)
     new = h.filter("capture_id >= 900").dropDuplicates(inputs.KEYS)
@@ -41,6 +42,63 @@ def test_history_latest_blobs_checkpoint(spark, tmp_path):
     t = inputs.targets(spark, SF)
     tables.write_checkpoint(t.filter("batch = '1'"), f"{tmp_path}/c")
     assert manifest.remaining(t, tables.read_checkpoint(spark, f"{tmp_path}/c")).filter("batch = '1'").isEmpty()
+    (tmp_path / "c" / "part-damaged.parquet").write_text("no table")
+    assert tables.read_checkpoint(spark, f"{tmp_path}/c").count() == t.filter("batch = '1'").count()
+    tables.clear_checkpoint(spark, f"{tmp_path}/c")
+    assert tables.read_checkpoint(spark, f"{tmp_path}/c").isEmpty()
+
+
+def test_latest_versions_replace_their_targets(spark, tmp_path):
+    h = inputs.history(spark, SF)
+    parts = [h.filter(f"capture_id % 3 = {k}").dropDuplicates(inputs.KEYS) for k in range(3)]
+    for k in (0, 1, 2, 2):  # the last run comes again
+        tables.replace_latest(parts[k], f"{tmp_path}/l", k)
+    assert tables.versions(spark, f"{tmp_path}/l") == [1, 2]
+    got = tables.read_latest(spark, f"{tmp_path}/l")
+    expected = parts[0]
+    for p in parts[1:]:
+        expected = tables.merged_latest(expected, p)
+    assert got.count() == expected.count() and got.join(parts[2], [*inputs.KEYS, "capture_id"], "left_semi").count() == parts[2].count()
+    assert tables.read_latest(spark, f"{tmp_path}/none") is None
+
+
+def test_reports(spark, tmp_path):
+    tried = spark.createDataFrame([("Polk", 2, "u2", "likely", "e"), ("Polk", 1, "u1", "reject", "x|y"), ("Smith", 1, "u", "confident", "")], "county string, priority int, url string, confidence string, evidence string")
+    log = {r["county"]: [a["url"] for a in r["attempts"]] for r in tables.probe_log(tried).collect()}
+    assert log == {"Polk": ["u1", "u2"], "Smith": ["u"]}
+    tables.write_json(tables.probe_log(tried), f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").filter("size(attempts) = 2").count() == 1
+    tables.write_table_as_markdown(tried.select("county", "evidence").filter("priority = 1"), f"{tmp_path}/m")
+    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/m").collect()]
+    assert lines[:2] == ["| county | evidence |", "|---|---|"] and "| Polk | x\\|y |" in lines
+    t = inputs.targets(spark, SF)
+    seed = t.select("county").distinct().select("county", F.col("county").substr(-9, 9).cast("int").alias("position"))
+    draft = manifest.in_seed_order(t.orderBy(F.rand(1)), seed)
+    tables.write_draft(draft, f"{tmp_path}/d")
+    back = [(r["county"], r["page_type"]) for r in tables.read_draft(spark, f"{tmp_path}/d").collect()]
+    order = {p: k for k, p in enumerate(inputs.PAGE_TYPES)}
+    assert back == sorted(back, key=lambda r: (int(r[0][-9:]), order[r[1]]))
+    found = spark.createDataFrame([("Polk", "L", "https://p", "likely", "e"), ("Smith", "T", "", "confident", "e")], "county string, seat string, homepage string, confidence string, evidence string")
+    tables.write_homepages(found, f"{tmp_path}/h")
+    assert [(r["county"], r["flag_for_review"]) for r in tables.read_homepages(spark, f"{tmp_path}/h").collect()] == [("Polk", "yes")]
+    table = tables.read_captures(spark, f"{SF}/pages.parquet")
+    assert table.filter("ok and http_status = 200 and html is not null").count() == table.count() > 0
+
+
+def test_streamed_captures_are_cleaned_once_into_history_and_latest(spark, tmp_path):
+    rows = [("Polk", "results", f"<p>{k}</p><script>{k}</script>", "text/html", None, dt.datetime(2026, 7, 1 + k)) for k in range(3)] + [("Smith", "results", None, "text/html", "timeout", dt.datetime(2026, 7, 1))]
+    schema = "county string, page_type string, html string, content_type string, error string, fetched_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    job = changes.capture_job(f"{tmp_path}/history", f"{tmp_path}/latest")
+
+    def twice(batch, number):
+        job(batch, number)
+        job(batch, number)
+
+    changes.ingest(changes.read_captures(spark, f"{tmp_path}/in", schema), f"{tmp_path}/cp", twice).awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/history").count() == 4
+    latest = {r["county"]: r for r in tables.read_latest(spark, f"{tmp_path}/latest").collect()}
+    assert set(latest) == {"Polk", "Smith"} and latest["Polk"]["page_txt"] == "2\n" and latest["Smith"]["error"] == "timeout"
 
 
 def test_bodies_and_metadata(spark, tmp_path):
@@ -61,10 +119,10 @@ def test_streamed_changes_equal_those_of_the_table(spark, tmp_path):
     h = inputs.history(spark, SF).select("county", "page_type", "fetched_at", "html_sha256", "text_sha256", "capture_id")
     h.filter("capture_id < 500").coalesce(1).write.parquet(f"{tmp_path}/in")
     h.filter("capture_id >= 500").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = changes.read_captures(spark, f"{tmp_path}/in", h.schema).select("county", "page_type", "fetched_at", "html_sha256")
+    stream = changes.read_captures(spark, f"{tmp_path}/in", h.schema).select("county", "page_type", "fetched_at", "html_sha256", "text_sha256")
     q = changes.changes(stream, inputs.KEYS).writeStream.format("memory").queryName("changed").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    expected = of_table(h.withColumn("text_sha256", F.col("html_sha256")), inputs.KEYS)
+    expected = of_table(h, inputs.KEYS)
     assert spark.table("changed").count() == expected.count() > 0
 
 
