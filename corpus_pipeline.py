@@ -14,7 +14,7 @@ from pagetide.llm.common import documents, stored
 from pagetide.llm.langid import UNDETERMINED, identified
 from pagetide.llm.neardup import near_duplicates
 from pagetide.llm.packing import packed
-from pagetide.llm.pii import personal_spans
+from pagetide.llm.pii import masked, personal_spans
 from pagetide.llm.repeats import PASSAGES, repeated_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,12 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with [KIND] in place of personal data; where spans overlap, the first takes the place."""
     found = personal_spans(docs, carry=("text", "lang", "source"))
-    text = F.expr("""aggregate(
-        array_sort(transform(spans, x -> struct(x.start as start, x.end as end, x.kind as kind))),
-        cast(struct(0 as at, '' as out) as struct<at:int,out:string>),
-        (a, x) -> if(x.start < a.at, struct(greatest(a.at, x.end) as at, a.out as out), struct(x.end as at, concat(a.out, substr(text, a.at + 1, x.start - a.at), '[', upper(x.kind), ']') as out)),
-        a -> concat(a.out, substr(text, a.at + 1)))""")
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return found.withColumn("text", F.expr(masked())).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = documents(spark, sf_dir, *COLUMNS)
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))  # the next stage depends on these files alone
     return STAGES[-1][1](spark, docs, sf_dir)
