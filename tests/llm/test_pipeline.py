@@ -1,8 +1,18 @@
 """Every stage on its own input, by what its operator says of it."""
 
+import hashlib
+import struct
+import zlib
+from collections import defaultdict
+
+from test_pairs import components, repeated_words
+from tokenizers import Tokenizer
+
 import corpus_pipeline as c
 from pagetide.llm.langid import identified
 from pagetide.llm.neardup import near_duplicates
+from pagetide.llm.pii import personal_spans
+from pagetide.llm.repeats import PASSAGES, repeated_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,11 +29,39 @@ def test_stages_keep_the_columns_and_take_effect(spark):
         if name == "near_duplicates":
             assert ids(out) == ids(near_duplicates(docs).filter("kept"))
             assert near_duplicates(out).filter("not kept").isEmpty()
+            assert {r[2] for r in components([(r["doc_id"], r["text"]) for r in docs.collect()])} == ids(out)
+        if name == "repeated_passages":
+            want = {r[0]: r[4] for r in repeated_words([(r["doc_id"], r["text"]) for r in docs.collect()], 51)}
+            got = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in out.collect()}
+            assert got.items() <= want.items() and ids(docs) - set(got) <= {r["doc_id"] for r in repeated_spans(docs, with_text=True, unit=PASSAGES).collect() if not r["kept_text"].strip()}
         if name == "personal_data":
-            assert out.filter("text rlike '@[a-z0-9-]+[.]com'").isEmpty()
+            want = {r["doc_id"]: masked(r["text"], r["spans"]) for r in personal_spans(docs, carry=("text",)).collect()}
+            assert {r["doc_id"]: r["text"] for r in out.collect()} == want and want != {r["doc_id"]: r["text"] for r in docs.collect()}
         docs = out
-    packed = c.STAGES[-1][1](spark, docs, SF)
-    assert packed.select("doc_id").distinct().count() == docs.count()
+    library = Tokenizer.from_file(c.tokenizer_path())
+    ids = {r["doc_id"]: [*library.encode(r["text"], add_special_tokens=False).ids, 1] for r in docs.collect()}
+    seen, sequences = defaultdict(int), defaultdict(list)
+    for r in c.STAGES[-1][1](spark, docs, SF).orderBy("doc_id", "start").collect():
+        assert r["start"] == seen[r["doc_id"]] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{r['length']}I", *ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]))
+        seen[r["doc_id"]] += r["length"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert seen == {i: len(x) for i, x in ids.items()}
+    for places in sequences.values():
+        ends = [0]
+        for offset, length in sorted(places):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+
+
+def masked(text, spans):
+    out, at = "", 0
+    for x in sorted(spans, key=lambda x: (x["start"], x["end"], x["kind"])):
+        if x["start"] >= at:
+            out += text[at : x["start"]] + f"[{x['kind'].upper()}]"
+        at = max(at, x["end"])
+    return out + text[at:]
 
 
 def test_stages_take_odd_rows(spark):
