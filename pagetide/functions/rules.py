@@ -1,4 +1,7 @@
-"""Decisions about captures and pages: liveness, identity, audit. First rule that holds decides."""
+"""Decisions about captures and pages: liveness, identity, audit. First rule that holds decides.
+
+Fixed values here: the texts of errors, reasons and evidence, and the thresholds in the rules.
+"""
 
 from __future__ import annotations
 

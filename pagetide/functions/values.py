@@ -41,11 +41,6 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def blanks_collapsed(c: Column) -> Column:
-    """Runs of blanks and tabs as one blank; line breaks stay."""
-    return F.regexp_replace(c, r"[ \t\f\x0B]+", " ")
-
-
 def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -88,10 +83,6 @@ def edge_references(c: Column) -> Column:
     return F.regexp_replace(c, EDGE_REFERENCE, "EDGE_REF_REDACTED")
 
 
-def email_tokens(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL_TOKEN, "$1REDACTED")
-
-
 def plain_dates(c: Column) -> Column:
     """`Tue Jul 08 08:49:00 CDT 2026` as `July 8, 2026`: one replacement for each month."""
     day, _, rest = RAW_DATE

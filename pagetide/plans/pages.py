@@ -159,11 +159,14 @@ def name_slugs(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.squashed(n).alias("squashed"), X.hyphened(n).alias("hyphened"))
 
 
-@query("candidate_urls", """with n as (select distinct n_name, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') as s, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') as h from nation)
-    select n_name, case when s = h then 14 else 16 end as n_urls, 'https://www.co.' || s || '.tx.us/' as first_url, 'https://' || case when s = h then 'www.' || s || 'countytx.gov' else 'www.co.' || h || '.tx.us' end || '/' as third_url, 'https://www.' || s || 'countytx.org/' as last_url from n""")
+@query("candidate_urls", """with c as (select c_custkey, case when c_custkey % 2 = 0 then c_mktsegment || c_custkey else c_name end as name from customer),
+    n as (select c_custkey, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as s, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as h from c)
+    select c_custkey, case when s = h then 14 else 16 end as n_urls, 'https://www.co.' || s || '.tx.us/' as first_url, 'https://' || case when s = h then 'www.' || s || 'countytx.gov' else 'www.co.' || h || '.tx.us' end || '/' as third_url, 'https://www.' || s || 'countytx.org/' as last_url from n""")
 def candidate_urls(spark, d):
-    u = U.candidate_urls(F.col("n_name"))
-    return table(spark, d, "nation").select("n_name", F.size(u).alias("n_urls"), u[0].alias("first_url"), u[2].alias("third_url"), F.element_at(u, -1).alias("last_url"))
+    """Customers' names have a hyphen; segments with a number have none."""
+    k = F.col("c_custkey")
+    u = U.candidate_urls(F.when(k % 2 == 0, F.concat("c_mktsegment", k.cast("string"))).otherwise(F.col("c_name")))
+    return table(spark, d, "customer").select("c_custkey", F.size(u).alias("n_urls"), u[0].alias("first_url"), u[2].alias("third_url"), F.element_at(u, -1).alias("last_url"))
 
 
 @query("audited_documents", "with k as (select doc_id, lower(coalesce(source, '') || chr(10) || text) as hay, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) as n, " + "(" + " or ".join(f"contains(lower(coalesce(source, '') || chr(10) || text), '{w}')" for w in BAD_PAGE) + """) as bad, lang from documents),
