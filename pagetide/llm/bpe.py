@@ -19,6 +19,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -249,16 +250,17 @@ class Automaton:
             self.arcs_settled = len(self.arcs)
             self.arc_table = Table(*(np.fromiter(x, np.int64, len(self.arcs)) for x in (self.arcs.keys(), self.arcs.values())))
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each of many pre-split words. All stand one behind the other; a word's walker is at `at`, has come by the label
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pre-split words, and where each word's end. All words stand one behind the other; a word's walker is at `at`, has come by the label
         `state` and tries `label`; out and before hold its path, dead the places from which no path goes on."""
         raw = [w.encode("utf-8", "replace") for w in words]
         if any(len(w) > LONG for w in raw):
-            brief = [k for k, w in enumerate(raw) if len(w) <= LONG]
-            got = dict(zip(brief, self.encode_words([words[k] for k in brief]), strict=True))
-            return [got[k] if k in got else self.encode_word(w) for k, w in enumerate(words)]
+            flat, ends = self.encode_words([w for w, b in zip(words, raw, strict=True) if len(b) <= LONG])
+            brief = iter(np.split(flat, ends[:-1]))
+            parts = [next(brief) if len(b) <= LONG else np.array(self.encode_word(w), np.int64) for w, b in zip(words, raw, strict=True)]
+            return np.concatenate(parts), np.cumsum([len(x) for x in parts])
         if not raw:
-            return []
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         self.settle()
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
         ends = np.cumsum(sizes)
@@ -289,9 +291,7 @@ class Automaton:
             at, state, start, stop = next_at[on], next_state[on], start[on], stop[on]
             label, new = less[on], np.flatnonzero(ok[on])
             label[new] = self.longest(chars, at[new])
-        flat = out[out >= 0].tolist()
-        bounds = np.r_[0, np.cumsum(out[:-1] >= 0)[ends - 1]].tolist()
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return out[out >= 0], np.cumsum(out[:-1] >= 0)[ends - 1]
 
     def split_run(self, run: str) -> list[str]:
         """Pre-split words of text without ASCII white space and special tokens: normalised, split."""
@@ -327,7 +327,8 @@ class Automaton:
 
 
 class Runs:
-    """run of a text without white space -> make(ids) of its words, joined; a worker keeps it for its next tasks.
+    """run of a text without white space -> the values of its words, joined; a worker keeps them for its next tasks.
+    make(ids, ends) gives the values of words from their ids, all in one array, and where each word's end.
 
     Runs and words are remembered in two generations: when the younger is full it becomes the older, and what is asked
     for again moves to the new one, so that frequent ones stay while rare ones go."""
@@ -373,39 +374,71 @@ class Runs:
         yield from self.values(block)
 
     def values(self, block: list[list[bytes]]) -> Iterator[list]:
-        self.learn(self.lacking(self.runs, CACHE_RUNS, set().union(*block)))
+        get, found, holes, missing = self.runs[0].get, [], [], set()
         for runs in block:
-            yield list(map(self.runs[0].__getitem__, runs))
-
-    def learn(self, runs: list[bytes]) -> None:
+            got = list(map(get, runs))
+            if None in got:
+                at = [k for k, v in enumerate(got) if v is None]
+                holes.append((runs, got, at))
+                missing.update([runs[k] for k in at])
+            found.append(got)
+        self.learn(missing)
+        known = self.runs[0]
+        for runs, got, at in holes:
+            for k in at:
+                got[k] = known[runs[k]]
+        return iter(found)
+
+    def learn(self, runs: set[bytes]) -> None:
         """Encodes new runs. Many small objects are made, none in cycles: looking for cycles would take a tenth of the time."""
         gc.disable()
         try:
-            self._learn(runs)
+            self._learn(self.lacking(self.runs, CACHE_RUNS, runs))
         finally:
             gc.enable()
 
     def _learn(self, runs: list[bytes]) -> None:
-        if not runs:
-            return
-        a, known = self.automaton, self.runs[0]
-        plain = [r for r in runs if b"<|" not in r]
-        text = b"\n".join(plain).decode()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        split = [[run] if run.isalpha() else a.words_of(run) for run in lowered(text).split("\n")] if plain else []
-        new = self.lacking(self.words, CACHE_WORDS, {w for ws in split for w in ws})
-        words = self.words[0]
-        words.update(zip(new, map(self.make, a.encode_words(new)), strict=True))
-        for run, ws in zip(plain, split, strict=True):
-            known[run] = words[ws[0]] if len(ws) == 1 else self.join([words[w] for w in ws])
-        if len(plain) < len(runs):
-            known.update((r, self.make(a.encode_run(r.decode()))) for r in runs if b"<|" in r)
+        a, known, joined = self.automaton, self.runs[0], b"\n".join(runs)
+        special = []
+        if b"<|" in joined:
+            special = [r for r in runs if b"<|" in r]
+            runs = [r for r in runs if b"<|" not in r]
+            joined = b"\n".join(runs)
+        if runs:
+            text = joined.decode()
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text)
+            split = [[run] if run.isalpha() else a.words_of(run) for run in lowered(text).split("\n")]
+            new = self.lacking(self.words, CACHE_WORDS, set(chain.from_iterable(split)))
+            words = self.words[0]
+            words.update(zip(new, self.make(*a.encode_words(new)), strict=True))
+            join = self.join
+            known.update(zip(runs, [words[ws[0]] if len(ws) == 1 else join([words[w] for w in ws]) for ws in split], strict=True))
+        for r in special:
+            ids = np.array(a.encode_run(r.decode()), np.int64)
+            (known[r],) = self.make(ids, np.array([len(ids)]))
 
 
 KEPT.append(Runs.kept)
 
 
+def cut(values, ends: np.ndarray) -> list:
+    """Slices of values, each up to the next end."""
+    ends = ends.tolist()
+    return [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def texts_of(automaton: Automaton) -> Callable:
+    """Words' ids in decimals, and their decoded text."""
+
+    def make(ids: np.ndarray, ends: np.ndarray) -> list[tuple[str, str]]:
+        ids = ids.tolist()
+        texts = ([*map(str, ids)], [automaton.labels[i] for i in ids])
+        return [(" ".join(a), " ".join(b)) for a, b in zip(*(cut(t, ends) for t in texts), strict=True)]
+
+    return make
+
+
 def joined_texts(parts: list[tuple[str, str]]) -> tuple[str, str]:
     return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
@@ -417,7 +450,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs.of(path, "text", lambda a: lambda ids: (" ".join(map(str, ids)), a.decode(ids)), joined_texts)
+        runs = Runs.of(path, "text", texts_of, joined_texts)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for values in runs.blocks(b.column(1)):

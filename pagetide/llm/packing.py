@@ -12,28 +12,24 @@ from __future__ import annotations
 
 import bisect
 import struct
-import sys
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Runs, tokenizer_path
+from .bpe import Runs, cut, tokenizer_path
 from .common import documents, stored
 
 LENGTH, END_ID = 2048, 1
 
 
-def little_endian(ids: list[int]) -> bytes:
-    """Unsigned 32-bit ids."""
-    a = array("I", ids)
-    if sys.byteorder == "big":
-        a.byteswap()
-    return a.tobytes()
+def little_endian(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Each word's ids as unsigned 32-bit numbers."""
+    return cut(ids.astype("<u4").tobytes(), 4 * ends)
 
 
 def pieces_of(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -41,7 +37,7 @@ def pieces_of(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs.of(path, "bytes", lambda a: little_endian, b"".join)
+        runs = Runs.of(path, "bytes", lambda _: little_endian, b"".join)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for doc_id, values in zip(b.column(0).to_pylist(), runs.blocks(b.column(1)), strict=True):
