@@ -137,6 +137,9 @@ def merged(parts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """parts(node, part) after links (a, b) between nodes: only parts that they join are gone through."""
     of = [parts.select(F.col("node").alias(x), F.col("part").alias(f"p{x}")) for x in "ab"]
     across = links.join(of[0], "a").join(of[1], "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    across = scratch.put("across", across)
+    if across.isEmpty():
+        return parts
     joined = components(across, scratch).withColumnRenamed("node", "part")
     return scratch.put("parts", parts.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("part")))
 
@@ -147,10 +150,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return ab.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one part."""
+def _mixed(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of buckets that hold more than one part. Sums by bucket are tables of their own here and below: a join whose sides
+    come from shuffles alone may be split where one bucket holds much."""
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
-    return placed.join(mixed, "bucket")
+    return placed.join(scratch.put("several", mixed), "bucket")
 
 
 def _able(placed: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -164,10 +168,10 @@ def _able(placed: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     wide = scratch.put("wide", each.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("shingle"))
     shared = scratch.put("shared", each.join(wide, "shingle").groupBy("node").agg(F.count("*").alias("shared")))
     rows = scratch.put("able", placed.join(shared, "node"))
-    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
-    rows = rows.join(least, "bucket").filter("28 * shared >= 3 * (4 * n + greatest(4 * least, 3 * n))").drop("least")
-    able = scratch.put("mixed", _mixed(rows))
-    scratch.drop("wide", "shared", "able")
+    least = scratch.put("least", rows.groupBy("bucket").agg(F.min("n").alias("least")))
+    rows = scratch.put("enough", rows.join(least, "bucket").filter("28 * shared >= 3 * (4 * n + greatest(4 * least, 3 * n))").drop("least"))
+    able = scratch.put("mixed", _mixed(rows, scratch))
+    scratch.drop("wide", "shared", "able", "least", "enough", "several")
     return able
 
 
@@ -249,7 +253,7 @@ def _cross_links(able: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFram
     a cluster's nodes meet each other once, however many buckets they share. A cluster is cut into blocks of bounded
     size, which meet in pairs, each pair a group of its own; small clusters are dealt into groups of that size.
     Pairs of nodes are counted within a group, and only links that join parts leave it."""
-    lowest = able.groupBy("bucket").agg(F.min("node").alias("a"))
+    lowest = scratch.put("lowest", able.groupBy("bucket").agg(F.min("node").alias("a")))
     clusters = scratch.put("clusters", components(able.join(lowest, "bucket").select("a", F.col("node").alias("b")), scratch))
     members = able.select("node", "n", "part").distinct().join(clusters, "node").withColumnRenamed("component", "cluster")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
@@ -294,7 +298,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = merged(parts, links, scratch)
 
     def still_mixed() -> DataFrame:
-        return scratch.put("placed", _mixed(buckets.join(parts, "node").select("bucket", "node", "n", "part")))
+        rows = scratch.put("rows", buckets.join(parts, "node").select("bucket", "node", "n", "part"))
+        placed = scratch.put("placed", _mixed(rows, scratch))
+        scratch.drop("rows", "several")
+        return placed
 
     placed = still_mixed()
     if not placed.isEmpty():
@@ -304,6 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         most = F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), "node", "n"))
         reps = scratch.put("reps", able.groupBy("bucket", "part").agg(most.alias("r")).select("bucket", "part", "r.share", "r.node", "r.n"))
         one = reps.groupBy("bucket").agg(F.max(F.struct("share", "node", "part", "n")).alias("r")).select("bucket", F.col("r.part").alias("q"), F.col("r.node").alias("other"), F.col("r.n").alias("m"))
+        one = scratch.put("one", one)
         pairs = reps.join(one, "bucket").filter("part <> q and 4 * least(n, m) >= 3 * greatest(n, m)")
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         parts = merged(parts, scratch.put("links", _verified(pairs, sets)), scratch)
