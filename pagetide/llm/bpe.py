@@ -31,7 +31,7 @@ from .common import KEPT, ODD, documents
 WORD_END = "</w>"
 END = "\0"  # stands for it within a word
 #: Entries of a generation of the runs and words that a worker keeps, and arcs; only memory and time depend on it.
-CACHE_RUNS, CACHE_WORDS, CACHE_ARCS = 300_000, 200_000, 400_000
+CACHE_RUNS, CACHE_WORDS, CACHE_ARCS = 200_000, 150_000, 400_000
 BLOCK_CHARS = 2_000_000  # characters of texts that are encoded together
 LONG = 64  # bytes of a word that goes its way alone
 STOP = 256  # the word end among bytes

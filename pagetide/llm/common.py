@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ def release() -> None:
     """Empties what earlier tasks of other operators have left in this worker."""
     for kept in KEPT:
         kept.clear()
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):
