@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import any_of, host, redirected_to_root, squeezed
+from .urls import host, redirected_to_root, squeezed
 from .vocabulary import BAD_PAGE, COMMERCIAL, ERROR_PAGE, GOV, INTERSTITIAL, JS_SHELL, NON_GOV, NON_GOV_TITLE, PARKED, STRONG, WEAK
 
 DASH = "—"
