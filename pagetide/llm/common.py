@@ -87,6 +87,7 @@ class Scratch:
         df.write.parquet(path)
         self.drop(name)
         self.at[name] = path
+        self.sweep()
         return self.spark.read.parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -99,7 +100,7 @@ class Scratch:
         self.drop(*[n for n in self.at if n not in names])
 
     def sweep(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nothing holds any more, after the large steps."""
+        """Lets the driver drop what plans have left that nothing holds any more, and Spark their shuffle files."""
         self.spark._jvm.System.gc()
 
 

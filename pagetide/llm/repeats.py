@@ -278,13 +278,11 @@ def found_spans(docs: DataFrame, unit: Unit, with_text: bool, scratch: Scratch,
     twice = scratch.put("twice", twice)  # so that both sides of the join are dealt by key, and a frequent phrase's rows can be split
     places = scratch.put("places", parse.join(twice, "gram").groupBy("tid", "size").agg(F.collect_set("at").alias("places")))
     scratch.drop("anchors", "twice")
-    scratch.sweep()
     wanted = places.join(copies, ["tid", "size"])
     same = (docs["tid"] == wanted["tid"]) & (docs["size"] == wanted["size"]) & docs["doc_id"].eqNullSafe(wanted["first"])
     found = docs.join(wanted, same).select(docs["tid"], docs["size"], "text", "places")
     candidates = scratch.put("candidates", found.mapInArrow(_units, "unit string, tid long, size int, text string, places array<int>"))
     scratch.drop("places")
-    scratch.sweep()
 
     def list_triggers(batches):
         hashes = WordHashes()
@@ -342,7 +340,6 @@ def found_spans(docs: DataFrame, unit: Unit, with_text: bool, scratch: Scratch,
     result = units.cogroup(answers.unionByName(strings).groupBy("unit")).applyInArrow(cut, "tid long, size int, gone long, spans long, sha string, kept string")
     result = scratch.put(f"{name}result", result.filter("gone > 0").dropDuplicates(["tid", "size"]))
     scratch.drop("candidates", "answers", "strings")
-    scratch.sweep()
     return copies.select("tid", "size", "copies"), result
 
 
