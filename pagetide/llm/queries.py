@@ -14,13 +14,14 @@ from .neardup import OP1_SQL, op1_near_duplicates
 from .neighbours import op5_neighbours
 from .ngram import op2_ngram_scores
 from .packing import op9_packing
+from .pieces import op11_pieces
 from .pii import op8_personal
 from .quality import op7_quality
 from .repeats import op4_repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_near_duplicates, op2_ngram_scores, op3_bpe, op4_repeats, op5_neighbours, op6_language, op7_quality, op8_personal, op9_packing, op10_main_text)
+    ops = (op1_near_duplicates, op2_ngram_scores, op3_bpe, op4_repeats, op5_neighbours, op6_language, op7_quality, op8_personal, op9_packing, op10_main_text, op11_pieces)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
