@@ -24,7 +24,6 @@ LEAST, MOST = 30, 90  # a negative's score in hundredths of the positive's
 SPAN_ROWS, BUCKET_ROWS = 8192, 2048
 CHUNK_ANCHORS, TOGETHER = 8192, 64  # anchors of a block, and those that are worked on at once
 FOCUS = 4  # focus coordinates
-NOWHERE = -(1 << 62)
 EXACT = 1 << 53
 
 
@@ -169,14 +168,15 @@ def matched(anchors: DataFrame, spans: DataFrame, dim: int, k: int, bands: bool,
             a_ids, a_labels, a = left.column("vec_id").to_numpy(), left.column("label").to_numpy(), matrix(left.column("v"), dim)
             order = np.lexsort((ids, -(v.astype(float) ** 2).sum(1)))
             ids, labels, v = ids[order], labels[order], v[order]
+            any_score = dim * int(max(abs(int(x)) for m in (a, v) for x in (m.min(), m.max()))) ** 2
+            wide = any_score >= EXACT
             if bands:
                 scores = left.column("scores").to_pylist()
                 width = max(map(len, scores))
                 pairs = [[band_of(s, least, most) for s in own] + [(1, 0)] * (width - len(own)) for own in scores]
                 low, high = (np.array([[p[x] for p in own] for own in pairs], object) for x in (0, 1))
             else:
-                low, high = np.full((len(a), 1), NOWHERE, object), np.full((len(a), 1), -NOWHERE, object)
-            wide = dim * int(max(abs(int(x)) for m in (a, v) for x in (m.min(), m.max()))) ** 2 >= EXACT
+                low, high = np.full((len(a), 1), -any_score, object), np.full((len(a), 1), any_score, object)
             buckets = [] if wide else [Bucket(ids[x : x + BUCKET_ROWS], labels[x : x + BUCKET_ROWS], v[x : x + BUCKET_ROWS]) for x in range(0, len(ids), BUCKET_ROWS)]
             for x in range(0, len(a), TOGETHER):
                 y = slice(x, x + TOGETHER)
