@@ -24,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Scratch, documents
+from .common import Scratch, documents
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 SLICE_ARCS = 1 << 17  # arcs of a slice of a trie (more only where one state has more)
 GROUP_SLICES = 32  # slices that a task holds at once; further ones are further passes over the blocks
-BLOCK_WORDS = 2_000_000  # positions of a block
+BLOCK_WORDS = 1_000_000  # positions of a block
+ROWS = 1 << 16  # of a batch that a task hands on
+CACHE_WORDS = 100_000  # words of a language whose numbers a task remembers
 PART_BYTES = 4_000_000  # of a text whose words are lists at the same time
 COUNTED = 400_000  # distinct words that a task counts before it hands them on
 UNDETERMINED = "und"
@@ -178,12 +180,12 @@ def arrays_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     held, size = ([], []), 0
     for b in batches:
         for row in zip(b.column(0), b.column(1), strict=True):
-            for h, x in zip(held, row, strict=True):
-                h.append(np.frombuffer(x.as_py(), np.int32))
-            size += len(held[0][-1])
-            if size > BLOCK_WORDS:
+            words, state = (np.frombuffer(x.as_py(), np.int32) for x in row)
+            if size and size + len(words) > BLOCK_WORDS:
                 yield np.concatenate(held[0]), np.concatenate(held[1])
                 held, size = ([], []), 0
+            held[0].append(words), held[1].append(state)
+            size += len(words)
     if size:
         yield np.concatenate(held[0]), np.concatenate(held[1])
 
@@ -244,9 +246,13 @@ def count_candidates(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, state in arrays_of(batches):
             at = np.flatnonzero((state[:-1] > 0) & (state[1:] > 0))
-            codes, which = np.unique(state[at].astype(np.int64) << 32 | state[at + 1], return_inverse=True)
-            n = np.bincount(which, minlength=len(codes))
-            yield pa.record_batch([pa.array(codes >> 32), pa.array(codes & 0xFFFFFFFF), pa.array(n, pa.int64())], ["left", "right", "n"])
+            codes = state[at].astype(np.int64) << 32 | state[at + 1]
+            codes.sort()
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else at
+            codes, n = codes[first], np.diff(np.append(first, len(codes)))
+            for x in range(0, len(codes), ROWS):
+                y = slice(x, x + ROWS)
+                yield pa.record_batch([pa.array(codes[y] >> 32), pa.array(codes[y] & 0xFFFFFFFF), pa.array(n[y], pa.int64())], ["left", "right", "n"])
 
     return blocks.mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
