@@ -24,16 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, release
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 SLICE_ARCS = 1 << 17  # arcs of a slice of a trie (more only where one state has more)
 GROUP_SLICES = 32  # slices that a task holds at once; further ones are further passes over the blocks
-BLOCK_WORDS = 1_000_000  # positions of a block
+BLOCK_WORDS = 600_000  # positions of a block
 ROWS = 1 << 16  # of a batch that a task hands on
-CACHE_WORDS = 100_000  # words of a language whose numbers a task remembers
-PART_BYTES = 4_000_000  # of a text whose words are lists at the same time
-COUNTED = 400_000  # distinct words that a task counts before it hands them on
+CACHE_WORDS = 50_000  # words of a language whose numbers a task remembers
+PART_BYTES = 1_000_000  # of a text whose words are lists at the same time
+COUNTED = 150_000  # distinct words that a task counts before it hands them on
 UNDETERMINED = "und"
 END = b"."  # stands for any character that ends a piece; none of them is in a word
 #: What ends a piece, and what parts words inside one.
@@ -167,6 +167,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 if sum(map(len, counts.values())) > COUNTED:
                     yield from rows()
         yield from rows()
+        release()
 
     return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -236,6 +237,7 @@ def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             yield block()
+        release()
 
     return docs.mapInArrow(run, "words binary, states binary")
 
@@ -253,6 +255,7 @@ def count_candidates(blocks: DataFrame) -> DataFrame:
             for x in range(0, len(codes), ROWS):
                 y = slice(x, x + ROWS)
                 yield pa.record_batch([pa.array(codes[y] >> 32), pa.array(codes[y] & 0xFFFFFFFF), pa.array(n[y], pa.int64())], ["left", "right", "n"])
+        release()
 
     return blocks.mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
