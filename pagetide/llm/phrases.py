@@ -29,11 +29,12 @@ from .common import Scratch, documents, release
 LEAST, LONGEST, TOP = 100, 5, 2000
 SLICE_ARCS = 1 << 17  # arcs of a slice of a trie (more only where one state has more)
 GROUP_SLICES = 32  # slices that a task holds at once; further ones are further passes over the blocks
-BLOCK_WORDS = 600_000  # positions of a block
+BLOCK_WORDS = 1_000_000  # positions of a block
+ROW_WORDS = 8192  # positions of a row of the table of blocks; Parquet holds and compresses some hundred rows at once
 ROWS = 1 << 16  # of a batch that a task hands on
-CACHE_WORDS = 50_000  # words of a language whose numbers a task remembers
-PART_BYTES = 1_000_000  # of a text whose words are lists at the same time
-COUNTED = 150_000  # distinct words that a task counts before it hands them on
+CACHE_WORDS = 100_000  # words of a language whose numbers a task remembers
+PART_BYTES = 2_000_000  # of a text whose words are lists at the same time
+COUNTED = 300_000  # distinct words that a task counts before it hands them on
 UNDETERMINED = "und"
 END = b"."  # stands for any character that ends a piece; none of them is in a word
 #: What ends a piece, and what parts words inside one.
@@ -173,7 +174,12 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def block_rows(words: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([words.astype(np.int32).tobytes()], pa.binary()), pa.array([state.astype(np.int32).tobytes()], pa.binary())], ["words", "states"])
+    """Rows of some ROW_WORDS positions, each cut behind a 0."""
+    ends = np.flatnonzero(words == 0)
+    near = np.searchsorted(ends, np.arange(ROW_WORDS, len(words), ROW_WORDS))
+    cuts = np.unique(np.append(ends[near[near < len(ends)]] + 1, len(words)))
+    rows = [[x.astype(np.int32)[a:b].tobytes() for a, b in zip([0, *cuts.tolist()], cuts.tolist(), strict=False)] for x in (words, state)]
+    return pa.record_batch([pa.array(r, pa.binary()) for r in rows], ["words", "states"])
 
 
 def arrays_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
