@@ -149,7 +149,7 @@ def numbered(scratch: Scratch, name: str, df: DataFrame, *order: str) -> tuple[D
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """lang, word, n: all words of all pieces, summed in each task before they are shuffled."""
+    """lang, word, n: all words of all pieces, summed in each task before they are shuffled, in order (which packs well)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -158,7 +158,8 @@ def count_words(docs: DataFrame) -> DataFrame:
             for lang, c in counts.items():
                 c.pop(END, None)
                 if c:
-                    yield pa.record_batch([pa.array([lang] * len(c)), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
+                    words = sorted(c)
+                    yield pa.record_batch([pa.array([lang] * len(c)), pa.array(words, pa.binary()).cast(pa.string()), pa.array([c[w] for w in words], pa.int64())], ["lang", "word", "n"])
             counts.clear()
 
         for b in batches:
@@ -170,7 +171,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         yield from rows()
         release()
 
-    return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang string, word string, n long").repartition("lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def block_rows(words: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
@@ -249,7 +250,7 @@ def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def count_candidates(blocks: DataFrame) -> DataFrame:
-    """left, right, n: how often two states stand one word apart, summed in each block before it is shuffled."""
+    """left, right, n: how often two states stand one word apart, summed in each block and shuffled in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, state in arrays_of(batches):
@@ -260,10 +261,11 @@ def count_candidates(blocks: DataFrame) -> DataFrame:
             codes, n = codes[first], np.diff(np.append(first, len(codes)))
             for x in range(0, len(codes), ROWS):
                 y = slice(x, x + ROWS)
-                yield pa.record_batch([pa.array(codes[y] >> 32), pa.array(codes[y] & 0xFFFFFFFF), pa.array(n[y], pa.int64())], ["left", "right", "n"])
+                yield pa.record_batch([pa.array(codes[y]), pa.array(n[y], pa.int64())], ["code", "n"])
         release()
 
-    return blocks.mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    summed = blocks.mapInArrow(run, "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
+    return summed.select(F.shiftright("code", 32).alias("left"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("right"), "n")
 
 
 def slices_of(arcs: DataFrame) -> Iterator[Slice]:
