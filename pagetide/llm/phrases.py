@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, release
+from .common import Scratch, documents, mix, release
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 SLICE_ARCS = 1 << 17  # arcs of a slice of a trie (more only where one state has more)
 GROUP_SLICES = 32  # slices that a task holds at once; further ones are further passes over the blocks
 BLOCK_WORDS = 1_000_000  # positions of a block
 ROW_WORDS = 8192  # positions of a row of the table of blocks; Parquet holds and compresses some hundred rows at once
-ROWS = 1 << 16  # of a batch that a task hands on
+SHARD_WORDS = 2_000_000  # positions whose candidates a shard holds
 CACHE_WORDS = 100_000  # words of a language whose numbers a task remembers
 PART_BYTES = 2_000_000  # of a text whose words are lists at the same time
 COUNTED = 300_000  # distinct words that a task counts before it hands them on
@@ -249,8 +249,20 @@ def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "words binary, states binary")
 
 
-def count_candidates(blocks: DataFrame) -> DataFrame:
-    """left, right, n: how often two states stand one word apart, summed in each block and shuffled in order."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as their differences, 64 bits each, compressed: those of a sorted list take two or three bytes."""
+    return pa.compress(np.diff(numbers, prepend=0).astype(np.int64).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(raw, 8 * size, "zstd"), np.int64))
+
+
+def count_candidates(blocks: DataFrame, least: int) -> DataFrame:
+    """left, right, n of two states that stand one word apart at least so often. A block sums its own and sends them in
+    packed lists by shard; a shard holds some SHARD_WORDS positions' worth of them, whatever the size of the corpus, as even
+    those of one left state are dealt out."""
+    shards = -(-blocks.count() * ROW_WORDS // SHARD_WORDS) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, state in arrays_of(batches):
@@ -259,13 +271,26 @@ def count_candidates(blocks: DataFrame) -> DataFrame:
             codes.sort()
             first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else at
             codes, n = codes[first], np.diff(np.append(first, len(codes)))
-            for x in range(0, len(codes), ROWS):
-                y = slice(x, x + ROWS)
-                yield pa.record_batch([pa.array(codes[y]), pa.array(n[y], pa.int64())], ["code", "n"])
+            shard = (mix((codes >> 10).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            codes, n, shard = codes[order], n[order], shard[order]
+            cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else shard, len(shard)).tolist()
+            parts = list(zip(cuts, cuts[1:], strict=False))
+            cols = [shard[cuts[:-1]], [packed(codes[a:b]) for a, b in parts], [packed(n[a:b]) for a, b in parts], [b - a for a, b in parts]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["shard", "codes", "counts", "size"])
         release()
 
-    summed = blocks.mapInArrow(run, "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
-    return summed.select(F.shiftright("code", 32).alias("left"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("right"), "n")
+    def merge(key, table: pa.Table) -> pa.Table:
+        sizes = table.column("size").to_pylist()
+        codes, n = (np.concatenate([unpacked(x.as_py(), size) for x, size in zip(table.column(c), sizes, strict=True)]) for c in ("codes", "counts"))
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        codes, n = codes[first], np.add.reduceat(n, first)
+        codes, n = codes[n >= least], n[n >= least]
+        return pa.table({"left": pa.array(codes >> 32), "right": pa.array(codes & 0xFFFFFFFF), "n": pa.array(n, pa.int64())})
+
+    return blocks.mapInArrow(run, "shard long, codes binary, counts binary, size long").groupBy("shard").applyInArrow(merge, "left long, right long, n long")
 
 
 def slices_of(arcs: DataFrame) -> Iterator[Slice]:
@@ -336,7 +361,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     blocks = scratch.put("blocks", encoded(docs, words))
     found: list[DataFrame] = []
     for k in range(2, longest + 1):
-        level, size = numbered(ids, f"level{k}", count_candidates(blocks).filter(F.col("n") >= least), "left", "right")
+        level, size = numbered(ids, f"level{k}", count_candidates(blocks, least), "left", "right")
         left = known.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("first").alias("firsts"))
         right = known.select(F.col("id").alias("right"), "tail", "word", F.col("last").alias("lasts"))
         joined = level.join(left, "left").join(right, "right")
