@@ -189,6 +189,7 @@ def arrays_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     for b in batches:
         for row in zip(b.column(0), b.column(1), strict=True):
             words, state = (np.frombuffer(x.as_py(), np.int32) for x in row)
+            state = state if len(state) else words  # of single words
             if size and size + len(words) > BLOCK_WORDS:
                 yield np.concatenate(held[0]), np.concatenate(held[1])
                 held, size = ([], []), 0
@@ -230,7 +231,8 @@ def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             words = np.concatenate(held)
-            return block_rows(*squeezed(words, words, 1))
+            rows = block_rows(*squeezed(words, words, 1))
+            return rows.set_column(1, "states", pa.array([b""] * len(rows), pa.binary()))
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
@@ -305,9 +307,9 @@ def slices_of(arcs: DataFrame) -> Iterator[Slice]:
         yield Slice(*np.array(held, np.int64).T)
 
 
-def moved(blocks: DataFrame, group: list, depth: int) -> DataFrame:
-    """Blocks with states one level down, of phrases of `depth` words, as far as the group's slices have them. A state
-    that is not yet moved is negative between groups."""
+def moved(blocks: DataFrame, group: list, depth: int, last: bool) -> DataFrame:
+    """Blocks with states one level down, of phrases of `depth` words, as far as the group's slices have them. Between
+    groups a state that was moved is negative; after the last group those that no slice has moved go, and what they held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, state in arrays_of(batches):
@@ -318,30 +320,21 @@ def moved(blocks: DataFrame, group: list, depth: int) -> DataFrame:
             own = np.zeros(len(state), bool)
             for s in group:
                 own |= (state >= s.value.first) & (state <= s.value.last)
-            yield block_rows(words, np.where(own, -new, np.where(state < 0, out, state)))
+            out = np.where(own, -new, np.where(state < 0, out, state))
+            yield block_rows(*squeezed(words, np.maximum(-out, 0), depth)) if last else block_rows(words, out)
 
     return blocks.mapInArrow(run, "words binary, states binary")
 
 
-def settled(blocks: DataFrame, depth: int) -> DataFrame:
-    """Blocks after the last group: states that no slice has moved go, the others are the new states; squeezed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, state in arrays_of(batches):
-            yield block_rows(*squeezed(words, np.maximum(-state, 0), depth))
-
-    return blocks.mapInArrow(run, "words binary, states binary")
-
-
-def grouped(slices: Iterator[Slice], size: int = GROUP_SLICES) -> Iterator[list[Slice]]:
+def grouped(slices: Iterator[Slice], size: int = GROUP_SLICES) -> Iterator[tuple[list[Slice], bool]]:
+    """Groups of slices, and whether one is the last."""
     held: list[Slice] = []
     for s in slices:
-        held.append(s)
         if len(held) == size:
-            yield held
+            yield held, False
             held = []
-    if held:
-        yield held
+        held.append(s)
+    yield held, True
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -375,12 +368,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         known = new
         if k == longest or not size:
             break
-        for group in grouped(slices_of(new.select("left", "word", "id"))):
+        for group, last in grouped(slices_of(new.select("left", "word", "id"))):
             sent = [spark.sparkContext.broadcast(s) for s in group]
-            blocks = scratch.put("blocks", moved(blocks, sent, k))
+            blocks = scratch.put("blocks", moved(blocks, sent, k, last))
             for s in sent:
                 s.destroy()
-        blocks = scratch.put("blocks", settled(blocks, k))
     scratch.drop("blocks")
     found[-1] = found[-1].withColumn("maximal", F.lit(True))
     cols = ["lang", "phrase", "words", "a", "first", "last", "maximal"]
