@@ -68,7 +68,7 @@ CANONICAL = [
 EDGE_REFERENCE = r"\b\d+\.[0-9a-f]{6,}\.\d+\.[0-9a-f]{6,}\b"
 EMAIL_TOKEN = r"(/cdn-cgi/l/email-protection#)[0-9a-fA-F]+"
 EPOCH = r"^\d{10,}(\.\d+)?$"
-RAW_DATE = (r"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) ", r" (\d{2})", r" \d{2}:\d{2}:\d{2} [A-Z]{2,5} (\d{4})\b")  # around the month
+RAW_DATE = r"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (\d{2}) \d{2}:\d{2}:\d{2} [A-Z]{2,5} (\d{4})\b"
 # ---- end of fixed values ----
 
 
@@ -84,20 +84,17 @@ def edge_references(c: Column) -> Column:
 
 
 def plain_dates(c: Column) -> Column:
-    """`Tue Jul 08 08:49:00 CDT 2026` as `July 8, 2026`: one replacement for each month."""
-    day, _, rest = RAW_DATE
+    """`Tue Jul 08 08:49:00 CDT 2026` as `July 8, 2026`: one replacement for each month, with the zero of a day outside of its group."""
     out = c
     for m in MONTHS:
-        out = F.regexp_replace(out, f"{day}{m[:3]} 0?(\\d+){rest}", f"{m} $1, $2")
-    return F.when(c.rlike(day), out).otherwise(c)
+        of_month = RAW_DATE.replace(ANY_MONTH, m[:3]).replace(r"(\d{2})", r"(?:0(\d)|([1-9]\d))", 1)
+        out = F.regexp_replace(out, of_month, f"{m} $1$2, $3")
+    return F.when(c.rlike(RAW_DATE), out).otherwise(c)
 
 
 def python_plain_dates(text: str) -> str:
-    """plain_dates() for the cleaning helper: the month is told by its place among the parts around it."""
-    for month, pattern in DATES.items():
-        if month[:3] in text:
-            text = pattern.sub(lambda m, month=month: f"{month} {m[1].lstrip('0') or '0'}, {m[2]}", text)
-    return text
+    """plain_dates() for the cleaning helper."""
+    return DATE.sub(lambda m: f"{FULL[m[1]]} {int(m[2])}, {m[3]}", text)
 
 
 def python_canon_ids(value: str) -> str:
@@ -108,4 +105,5 @@ def python_canon_ids(value: str) -> str:
 
 
 PATTERNS = [(re.compile(p), t.replace("$1", r"\1")) for p, t in CANONICAL]
-DATES = {m: re.compile(m[:3].join((RAW_DATE[0], "".join(RAW_DATE[1:])))) for m in MONTHS}
+DATE, FULL = re.compile(RAW_DATE), {m[:3]: m for m in MONTHS}
+ANY_MONTH = f"({'|'.join(FULL)})"

@@ -2,6 +2,9 @@
 
 A target is compared with its own previous capture, not with the previous run. A content change is a change of
 either hash. Windows are over one target's captures, so no window grows with the number of targets.
+
+A history may have a column `deleted`: such a row is no capture but says that the target went at that time (a tombstone). A
+target that has gone is in no state, and its next capture is a first one.
 """
 
 from __future__ import annotations
@@ -15,14 +18,36 @@ from ..functions.values import sha256
 HASHES = ["html_sha256", "text_sha256"]
 
 
+def gone(history: DataFrame) -> Column:
+    return F.coalesce("deleted", F.lit(False)) if "deleted" in history.columns else F.lit(False)
+
+
+def _order(history: DataFrame) -> list[Column]:
+    """Time; ties by capture_id if there is one."""
+    return [F.col(c) for c in ("fetched_at", "capture_id") if c in history.columns]
+
+
 def versions(history: DataFrame, keys: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
-    """Each capture with its previous one's values (prev_*); ties in time by capture_id if there is one."""
-    order = [F.col("fetched_at")] + ([F.col("capture_id")] if "capture_id" in history.columns else [])
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = history.withColumn("prev_at", F.lag("fetched_at").over(w))
-    for c in (*HASHES, *extra):
-        out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
-    return out
+    """Each capture with its previous one's values (prev_*); none if the target had gone in between."""
+    w = Window.partitionBy(*keys).orderBy(*_order(history))
+    live = ~gone(history)
+    before = lambda c: F.lag(F.when(live, F.col(c))).over(w)
+    out = history.select("*", before("fetched_at").alias("prev_at"), *[before(c).alias(f"prev_{c}") for c in (*HASHES, *extra)])
+    return out.filter(live)
+
+
+def deletions(history: DataFrame, keys: list[str]) -> DataFrame:
+    """Tombstones of targets that were there: what a run's D rows are."""
+    w = Window.partitionBy(*keys).orderBy(*_order(history))
+    there = F.coalesce(F.lag(~gone(history)).over(w), F.lit(False))
+    return history.withColumn("_there", there).filter(gone(history) & F.col("_there")).drop("_there")
+
+
+def page_log(history: DataFrame, keys: list[str]) -> DataFrame:
+    """The whole log of targets: A (first, or first after a deletion), M (other content) and D, with the time."""
+    v = versions(history, keys).withColumn("status", F.when(F.col("prev_at").isNull(), "A").when(changed(), "M")).filter("status is not null")
+    cols = [*keys, "fetched_at", *HASHES]
+    return v.select(*cols, "status").unionByName(deletions(history, keys).select(*cols, F.lit("D").alias("status")))
 
 
 def changed() -> Column:
@@ -43,24 +68,27 @@ def distinct_versions(history: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def as_of(history: DataFrame, keys: list[str], at: Column, columns: list[str]) -> DataFrame:
-    """The last capture of each target at a time or before it: one aggregate, no sort."""
-    last = F.max_by(F.struct("fetched_at", *columns), F.struct("fetched_at", *(["capture_id"] if "capture_id" in history.columns else [])))
-    return history.filter(F.col("fetched_at") <= at).groupBy(*keys).agg(last.alias("s")).select(*keys, "s.*")
+    """The last capture of each target at a time or before it, if it had not gone since: one aggregate, no sort."""
+    last = F.max_by(F.struct("fetched_at", *columns, gone(history).alias("_gone")), F.struct(*_order(history)))
+    return history.filter(F.col("fetched_at") <= at).groupBy(*keys).agg(last.alias("s")).select(*keys, "s.*").filter("not _gone").drop("_gone")
 
 
 def between(history: DataFrame, keys: list[str], before: Column, after: Column) -> DataFrame:
-    """State at two times side by side (b, a), from one pass over the history and one shuffle."""
-    s = F.struct("fetched_at", *HASHES)
-    order = F.struct("fetched_at", *(["capture_id"] if "capture_id" in history.columns else []))
+    """State at two times side by side (b, a), from one pass over the history and one shuffle; null where a target was not there."""
+    s = F.struct("fetched_at", *HASHES, gone(history).alias("_gone"))
+    order = F.struct(*_order(history))
     early = F.col("fetched_at") <= before
-    return history.filter(F.col("fetched_at") <= after).groupBy(*keys).agg(F.max_by(F.when(early, s), F.when(early, order)).alias("b"), F.max_by(s, order).alias("a"))
+    both = history.filter(F.col("fetched_at") <= after).groupBy(*keys).agg(F.max_by(F.when(early, s), F.when(early, order)).alias("b"), F.max_by(s, order).alias("a"))
+    return both.select(*keys, *[F.when(~F.col(f"{x}._gone"), F.col(x).dropFields("_gone")).alias(x) for x in "ba"])
 
 
 def diff(history: DataFrame, keys: list[str], before: Column, after: Column) -> DataFrame:
-    """A (new), M (other content) for each target that differs between two times."""
+    """A (new), M (other content) or D (gone) for each target that differs between two times."""
     both = between(history, keys, before, after)
     other = ~F.col("a.html_sha256").eqNullSafe(F.col("b.html_sha256")) | ~F.col("a.text_sha256").eqNullSafe(F.col("b.text_sha256"))
-    return both.filter(other).select(*keys, F.when(F.col("b.fetched_at").isNull(), "A").otherwise("M").alias("status"))
+    there = lambda x: F.col(f"{x}.fetched_at").isNotNull()
+    status = F.when(~there("b") & there("a"), "A").when(there("b") & ~there("a"), "D").when(there("b") & other, "M")
+    return both.select(*keys, status.alias("status")).filter("status is not null")
 
 
 def run_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -71,6 +71,42 @@ def determinism_violations(spark, d):
     return H.violations(a.unionByName(b), KEYS, F.col("run"), "1", "2")
 
 
+# three in eleven events say that their target has gone
+GONE = HISTORY + """, gone as (select * replace (case when capture_id % 11 < 3 then null else html_sha256 end as html_sha256, case when capture_id % 11 < 3 then null else text_sha256 end as text_sha256), capture_id % 11 < 3 as deleted from history),
+    steps as (select *, lag(deleted) over w as pd, lag(html_sha256) over w as ph, lag(text_sha256) over w as pt from gone window w as (partition by county, page_type order by fetched_at, capture_id)),
+    logged as (select county, page_type, fetched_at, capture_id, html_sha256, case when deleted then case when not pd then 'D' end when pd is null or pd then 'A' when html_sha256 <> ph or text_sha256 <> pt then 'M' end as status from steps)"""
+
+
+def history_with_deletions(spark, d):
+    """Captures of which three in eleven are tombstones instead."""
+    h = history(spark, d).withColumn("deleted", F.col("capture_id") % 11 < 3)
+    return h.withColumns({c: F.when(~F.col("deleted"), F.col(c)) for c in H.HASHES})
+
+
+@query("page_log_with_deletions", f"with {GONE} select {KS}, fetched_at, html_sha256, status from logged where status is not null")
+def page_log_with_deletions(spark, d):
+    return H.page_log(history_with_deletions(spark, d), KEYS).drop("text_sha256")
+
+
+@query("deletions_per_day", f"with {GONE} select cast(fetched_at as date) as run, count(*) as n_deleted from logged where status = 'D' group by all")
+def deletions_per_day(spark, d):
+    return H.deletions(history_with_deletions(spark, d), KEYS).groupBy(RUN().alias("run")).agg(F.count("*").alias("n_deleted"))
+
+
+def _live(t):
+    return f"select {KS}, arg_max(struct_pack(at := fetched_at, html := html_sha256, gone := deleted), (fetched_at, capture_id)) as s from gone where fetched_at <= timestamp '{t}' group by all"
+
+
+@query("state_with_deletions", f"with {GONE}, s as ({_live(T1)}) select {KS}, s.at as fetched_at, s.html as html_sha256 from s where not s.gone")
+def state_with_deletions(spark, d):
+    return H.as_of(history_with_deletions(spark, d), KEYS, at(T1), ["html_sha256"])
+
+
+@query("diff_with_deletions", f"with {GONE}, b as (select * from ({_live(T1)}) where not s.gone), a as (select * from ({_live(T2)}) where not s.gone) select {KS}, case when b.s is null then 'A' when a.s is null then 'D' else 'M' end as status from b full join a using (county, page_type) where a.s.html is distinct from b.s.html")
+def diff_with_deletions(spark, d):
+    return H.diff(history_with_deletions(spark, d), KEYS, at(T1), at(T2))
+
+
 DOMAIN = "regexp_extract({u}, '([^./]*\\.[^./]*)/[0-9]*$', 1)"
 
 

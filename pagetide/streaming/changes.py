@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.captures import snapshot_fields
 from ..operators.html import clean_pages
-from ..sources.tables import append_history, replace_latest
+from ..sources.log import append_run
 
 TARGET = ["county", "page_type"]
 
@@ -34,17 +34,13 @@ def ingest(captures: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int
     return captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def capture_job(history: str, latest: str) -> Callable[[DataFrame, int], None]:
-    """A batch of captures (county, page_type, html, content_type, error, fetched_at, ...): cleaned, appended to the history,
-    and put in place of its targets' latest. Both write by the batch's number, so that one that comes again adds nothing."""
+def capture_job(root: str) -> Callable[[DataFrame, int], None]:
+    """A batch of captures (county, page_type, html, content_type, error, fetched_at, ...): cleaned and appended to the archive
+    (sources.log) as the run of the batch's number, so that one that comes again adds nothing. Copies of a capture count once; one that
+    comes late goes into the history and does not replace a newer one."""
 
     def run(batch: DataFrame, number: int) -> None:
-        cleaned = snapshot_fields(clean_pages(batch)).drop("html")
-        append_history(cleaned, history, number)
-        # read back, so that pages are cleaned once
-        own = batch.sparkSession.read.parquet(history).filter(F.col("run_id") == number).drop("run_date", "run_id")
-        last = F.max_by(F.struct(*[c for c in own.columns if c not in TARGET]), "fetched_at").alias("l")
-        replace_latest(own.groupBy(*TARGET).agg(last).select(*TARGET, "l.*"), latest, number)
+        append_run(snapshot_fields(clean_pages(batch)).drop("html"), root, number)
 
     return run
 

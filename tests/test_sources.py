@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagetide.operators import manifest
 from pagetide.plans import inputs
-from pagetide.sources import tables
+from pagetide.sources import log, tables
 from pagetide.streaming import changes
 
 SF = "/root/testdata/sf0.001"
@@ -89,15 +89,15 @@ def test_streamed_captures_are_cleaned_once_into_history_and_latest(spark, tmp_p
     rows = [("Polk", "results", f"<p>{k}</p><script>{k}</script>", "text/html", None, dt.datetime(2026, 7, 1 + k)) for k in range(3)] + [("Smith", "results", None, "text/html", "timeout", dt.datetime(2026, 7, 1))]
     schema = "county string, page_type string, html string, content_type string, error string, fetched_at timestamp"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
-    job = changes.capture_job(f"{tmp_path}/history", f"{tmp_path}/latest")
+    job = changes.capture_job(f"{tmp_path}/archive")
 
     def twice(batch, number):
         job(batch, number)
         job(batch, number)
 
     changes.ingest(changes.read_captures(spark, f"{tmp_path}/in", schema), f"{tmp_path}/cp", twice).awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/history").count() == 4
-    latest = {r["county"]: r for r in tables.read_latest(spark, f"{tmp_path}/latest").collect()}
+    assert log.read_history(spark, f"{tmp_path}/archive").count() == 4
+    latest = {r["county"]: r for r in log.read_state(spark, f"{tmp_path}/archive").collect()}
     assert set(latest) == {"Polk", "Smith"} and latest["Polk"]["page_txt"] == "2\n" and latest["Smith"]["error"] == "timeout"
 
 
