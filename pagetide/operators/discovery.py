@@ -100,12 +100,6 @@ def with_fallbacks(picks: DataFrame) -> DataFrame:
     return picks.withColumn("url", url).withColumn("notes", notes)
 
 
-def level(links: DataFrame, captures: DataFrame, links_of, keys: list[str]) -> DataFrame:
-    """One level further: pages that links lead to, and their links. links_of: operators.html.extract_links."""
-    pages = links.join(captures.select(F.col("requested_url").alias("url"), "html").dropDuplicates(["url"]), "url")
-    return links_of(pages, keys)
-
-
 def department_pages(links: DataFrame, keys: list[str], home: str, exclude: DataFrame | None = None) -> DataFrame:
     """The two homepage links that look most like a list of departments: where an elections page is looked for next."""
     return _own_first(links, DEPARTMENT_WEIGHTS, keys, home, exclude).filter("rank <= 2")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pagetide.plans import evidence, history, manifest, pages, registry  # noqa: F401
+from pagetide.plans import crawl, evidence, history, manifest, pages, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
