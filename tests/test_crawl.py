@@ -25,5 +25,5 @@ def test_second_candidate_and_repeated_captures(spark):
     links = [(h, "plain", 1, "Elections", f"{h}/gone"), (h, "plain", 2, "Elections Office", f"{h}/pdf"), (h, "plain", 3, "Voting", f"{h}/voting"), (h, "plain", 5, "Voting", f"{h}/voting/"), (h, "plain", 4, None, None)]
     captures = [page(h), page(h), (f"{h}/pdf", "plain", True, 200, "application/pdf", f"{h}/pdf", None), page(f"{h}/voting")]
     got = rows(spark, [("Polk", "2", h)], captures, links)
-    assert got["Polk", "elections"] == (f"{h}/voting", 'found via "Voting" score=16', "homepage link")
+    assert got["Polk", "elections"] == (f"{h}/voting", 'found via "Voting" score=13', "homepage link")
     assert got["Polk", "results"] == ("", "GAP: no distinct page found (likely folded into elections page)", "none")
