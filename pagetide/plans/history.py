@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import values as X
 from ..operators import history as H
+from ..operators import hunks as U
 from ..streaming.changes import per_window
 from .inputs import HISTORY, KEYS, VERSIONS, history
 from .registry import query
@@ -154,8 +157,6 @@ TURNS = """p as (select conv_id, role, turn, text, lag(text) over (partition by
 
 
 def _turns(spark, d):
-    from pyspark.sql import Window
-
     c = spark.read.parquet(f"{d}/conversations.parquet")
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
     return c.withColumn("before", F.lag("text").over(w)).filter("before is not null").select("conv_id", "role", "turn", "before", F.col("text").alias("after"))
@@ -175,13 +176,34 @@ def diff_stat(spark, d):
 
 @query("line_hunks")
 def line_hunks(spark, d):
-    """Ordered hunks; the counts of removed and added lines."""
-    from ..operators.html import line_hunks as hunks
-
-    h = _turns(spark, d).select("conv_id", "role", "turn", F.explode(hunks(F.col("before"), F.col("after"))).alias("h"))
+    """Ordered hunks: removed and added lines with their places."""
+    h = _turns(spark, d).select("conv_id", "role", "turn", F.explode(U.line_hunks(F.col("before"), F.col("after"))).alias("h"))
     return h.select("conv_id", "role", "turn", "h.op", "h.pos", "h.line")
 
 
+def _patched(t, *keys):
+    """Hash of the patched old version, and how many lines it has grown by."""
+    t = t.withColumn("h", U.line_hunks(F.col("before"), F.col("after")))
+    signs = F.transform("h", lambda h: F.when(h["op"] == "+", 1).otherwise(-1))
+    grown = F.aggregate(signs, F.lit(0), lambda s, x: s + x)
+    return t.select(*keys, X.sha256(U.patched(F.col("before"), F.col("h"))).alias("text_sha256"), grown.cast("long").alias("grown"))
+
+
+@query("patched_versions", f"with {TURNS} select conv_id, role, turn, sha256(text) as text_sha256, len(string_split(text, chr(10))) - len(string_split(before, chr(10))) as grown from p where before is not null")
+def patched_versions(spark, d):
+    """Hunks applied to the version before give the version after."""
+    return _patched(_turns(spark, d), "conv_id", "role", "turn")
+
+
+@query("patched_documents", """with v as (select a.doc_id, coalesce(a.text, '') as text, coalesce(b.text, '') as before from documents a left join documents b on b.doc_id + 1 = a.doc_id)
+    select doc_id, sha256(text) as text_sha256, len(string_split(text, chr(10))) - len(string_split(before, chr(10))) as grown from v""")
+def patched_documents(spark, d):
+    """The document before as the old version: many lines, few of them shared."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    old = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
+    return _patched(docs.join(old, "doc_id", "left").select("doc_id", "before", F.col("text").alias("after")), "doc_id")
+
+
 @query("shared_texts", "select sha256(text) as text_sha256, count(distinct doc_id) as members, min(doc_id) as first_member, max(doc_id) as last_member from documents where text is not null and text <> '' group by 1 having count(distinct doc_id) > 1")
 def shared_texts(spark, d):
     return H.shared_content(H.text_hashes(spark.read.parquet(f"{d}/documents.parquet"), "text"), "text_sha256", "doc_id")
