@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-TOKEN = re.compile(r"""<(?:(?P<note>!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z))|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>)""", re.S)
+TOKEN = re.compile(r"""<(?:(?P<note>!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z))|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>)""", re.S)  # a quote opens a value only behind =
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NOTE = re.compile("<[!?]")
 ROOT = "#"  # the path of the page itself
@@ -28,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is no text.
 OPAQUE = frozenset("script style noscript template svg iframe object select textarea button canvas audio video math title head".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+FOREIGN = ("svg", "math")  # inside them a slash ends an element
+BARE_SLASH = re.compile(r"=\s*[^\s\"'=<>]+/$")  # a slash that belongs to a value
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What may hold an article, in place of being one of its blocks.
 CONTAINER = frozenset("article body center div fieldset figure main section table tbody td html".split())
@@ -40,6 +43,8 @@ ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.it
 HINTS = frozenset("ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 #: Of them, those of readers' words, which may be longer than the article.
 TALK = frozenset("comment comments discussion disqus replies reply respond".split())
+#: And those of notices, which may be longer than a brief article.
+NOTICES = frozenset("alert consent cookie cookies gdpr notice notices notification popup".split())
 #: Beside one of these, a header is the article's own.
 TITLED = frozenset("article entry headline post story".split())
 HINT_FREE = frozenset("html body article main h1 h2 h3 h4 h5 h6 p b i em strong span a".split())
@@ -62,7 +67,7 @@ class Page:
     def _parse(self, source: str) -> None:
         stack, links, at, n = [0], 0, 0, len(source)
         last = source.rfind(">") + 1  # no tag ends behind it
-        open_tags: dict[str, int] = defaultdict(int)
+        places: dict[str, list[int]] = defaultdict(list)  # tag -> its places in the stack, going up
         block: list | None = None
 
         def text(piece: str) -> None:
@@ -81,7 +86,7 @@ class Page:
             nonlocal block, links
             for e in stack[k:]:
                 links -= self.tag[e] == "a"
-                open_tags[self.tag[e]] -= 1
+                places[self.tag[e]].pop()
                 if self.tag[e] in BLOCK:
                     block = None
             del stack[k:]
@@ -98,25 +103,25 @@ class Page:
                 if m["note"].startswith("!--") and not m["note"].endswith("-->"):
                     break
                 continue
-            tag = (m["tag"] or m["tag2"]).lower()
-            if m["end"] or m["end2"]:
-                if open_tags[tag]:
-                    k = len(stack) - 1
-                    while self.tag[stack[k]] != tag:
-                        k -= 1
-                    close(k)
+            tag = m["tag"].lower()
+            if m["end"]:
+                if places[tag]:
+                    close(places[tag][-1])
+                continue
+            attrs = m["attrs"]
+            foreign = [places[f][0] for f in FOREIGN if places[f]]
+            if foreign and tag in BLOCK and not places["foreignobject"]:
+                close(min(foreign))  # a block ends a drawing that was left open
+                foreign = []
+            if attrs.endswith("/") and (foreign or tag in OPAQUE) and not BARE_SLASH.search(attrs):
                 continue
             if tag in CLOSES_P and (p := self.near_p[stack[-1]]):
                 close(self.depth[p])
             if tag in ENDS:
                 what, stop = ENDS[tag]
-                ended = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if (t := self.tag[stack[k]]) in stop:
-                        break
-                    if t in what:
-                        ended = k
-                if ended:
+                at_most = max((places[t][-1] for t in stop if places[t]), default=0)
+                inside = (places[t] for t in what if places[t] and places[t][-1] > at_most)
+                if ended := min((p[bisect_right(p, at_most)] for p in inside), default=0):
                     close(ended)
             if tag in BLOCK:
                 block = None
@@ -124,23 +129,22 @@ class Page:
                 text(" ")
             if tag in VOID:
                 continue
-            attrs = m["attrs"] or m["attrs2"] or ""
-            self._open(tag, attrs, stack)
-            open_tags[tag] += 1
+            places[tag].append(len(stack))
+            self._open(tag, attrs, stack, bool(places["article"] or places["main"]))
             links += tag == "a"
-            if tag in RAW and not attrs.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at, max(at, last))
                 if end is None:
                     at = n
                 else:
                     at = end.end()
                 close(len(stack) - 1)
 
-    def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
+    def _open(self, tag: str, attrs: str, stack: list[int], in_article: bool) -> None:
         up = stack[-1]
         found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if "=" in attrs else {}
         hints = {tag} if tag in ASIDE else set()
-        if tag == "header" and not any(self.tag[e] in ("article", "main") for e in stack):
+        if tag == "header" and not in_article:
             hints.add("header")
         if found and tag not in HINT_FREE:
             names = {w for v in found.values() for w in re.split(r"[^a-z]+", v.lower())}
@@ -181,7 +185,8 @@ class Page:
             if hints - TITLED and not out[e]:
                 half = 2 * size[e] >= size[0] > 0
                 all_articles = 0 < articles[e] == articles[0]
-                whole = not hints & TALK and (5 * size[e] >= 4 * size[0] > 0 or mains[e] or half and (heads[e] or all_articles))
+                most = not hints & NOTICES and 5 * size[e] >= 4 * size[0] > 0
+                whole = not hints & TALK and (most or mains[e] or half and (heads[e] or all_articles))
                 own = hints - TITLED == {"header"} and (inside[up] or titles[e] and hints & TITLED)
                 out[e] = not (whole or own)
             out[e] = out[e] or out[up]

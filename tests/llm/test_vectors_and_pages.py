@@ -1,6 +1,9 @@
 """Neighbours and main texts."""
 
+import random
+import re
 import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -117,3 +120,73 @@ def test_wrappers_with_hints_do_not_lose_the_article(wrap):
     text = html.Page("<html><body>" + wrap.format("<p>A first paragraph of the article.</p><p>And a second one, some longer.</p>") + "<div class='footer'>us</div></body></html>").main_text([])
     assert "A first paragraph of the article.\nAnd a second one, some longer." in text and "us" not in text.split("\n")
     assert ("Head" in text) == ("Head" in wrap)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "<td>x" * 100_000, "<ul>" + "<i>" * 100_000 + "<li>x" * 100_000, "<a '>x" * 100_000, "<b>" * 100_000 + "<header>x" * 100_000, "<p>x<svg><path>" * 100_000, "<p>x<script>" + "</script " * 100_000])
+def test_odd_nesting_is_parsed_in_linear_time(page):
+    began = time.time()
+    assert html.Page(page).main_text([])
+    assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("drawing", ['<svg width="1"/>', "<svg/>", '<svg viewBox="0 0 1 1"><path d="M0"/><g/></svg>', "<svg width=1/>", "<svg><circle>", "<math/>", '<iframe src="x"/>', "<svg><title>no</title><style>no</style></svg>", "<SVG><text>no</text></SVG>"])
+def test_a_drawing_does_not_swallow_the_article(drawing):
+    assert text_by_itself(f"<body><div>{drawing}<p>ARTICLE</p></div></body>") == "ARTICLE"
+
+
+def test_a_notice_is_no_article_however_long():
+    for notice, article in ((3, 1), (50, 6), (400, 2)):
+        for name in ("cookie-notice", "gdpr consent", "alert", "popup"):
+            got = text_by_itself(f"<body><div class='{name}'>{'We use cookies. ' * notice}</div><div class=c><p>{'ARTICLE ' * article}</p></div></body>")
+            assert got == ("ARTICLE " * article).strip()
+    assert text_by_itself(f"<body><div class='alert-page'><h1>Title</h1><p>{PROSE}</p></div><div>us</div></body>").startswith("Title")
+
+
+def test_quotes_outside_of_values_end_nothing():
+    assert text_by_itself("<body><p title=don't>one</p><p title='x>y'>two</p><p ' >three</p><a href=http://x.org/>four</a></body>") == "one\ntwo\nthree\nfour"
+
+
+def naive_texts(rows):
+    """The consensus in plain Python over whole hosts; every page votes and is read again by itself."""
+    votes = defaultdict(Counter)
+    host_of = {url: (re.match(r"https?://([^/]*)", url or "") or [None, ""])[1].lower() for _, url, _ in rows}
+    for _, url, source in rows:
+        for path, share in html.Page(source or "").votes():
+            votes[host_of[url]][path] += round(1000 * share)
+    best = {h: [p for p, _ in sorted(v.items(), key=lambda x: (-x[1], x[0]))[: html.PATHS]] for h, v in votes.items()}
+    return Counter((i, url, html.Page(source or "").main_text(best.get(host_of[url], []))) for i, url, source in rows)
+
+
+def made_pages():
+    """(page_id, url, html, article): 210 pages of eight hosts, each with its own way of nesting; some articles are far shorter than what is around."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    for h in range(8):
+        nest = [(rng.choice(["div", "section", "div"]), f"{word()}-{rng.choice(['wrap', 'body', 'text'])}") for _ in range(rng.randrange(1, 5))]
+        for n in range(26):
+            blocks = [said(rng.randrange(15, 40)) for _ in range(rng.randrange(3, 8))] if n % 9 else [said(3)]
+            inner = "".join(f"<p>{b}</p>" if k % 2 else f"<p>{b.replace(' ', ' <i>', 1)}</i></p>" for k, b in enumerate(blocks))
+            for tag, name in reversed(nest):
+                inner = f'<{tag} class="{name}">{inner}</{tag}>'
+            nav = "<nav><ul>" + "".join(f'<li><a href="/{k}">{word()}</a>' for k in range(9)) + "</ul></nav>"
+            extra = f'<div class="cookie-notice"><p>{said(60)}</p></div>' if n % 3 == 0 else ""
+            page = f'<html><head><title>{word()}</title></head><body>{nav}{extra}{inner}<div class="sidebar"><p>{said(30)}</p></div><footer>{said(12)}</footer></body></html>'
+            yield 100 * h + n, f"https://H{h}.example.org/{n}", page, "\n".join(blocks)
+    yield 9000, None, None, ""
+    yield 9001, "https://h1.example.org/empty", "", ""
+
+
+def test_consensus_equals_a_naive_one_over_whole_hosts(spark):
+    made = list(made_pages())
+    rows = [r[:3] for r in made]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = Counter((r["page_id"], r["url"], r["text"]) for r in html.main_texts(df).collect())
+    assert got == naive_texts(rows)
+    assert got == Counter((i, url, text) for i, url, _, text in made)
+
+
+def test_the_query_equals_the_naive_consensus_on_its_own_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    got = html.op10_main_text(spark, "/root/testdata/sf0.001").collect()
+    assert Counter((r["page_id"], r["url"], r["text"]) for r in got) == naive_texts(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
