@@ -75,15 +75,17 @@ def first_valid(ranked: DataFrame, captures: DataFrame, keys: list[str], k: int
 def other_counties(pages: DataFrame, names: DataFrame, page_key: str) -> DataFrame:
     """(page_key, others): counties that a page's title names on one line, other than its own.
 
-    Names inside the own name do not count; longer names that hold the own one go before all others. Words before
-    "county" in the title are cut into names of up to four words, so that names meet by equality.
+    Names inside the own name do not count; longer names that hold the own one go before all others. What stands before
+    "county" in a title is cut at the names' lengths, wherever a word begins there, so that names of any number of words meet
+    by equality in one pass over a title. The distinct lengths, a few numbers, come to the driver.
     """
+    known = names.select(F.lower(F.trim("county")).alias("name")).filter("name <> ''").distinct()
+    lengths = sorted(r[0] for r in known.select(F.length("name")).distinct().collect())
     title = F.lower(F.coalesce("title", F.lit("")))
-    heads = F.filter(F.regexp_extract_all(title, F.lit(r"((?:[a-z'.-]+[ ]+){0,3}[a-z'.-]+)[ \t]+county\b"), 1), lambda x: x != "")
-    words = F.transform(heads, lambda x: F.split(x, " +"))
-    tails = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.array_join(F.slice(w, -n, n), " "))))
-    named = pages.select(page_key, F.lower("county").alias("own"), F.explode(F.array_distinct(tails)).alias("name"))
-    found = named.join(names.select(F.lower("county").alias("name")).distinct(), "name").filter("name <> own")
+    tails = [F.regexp_extract_all(title, F.lit(rf"(?U)\b(?=(.{{{n}}})\b[ \t]+county\b)"), 1) for n in lengths]
+    cut = F.array_distinct(F.flatten(F.array(*tails))) if tails else F.array().cast("array<string>")
+    named = pages.select(page_key, F.lower(F.trim("county")).alias("own"), F.explode(cut).alias("name"))
+    found = named.join(known, "name").filter("name <> own")
     longer = F.contains(F.col("name"), F.col("own"))
     per = found.filter(~F.contains(F.col("own"), F.col("name"))).groupBy(page_key).agg(F.collect_set(F.when(longer, F.col("name"))).alias("l"), F.collect_set("name").alias("a"))
     return per.select(page_key, F.when(F.size("l") > 0, F.col("l")).otherwise(F.col("a")).alias("others"))

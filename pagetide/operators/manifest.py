@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import gap_reason
 from ..functions.values import slug, target_key
 from ..functions.vocabulary import AUDIT_COLUMNS, BASE_COLUMNS, PAGE_TYPES
+from .order import numbered
 
 KEY = ["county", "page_type"]
 
@@ -130,12 +131,13 @@ def discovery_summary(draft: DataFrame) -> DataFrame:
 
 
 def broken(t: DataFrame) -> DataFrame:
-    return t.filter(F.col("verify_status") == "broken").orderBy("batch", "county", ordinal(F.col("page_type")))
+    """Broken targets and their `position` by batch, county and page type."""
+    return numbered(t.filter(F.col("verify_status") == "broken"), "batch", "county", ordinal(F.col("page_type")))
 
 
 def flagged(t: DataFrame) -> DataFrame:
-    """Flagged but not broken, by page type, batch and county."""
-    return t.filter((F.col("flag_for_review") == "yes") & (F.col("verify_status") != "broken")).orderBy(ordinal(F.col("page_type")), "batch", "county")
+    """Flagged but not broken, and their `position` by page type, batch and county."""
+    return numbered(t.filter((F.col("flag_for_review") == "yes") & (F.col("verify_status") != "broken")), ordinal(F.col("page_type")), "batch", "county")
 
 
 def in_seed_order(draft: DataFrame, seed_positions: DataFrame) -> DataFrame:
@@ -143,6 +145,12 @@ def in_seed_order(draft: DataFrame, seed_positions: DataFrame) -> DataFrame:
     return draft.join(seed_positions, "county").orderBy("position", ordinal(F.col("page_type"))).drop("position")
 
 
+def numbered_in_seed_order(draft: DataFrame, seed_positions: DataFrame) -> DataFrame:
+    """The same rows with their `position` in the whole draft."""
+    seeds = seed_positions.select("county", F.col("position").alias("_seed"))
+    return numbered(draft.join(seeds, "county"), "_seed", ordinal(F.col("page_type"))).drop("_seed")
+
+
 def collisions(counties: DataFrame) -> DataFrame:
     """Counties whose seat bears another county's name."""
     other = counties.select(F.col("county").alias("seat"), F.col("seat").alias("other_seat")).distinct()

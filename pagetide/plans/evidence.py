@@ -257,3 +257,62 @@ def verified_documents(spark, d):
 def unverified_homepages(spark, d):
     x = marked(spark, d).select(F.lit("The").alias("county"), F.lit("Of").alias("seat"), F.concat_ws("#", "url", F.col("doc_id").cast("string")).alias("url"), "text", F.col("source").alias("title"), F.array().cast("array<string>").alias("others"))
     return I.unverified_homepages(x).select(F.regexp_extract("url", "#([0-9]+)$", 1).cast("long").alias("county"), "evidence")
+
+
+#: Counties with names of two to six words; a third of them ends in the name of another.
+NAMED = """n as (select c_custkey as k, case c_custkey % 3 when 0 then 'New ' || c_mktsegment || ' Of The North ' || (c_custkey + 1) when 1 then 'North ' || c_custkey else c_mktsegment || ' ' || c_custkey end as name from customer),
+    p as (select a.k, a.name, case a.k % 6 when 0 then a.name || ' County, Texas' when 1 then coalesce(b.name, '') || ' County Clerk' when 2 then a.name || ' County | ' || coalesce(b.name, '') || '	County' when 3 then coalesce(b.name, '') || chr(10) || 'County'
+    when 4 then 'About ' || coalesce(c.name, '') || ' County and ' || coalesce(b.name, '') || ' County' else 'County of ' || a.name end as title from n a left join n b on b.k = a.k + 1 left join n c on c.k = a.k - 1),
+    m as (select p.k, lower(p.name) as own, lower(n.name) as other from p join n on n.k <> p.k and contains(' ' || replace(lower(p.title), chr(9), ' '), ' ' || lower(n.name) || ' county')),
+    g as (select k, list_sort(list(distinct other) filter (contains(other, own))) as longer, list_sort(list(distinct other)) as others from m where not contains(own, other) group by k)"""
+
+
+@query("titles_of_others", f"with {NAMED} select p.k, case when len(longer) > 0 then array_to_string(longer, ', ') else array_to_string(others, ', ') end as others, case when others is null then 'likely' else 'reject' end as confidence, case when others is not null then 'title identifies another county (' || array_to_string((case when len(longer) > 0 then longer else others end)[1:2], ', ') || ')' else '' end as told from p left join g using (k)")
+def titles_of_others(spark, d):
+    """Titles that name the own county, the one before or after, both, or none on one line; each page says what it is."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("New "), "c_mktsegment", F.lit(" Of The North "), (k + 1).cast("string"))).when(k % 3 == 1, F.concat(F.lit("North "), k.cast("string"))).otherwise(F.concat("c_mktsegment", F.lit(" "), k.cast("string")))
+    n = c.select(k.alias("k"), name.alias("county"))
+    near = lambda by, to: n.select((F.col("k") + by).alias("k"), F.col("county").alias(to))
+    x = n.join(near(-1, "b"), "k", "left").join(near(1, "c"), "k", "left").withColumns({"b": F.coalesce("b", F.lit("")), "c": F.coalesce("c", F.lit(""))})
+    own, b, s = F.col("county"), F.col("b"), F.col("k") % 6
+    title = (
+        F.when(s == 0, F.concat(own, F.lit(" County, Texas"))).when(s == 1, F.concat(b, F.lit(" County Clerk"))).when(s == 2, F.concat(own, F.lit(" County | "), b, F.lit("\tCounty")))
+        .when(s == 3, F.concat(b, F.lit("\nCounty"))).when(s == 4, F.concat(F.lit("About "), "c", F.lit(" County and "), b, F.lit(" County"))).otherwise(F.concat(F.lit("County of "), own))
+    )
+    pages = x.select("k", "county", title.alias("title"), F.concat(own, F.lit(" County, Texas. "), F.repeat(F.lit("Plain words. "), 12)).alias("text"))
+    found = pages.join(D.other_counties(pages, n, "k"), "k", "left").withColumn("o", F.coalesce("others", F.array().cast("array<string>")))
+    v = R.verify(F.col("county"), F.lit("Nowhere"), F.lit("https://x.org/"), F.col("text"), F.col("title"), F.col("o"))
+    told = F.regexp_extract("v.evidence", r"^(title identifies another county \([^)]*\))", 1)
+    return found.withColumn("v", v).select("k", F.when(F.size("o") > 0, F.array_join(F.array_sort("o"), ", ")).alias("others"), "v.confidence", told.alias("told"))
+
+
+def _words(which):
+    """SQL: the words of a document's page type that it holds."""
+    held = lambda words: f"list_filter([{', '.join(map(quoted, words))}]::varchar[], lambda w: contains(hay, w))"
+    return f"case when kind = 'homepage' then {held(which.get('homepage', []))} else {held(which.get('results', []))} end"
+
+
+#: A strong and a weak word of a homepage and of a page of results, which every fifth document holds.
+HELD = [(words.get(kind) or [""])[0] for words in (R.STRONG, R.WEAK) for kind in ("homepage", "results")]
+AUDIT = f"""k as (select doc_id, coalesce(source, '') as t, coalesce(text, '') || ' ' || case when doc_id % 5 > 1 then '' else [{", ".join(map(quoted, HELD))}][doc_id % 5 * 2 + doc_id % 2 + 1] end as text, case when doc_id % 2 = 0 then 'homepage' else 'results' end as kind, doc_id % 3 = 0 as root from documents),
+    h as (select *, lower(t || chr(10) || text) as hay, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) as n from k),
+    f as (select *, contains(hay, 'the') as named, contains(hay, 'of') as seated, {_words(R.STRONG)} as strong, {_words(R.WEAK)} as weak, list_filter([{", ".join(map(quoted, R.BAD_PAGE))}], lambda w: contains(hay, w)) as bad from h),
+    p as (select *, named or (seated and kind <> 'homepage') as identity, concat_ws(' | ', nullif(concat_ws('; ', case when named then 'county name ''The'' in page' end, case when seated then 'seat ''Of'' in page' end), ''),
+    case when len(strong) > 0 then kind || ' keywords: ' || array_to_string(strong[1:4], ', ') when len(weak) > 0 then 'weak ' || kind || ' keywords: ' || array_to_string(weak[1:3], ', ') end, case when t <> '' then 'title="' || t[1:70] || '"' end) as parts from f),
+    c as (select *, case when parts = '' then 'no identity or topic keywords found' else parts end as reason, case when len(bad) > 0 or root then 'uncertain' when identity and len(strong) > 0 then 'confident' when identity and (len(weak) > 0 or kind = 'homepage') then 'likely' else 'uncertain' end as sure from p),
+    s as (select *, n < 200 and len(bad) = 0 as thin, case when len(bad) > 0 then 'POSSIBLE ERROR PAGE (' || array_to_string(bad[1:2], ', ') || '); ' || reason when root then 'requested deep path redirected to site root (https://x.gov/); ' || reason
+    when sure = 'uncertain' and (identity or len(strong) > 0) then 'only partial match {R.DASH} ' || reason else reason end as said from c)"""
+
+
+@query("audited_redirects", f"with {AUDIT} select doc_id, case when thin and sure = 'confident' then 'likely' else sure end as confidence, case when thin then 'thin content (' || n || ' chars); ' || said else said end as reason, sure = 'uncertain' or (thin and sure <> 'confident') as flag from s")
+def audited_redirects(spark, d):
+    """Documents as homepages and pages of results of the county "The", whose seat is "Of"; every third deep page leads to the
+    site's first page, and every fifth holds a word of its kind."""
+    k = F.col("doc_id")
+    more = F.when(k % 5 == 0, F.when(k % 2 == 0, HELD[0]).otherwise(HELD[1])).when(k % 5 == 1, F.when(k % 2 == 0, HELD[2]).otherwise(HELD[3])).otherwise("")
+    x = spread(table(spark, d, "documents").select("doc_id", "source", "text")).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), more))
+    kind, final = F.when(k % 2 == 0, "homepage").otherwise("results"), F.when(k % 3 == 0, "https://x.gov/").otherwise("https://x.gov/a/b/")
+    a = R.audit_content(F.lit("The"), F.lit("Of"), kind, F.col("text"), F.col("source"), final, F.lit("https://x.gov/a/b"))
+    return x.select("doc_id", a.alias("a")).select("doc_id", "a.confidence", "a.reason", "a.flag")

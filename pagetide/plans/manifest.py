@@ -9,6 +9,7 @@ from ..functions.values import slug
 from ..operators import captures as C
 from ..operators import integrity as Q
 from ..operators import manifest as M
+from ..operators.order import numbered
 from .inputs import ATTEMPTS, COUNTIES, TARGETS, attempts, counties, targets
 from .registry import query
 
@@ -69,14 +70,14 @@ def discovery_summary(spark, d):
     return M.discovery_summary(targets(spark, d).filter("page_type <> 'homepage'"))
 
 
-@query("broken_list", f"with {TARGETS} select batch, county, page_type, audit_reason from targets where verify_status = 'broken'")
+@query("broken_list", f"with {TARGETS} select batch, county, page_type, audit_reason, row_number() over (order by batch, county, o) as position from targets where verify_status = 'broken'")
 def broken(spark, d):
-    return M.broken(targets(spark, d)).select("batch", "county", "page_type", "audit_reason")
+    return M.broken(targets(spark, d)).select("batch", "county", "page_type", "audit_reason", "position")
 
 
-@query("flagged_list", f"with {TARGETS} select page_type, batch, county, audit_confidence from targets where flag_for_review = 'yes' and verify_status <> 'broken'")
+@query("flagged_list", f"with {TARGETS} select page_type, batch, county, audit_confidence, row_number() over (order by o, batch, county) as position from targets where flag_for_review = 'yes' and verify_status <> 'broken'")
 def flagged(spark, d):
-    return M.flagged(targets(spark, d)).select("page_type", "batch", "county", "audit_confidence")
+    return M.flagged(targets(spark, d)).select("page_type", "batch", "county", "audit_confidence", "position")
 
 
 @query("selected_targets", f"with {TARGETS} select county, page_type, url, replace(lower(county), ' ', '_') as slug, external = 'true' as is_external from targets where url <> '' and lower(page_type) in ('polling', 'results') and batch = '2'")
@@ -135,10 +136,9 @@ def collisions(spark, d):
 
 @query("draft_positions", f"with {TARGETS} select county, page_type, url, row_number() over (order by county, o) as position from targets where page_type <> 'homepage'")
 def draft_positions(spark, d):
-    """The draft's order as numbers: positions of counties, then of page types, without one window over all rows."""
-    t = targets(spark, d).filter("page_type <> 'homepage'")
-    by = F.substring("county", -9, 9).cast("long")
-    return t.select("county", "page_type", "url", (by * 4 + M.ordinal(F.col("page_type"))).cast("long").alias("position"))
+    """Counties in order of their names are the seed; the draft takes its places from theirs."""
+    t = targets(spark, d).filter("page_type <> 'homepage'").select("county", "page_type", "url")
+    return M.numbered_in_seed_order(t, numbered(t.select("county").distinct(), "county"))
 
 
 @query("gap_notes", f"with {TARGETS} select county, page_type, {REASON} as reason, lower(notes) like '%externally verified%' as confirmed from targets where notes <> ''")
