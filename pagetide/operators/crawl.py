@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import candidate_rejection
@@ -26,13 +26,19 @@ C = ["county"]
 CANDIDATES = 4  # of a ranking that are tried
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that spark.checkpoint.dir names; a session on one machine without one gets its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, as spark.checkpoint.dir names it; a session on one machine without one gets its own."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(f"/tmp/spark-{uuid.uuid4().hex[:12]}")
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values as X
 from ..operators import history as H
 from ..operators import hunks as U
+from ..operators.crawl import shared_folder
+from ..sources.bodies import add_bodies, lines_between
 from ..streaming.changes import per_window
 from .inputs import HISTORY, KEYS, VERSIONS, history
 from .registry import query
@@ -216,3 +220,25 @@ def new_blobs(spark, d):
 
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("body"))
     return blobs(docs, blobs(docs.filter("doc_id % 4 = 0"), None)).select("sha256")
+
+
+ARCHIVE = f"""a0 as (select user_id, event_id % 5 as kind, ts, event_id, sha256(text) as sha, text from events join documents on doc_id = event_id % (select count(*) from documents) where text is not null),
+    o as (select user_id, kind, arg_max(sha, (ts, event_id)) as sha, arg_max(text, (ts, event_id)) as text from a0 where ts <= timestamp '{T1}' group by all),
+    w as (select user_id, kind, arg_max(sha, (ts, event_id)) as sha, arg_max(text, (ts, event_id)) as text from a0 where ts <= timestamp '{T2}' group by all),
+    x as (select w.user_id, w.kind, o.text as before, w.text as after from w join o using (user_id, kind) where o.sha <> w.sha),
+    l as (select user_id, kind, unnest(string_split(before, chr(10))) as line, 1 as o, 0 as n from x union all select user_id, kind, unnest(string_split(after, chr(10))), 0, 1 from x)"""
+
+
+@query("archived_lines", f"with {ARCHIVE} select user_id, kind, sha256(line) as line_sha256, cast(greatest(sum(o) - sum(n), 0) as bigint) as removed, cast(greatest(sum(n) - sum(o), 0) as bigint) as added from l group by user_id, kind, line having sum(o) <> sum(n)")
+def archived_lines(spark, d):
+    """Users' pages show one document after the other; their lines between two times come from hashes and a store of bodies."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("body")).filter("body is not null")
+    n = spark.read.parquet(f"{d}/documents.parquet").count()
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", (F.col("event_id") % 5).alias("kind"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("capture_id"), (F.col("event_id") % n).alias("doc_id"))
+    sha = X.sha256(F.col("body"))
+    h = e.join(docs, "doc_id").select("user_id", "kind", "fetched_at", "capture_id", sha.alias("html_sha256"), sha.alias("text_sha256"))
+    name = f"bodies_{uuid.uuid4().hex[:12]}"
+    add_bodies(docs, name, f"{shared_folder(spark)}/{name}")
+    s = H.between(h, ["user_id", "kind"], at(T1), at(T2)).select("user_id", "kind", F.col("b.html_sha256").alias("before_sha256"), F.col("a.html_sha256").alias("after_sha256"))
+    lines = lines_between(s, ["user_id", "kind"], spark, name)
+    return lines.select("user_id", "kind", X.sha256(F.col("line")).alias("line_sha256"), "removed", "added")
