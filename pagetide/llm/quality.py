@@ -1,12 +1,13 @@
 """Quality rules with thresholds from the data.
 
-Each document gets a few ratios of counts. For each language and source, and each ratio, a quantile sketch of logarithmic
+Each document gets a few ratios of a count to a size, as (count + 1/2) / (size + 1): where nearly all counts are 0, as
+those of symbols and repeated lines, such a ratio is still spread by the sizes of documents, so its quantiles say how small a
+rate the group's texts can show at all, and no fence is 0. For each language and source, and each ratio, a quantile sketch of logarithmic
 buckets (relative error 1 %) is kept as rows (language, source, ratio, bucket, count): sketches merge by adding
 counts, so a language's sketch, and that of everything, come from those of its sources without a second pass. The
-fences of a group lie beyond its tail quantiles, three times as far as these are from the median. A document is dropped
-when a count lies outside what its group's fences allow for its size, by more than three standard errors of such a count and three
-single cases: so one odd word of a brief text drops nothing, where no other text of the group has any. Sources with too
-few documents take their language's fences, languages with too few those of everything.
+fences of a group lie beyond its tail quantiles, REACH times as far as these are from the median. A document is dropped
+when a count lies outside what its group's fences allow for its size, by more than three standard errors of such a count. No
+constant count decides. Sources with too few documents take their language's fences, languages with too few those of everything.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ RATIOS = {
     "word_chars": ("word_chars", "n_words", True),
 }
 #: Growth of the sketch's buckets, documents that make a group, tail quantile, reach beyond it in distances from the median,
-#: and how many standard errors and single cases a count may lie outside. The same for every ratio.
-GAMMA, ENOUGH, TAIL, REACH, ERRORS, CASES = 1.02, 200, 0.9, 3.0, 3.0, 3.0
-ZERO = -(1 << 20)  # the bucket of 0
+#: and how many standard errors a count may lie outside. The same for every ratio.
+GAMMA, ENOUGH, TAIL, REACH, ERRORS = 1.02, 200, 0.9, 6.0, 3.0
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 
@@ -77,10 +77,9 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): one sketch for each language, source and ratio."""
-    each = ", ".join(f"'{k}', double({c} / {n})" for k, (c, n, _) in RATIOS.items())
+    each = ", ".join(f"'{k}', ({c} + 0.5D) / ({n} + 1)" for k, (c, n, _) in RATIOS.items())
     long = rows.selectExpr("lang", "source", f"stack({len(RATIOS)}, {each}) as (ratio, value)")
-    bucket = F.when(F.col("value") <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log("value") / math.log(GAMMA)).cast("int"))
-    return long.withColumn("bucket", bucket).groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
+    return long.withColumn("bucket", F.ceil(F.log("value") / math.log(GAMMA)).cast("int")).groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame, *keys: str) -> DataFrame:
@@ -92,7 +91,7 @@ def fences(sketch: DataFrame, *keys: str) -> DataFrame:
     """(keys, total, <ratio>_low, <ratio>_high) from the sketches' median and tails."""
     by = Window.partitionBy(*keys, "ratio")
     cum = sketch.withColumn("cum", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
-    value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), "bucket") * (2 / (1 + GAMMA)))
+    value = F.pow(F.lit(GAMMA), "bucket") * (2 / (1 + GAMMA))
     low, mid, high = (F.min(F.when(F.col("cum") >= p * F.col("total"), value)) for p in (1 - TAIL, 0.5, TAIL))
     quantiles = cum.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), low.alias("low"), mid.alias("mid"), high.alias("high"))
     out = [F.max("total").alias("total")]
@@ -123,7 +122,7 @@ def judged(docs: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for k, (count, n, _) in RATIOS.items():
         low, high = (F.col(f"{k}_{end}") * F.col(n) for end in ("low", "high"))
-        inside = inside & F.col(count).between(low - ERRORS * F.sqrt(low) - CASES, high + ERRORS * F.sqrt(high) + CASES)
+        inside = inside & F.col(count).between(low - ERRORS * F.sqrt(low), high + ERRORS * F.sqrt(high))
     kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True)))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 

@@ -266,12 +266,12 @@ def brute_kept(rows):
         for k, (c, n) in enumerate(counts):
             if failed:
                 break
-            v = sorted(d[4][k][0] / d[4][k][1] for d in pool)
+            v = sorted((d[4][k][0] + 0.5) / (d[4][k][1] + 1) for d in pool)
             low, mid, high = (v[max(0, math.ceil(p * len(v) - 1e-9) - 1)] for p in (1 - quality.TAIL, 0.5, quality.TAIL))
             for fence, sign in ((high + quality.REACH * (high - mid), 1), (max(0, low - quality.REACH * (mid - low)) if k == 3 else 0, -1)):
-                room = fence * n + sign * (quality.ERRORS * math.sqrt(fence * n) + quality.CASES) - c
+                room = fence * n + sign * quality.ERRORS * math.sqrt(fence * n) - c
                 ok &= sign * room >= 0
-                near |= abs(room) <= 0.1 * max(fence * n, c)
+                near |= fence > 0 and abs(room) <= 0.1 * max(fence * n, c)  # no count is below a fence of 0
         out[i] = (ok and not failed, near)
     return out
 
@@ -296,6 +296,15 @@ def test_quality_verdicts_equal_brute_force(spark):
     assert [i for i in sure if got[i] != want[i][0]] == []
 
 
+def test_quality_fences_are_never_zero(spark):
+    """No symbol, no repeated line and no repeated word in nine of ten texts: fences come from the texts' sizes."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(4, 9)))
+    rows = [(k, "\n".join(" ".join(word() for _ in range(9)) for _ in range(rng.randrange(6, 60)))) for k in range(300)]
+    got = quality.fences(quality.sketches(quality.measured(frame(spark, rows))), "lang", "source").collect()
+    assert [g["total"] for g in got] == [300] and all(0 < got[0][f"{k}_high"] < 1 for k in ("symbols", "dup_lines", "repeats"))
+
+
 def test_sketches_merge(spark):
     df = quality.measured(frame(spark, [(k, "a b c " * (k % 9 + 1)) for k in range(90)]))
     whole, a, b = quality.sketches(df), quality.sketches(df.filter("doc_id < 30")), quality.sketches(df.filter("doc_id >= 30"))
