@@ -4,7 +4,7 @@ A bounded sample fits the trees: a node splits at the median of its sample's pro
 between two of its random members. Every row is indexed: it goes to its leaf in each tree. A query walks all trees at once with one
 priority queue, nearest margins first, until the leaves it has opened hold enough rows; their rows are then
 ranked by exact distances. A row that a query meets in several trees is measured in the first of them only. Large leaves
-are dealt out in parts.
+are dealt out in parts, and so are the queries, in blocks by hash, so what meets in one group is bounded on either side.
 
 Sizes: the forest has at most 2 ** MAX_DEPTH leaves a tree whatever the number of rows, so it may be sent to all tasks.
 """
@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ODD, mix, stored
 
 TREES, MIN_DEPTH, MAX_DEPTH, LEAF_ROWS = 8, 6, 10, 1000
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000  # the sample has at most so many rows, and numbers in them
 #: Rows in the leaves that a query opens (a row counts in each tree), as a share of all rows. Vectors without clusters, as
 #: those of the test tables, need this much for a recall of 0.94; clustered ones far less.
 SHARE = 1.0
-PART_ROWS = 2000  # rows of a leaf that go to one task
+PART_ROWS, BLOCK_QUERIES = 2000, 20_000  # rows of a leaf, and queries, that meet in one group (about; both are dealt by hash)
 
 
 class Tree:
@@ -96,8 +96,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, s
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    asked = (rows.filter("pmod(vec_id, 100) = 0") if queries is None else usable(queries)).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
-    n = rows.count()
+    asked = stored((rows.filter("pmod(vec_id, 100) = 0") if queries is None else usable(queries)).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")))
+    n, blocks = rows.count(), max(1, -(-asked.count() // BLOCK_QUERIES))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     first = rows.limit(1).collect()
     if not first:
@@ -134,11 +134,13 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, s
         sizes[r["tree"], r["leaf"]] = r["n"]
     parts = -(-sizes // PART_ROWS)
     wanted = max(share * n, trees * (k + 2))
+    by = ["tree", "leaf", "part", "block"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for qid, q in zip(b.column(0).to_pylist(), vectors_of(b.column(1)), strict=True):
+            cols: list[list] = [[], [], [], [], [], [], []]
+            block = (mix(b.column(0).to_numpy().astype(np.uint64)) % np.uint64(blocks)).tolist()
+            for qid, q, own in zip(b.column(0).to_pylist(), vectors_of(b.column(1)), block, strict=True):
                 leaves = opened_leaves(q, forest, sizes, wanted)
                 mask = np.zeros((trees, 2**depth), np.uint8)
                 for t, leaf in leaves:
@@ -146,22 +148,25 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, s
                 bits = np.packbits(mask, axis=1).tobytes()
                 for t, leaf in leaves:
                     for part in range(int(parts[t, leaf])):
-                        for c, v in zip(cols, (t, leaf, part, qid, q.tobytes(), bits), strict=True):
+                        for c, v in zip(cols, (t, leaf, part, own, qid, q.tobytes(), bits), strict=True):
                             c.append(v)
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["tree", "leaf", "part", "query_id", "q", "opened"])
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*by, "query_id", "q", "opened"])
 
-    visits = asked.repartition("query_id").mapInArrow(search, "tree int, leaf int, part int, query_id long, q binary, opened binary")
+    visits = asked.repartition("query_id").mapInArrow(search, "tree int, leaf int, part int, block int, query_id long, q binary, opened binary")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             at = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int16).reshape(-1, trees)
+            dealt = mix(ids.astype(np.uint64) * ODD + np.arange(len(ids), dtype=np.uint64))  # rows of one id spread as well
             for t in range(trees):
-                part = (ids % np.maximum(1, parts[t, at[:, t]])).astype(np.int32)
-                yield pa.record_batch([pa.array(np.full(len(ids), t), pa.int32()), pa.array(at[:, t].astype(np.int32)), pa.array(part), b.column(0), b.column(1), b.column(2)], ["tree", "leaf", "part", "vec_id", "v", "leaves"])
+                part = (dealt % np.maximum(1, parts[t, at[:, t]]).astype(np.uint64)).astype(np.int32)
+                for block in range(blocks):
+                    places = [np.full(len(ids), t, np.int32), at[:, t].astype(np.int32), part, np.full(len(ids), block, np.int32)]
+                    yield pa.record_batch([*map(pa.array, places), b.column(0), b.column(1), b.column(2)], [*by, "vec_id", "v", "leaves"])
 
-    members = placed.mapInArrow(deal, "tree int, leaf int, part int, vec_id long, v binary, leaves binary")
+    members = placed.mapInArrow(deal, "tree int, leaf int, part int, block int, vec_id long, v binary, leaves binary")
 
     def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
         tree, out = key[0].as_py(), ([], [], [])
@@ -186,7 +191,6 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, s
                 out[2].extend(d[best].tolist())
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    by = ["tree", "leaf", "part"]
     found = visits.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(rank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -297,7 +297,7 @@ def test_quality_verdicts_equal_brute_force(spark):
 
 
 def test_quality_fences_are_never_zero(spark):
-    """No symbol, no repeated line and no repeated word in nine of ten texts: fences come from the texts' sizes."""
+    """No symbol, repeated line or repeated word in any text: fences come from the texts' sizes."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(4, 9)))
     rows = [(k, "\n".join(" ".join(word() for _ in range(9)) for _ in range(rng.randrange(6, 60)))) for k in range(300)]

@@ -39,6 +39,18 @@ def test_recall_of_the_query_on_its_own_table(spark, sf):
     assert hit / len(got) >= 0.9 and got["query_id"].nunique() == (ids % 100 == 0).sum()
 
 
+def test_blocks_of_queries_and_parts_of_leaves_change_nothing(spark, monkeypatch):
+    """Ids that are all multiples of a number of parts, one id on a third of the rows, and far smaller groups."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 8))
+    rows = [(100 if k % 3 == 0 else 12 * k, x[k].tolist()) for k in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [tuple(r) for r in neighbours.nearest(df).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(neighbours, "PART_ROWS", 37)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 7)
+    assert [tuple(r) for r in neighbours.nearest(df).orderBy("query_id", "rank").collect()] == whole and len(whole) > 300
+
+
 def test_small_and_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, score double"
     nan, inf = float("nan"), float("inf")
