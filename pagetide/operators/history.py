@@ -62,6 +62,15 @@ def changes(history: DataFrame, keys: list[str]) -> DataFrame:
     return versions(history, keys).filter(changed())
 
 
+def gaps(history: DataFrame, keys: list[str], silence: str, until: Column) -> DataFrame:
+    """keys, last_at, stale_at: captures after which a target was silent for longer than `silence` (an interval, as '6 hours').
+    A target's last capture counts if its silence has ended before `until`; a deletion is no silence."""
+    w = Window.partitionBy(*keys).orderBy(*_order(history))
+    stale = F.col("fetched_at") + F.expr(f"interval {silence}")
+    out = history.select(*keys, F.col("fetched_at").alias("last_at"), stale.alias("stale_at"), F.lead("fetched_at").over(w).alias("_next"), gone(history).alias("_gone"))
+    return out.filter(~F.col("_gone") & (F.coalesce("_next", until) > F.col("stale_at"))).select(*keys, "last_at", "stale_at")
+
+
 def distinct_versions(history: DataFrame, keys: list[str]) -> DataFrame:
     """The log of a page: captures that begin a new content, the first included."""
     return versions(history, keys).filter(F.col("prev_at").isNull() | changed())

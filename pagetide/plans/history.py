@@ -41,6 +41,16 @@ def page_log(spark, d):
     return H.distinct_versions(history(spark, d), KEYS).select(*KEYS, "fetched_at", "capture_id", "html_sha256")
 
 
+SILENT, UNTIL = "4 days", "2024-01-30 00:00:00"
+
+
+@query("stale_targets", f"""with {HISTORY}, n as (select {KS}, fetched_at as last_at, fetched_at + interval {SILENT} as stale_at, lead(fetched_at) over (partition by {KS} order by fetched_at, capture_id) as next from history)
+    select {KS}, last_at, stale_at from n where coalesce(next, timestamp '{UNTIL}') > stale_at""")
+def stale_targets(spark, d):
+    """Targets that fell silent for longer than a few cadences."""
+    return H.gaps(history(spark, d), KEYS, SILENT, at(UNTIL))
+
+
 LAST = "arg_max({x}, (fetched_at, capture_id))"
 
 
@@ -117,7 +127,7 @@ def diff_with_deletions(spark, d):
 DOMAIN = "regexp_extract({u}, '([^./]*\\.[^./]*)/[0-9]*$', 1)"
 
 
-@query("metadata_changes", f"with {VERSIONS} select {KS}, fetched_at, final_url is distinct from pu as redirect_changed, {DOMAIN.format(u='final_url')} is distinct from {DOMAIN.format(u='pu')} as vendor_changed, http_status is distinct from ps as status_changed, false as type_changed, render_mode is distinct from pm as mode_changed, title is distinct from ptitle as title_changed from c where prev_at is not null")
+@query("metadata_changes", f"with {VERSIONS} select {KS}, fetched_at, final_url is distinct from pu as redirect_changed, {DOMAIN.format(u='final_url')} is distinct from {DOMAIN.format(u='pu')} as vendor_changed, http_status is distinct from ps as status_changed, content_type is distinct from ptype as type_changed, render_mode is distinct from pm as mode_changed, title is distinct from ptitle as title_changed from c where prev_at is not null")
 def metadata_changes(spark, d):
     return H.metadata_flags(history(spark, d), KEYS)
 

@@ -36,7 +36,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 7 == 0, "headless").otherwise("plain").alias("render_mode"),
         (F.floor(F.col("value") * 10).cast("long") + 1).alias("byte_size"),
         F.concat(F.lit("https://www."), F.col("event_type"), (F.col("user_id") % 9).cast("string"), F.lit(".example.org/"), (F.col("event_id") % 3).cast("string")).alias("final_url"),
-        F.lit("text/html").alias("content_type"), F.col("event_type").alias("title"),
+        F.when(F.col("event_id") % 11 == 0, "application/pdf").otherwise("text/html").alias("content_type"), F.col("event_type").alias("title"),
     )
 
 
@@ -44,9 +44,9 @@ HISTORY = f"""history as (select 'c' || user_id as county, {TYPES_SQL}[event_id
     sha256(cast(cast(floor(value / 10) as bigint) as varchar)) as html_sha256, sha256(cast(cast(floor(value / 40) as bigint) as varchar)) as text_sha256,
     case event_id % 17 when 0 then 503 when 1 then 403 else 200 end as http_status, case when event_id % 23 = 0 then 'timeout' end as error,
     case when event_id % 7 = 0 then 'headless' else 'plain' end as render_mode, cast(floor(value * 10) as bigint) + 1 as byte_size,
-    'https://www.' || event_type || (user_id % 9) || '.example.org/' || (event_id % 3) as final_url, 'text/html' as content_type, event_type as title from events)"""
+    'https://www.' || event_type || (user_id % 9) || '.example.org/' || (event_id % 3) as final_url, case when event_id % 11 = 0 then 'application/pdf' else 'text/html' end as content_type, event_type as title from events)"""
 VERSIONS = HISTORY + """, v as (select *, lag(fetched_at) over w as prev_at, lag(html_sha256) over w as ph, lag(text_sha256) over w as pt, lag(error) over w as pe, lag(http_status) over w as ps,
-    lag(final_url) over w as pu, lag(render_mode) over w as pm, lag(title) over w as ptitle from history window w as (partition by county, page_type order by fetched_at, capture_id)),
+    lag(final_url) over w as pu, lag(render_mode) over w as pm, lag(content_type) over w as ptype, lag(title) over w as ptitle from history window w as (partition by county, page_type order by fetched_at, capture_id)),
     c as (select *, prev_at is not null and (html_sha256 is distinct from ph or text_sha256 is distinct from pt) as changed from v)"""
 
 

@@ -71,6 +71,55 @@ def changes(captures: DataFrame, keys: list[str], contents: tuple[str, ...] = ("
     return captures.groupBy(*keys).applyInPandasWithState(step, f"{key_schema}, fetched_at timestamp, previous string, content string", f"{held}, at long", "append", GroupStateTimeout.NoTimeout)
 
 
+def followed(captures: DataFrame, keys: list[str], silence: str, lateness: str = "1 day", contents: tuple[str, ...] = ("html_sha256", "text_sha256")) -> DataFrame:
+    """Changes as they come, of state that ends: keys, fetched_at, status, previous, content (of the first of the contents).
+
+    A target without a capture for longer than `silence` gives one row `stale`, at its last capture's time plus silence, and its state
+    goes, so state holds only targets that are still captured; its next capture is a first one. Other rows are `changed`. The row comes
+    when a later capture of the target shows the gap, or when the watermark (the latest capture's time less `lateness`) has passed it.
+    Captures older than the watermark are dropped, ones older than their target's state change nothing. As a table: history.gaps.
+    """
+    types = dict(captures.dtypes)
+    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    span = pd.Timedelta(silence).value // 1000
+    held = ", ".join(f"last{k} string" for k in range(len(contents)))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        *last, at = state.get if state.exists else (*[None] * len(contents), None)
+        if state.hasTimedOut:
+            at = _gone_silent(out, key, at + span, last)
+        else:
+            rows = pd.concat(list(batches)).sort_values("at_us", kind="stable")
+            for when, *values in rows[["at_us", *contents]].itertuples(index=False):
+                if at is not None and when < at:
+                    continue
+                if at is not None and when > at + span:
+                    at = _gone_silent(out, key, at + span, last)
+                values = [None if pd.isna(v) else v for v in values]
+                if at is not None and values != last:
+                    out.append((*key, when, "changed", last[0], values[0]))
+                last, at = values, int(when)
+            ends = -(-(at + span) // 1000)
+            if ends <= state.getCurrentWatermarkMs():
+                at = _gone_silent(out, key, at + span, last)
+        if at is None:
+            state.remove()
+        else:
+            state.update((*last, at))
+            state.setTimeoutTimestamp(ends)
+        yield pd.DataFrame(out, columns=[*keys, "at_us", "status", "previous", "content"])
+
+    timed = captures.withWatermark("fetched_at", lateness).withColumn("at_us", F.unix_micros("fetched_at"))
+    out = timed.groupBy(*keys).applyInPandasWithState(step, f"{key_schema}, at_us long, status string, previous string, content string", f"{held}, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*keys, F.timestamp_micros("at_us").alias("fetched_at"), "status", "previous", "content")
+
+
+def _gone_silent(out: list[tuple], key: tuple, when: int, last: list) -> None:
+    """Adds the row; what is returned is the time of the last capture from here on: none."""
+    out.append((*key, when, "stale", last[0], None))
+
+
 def per_window(changed: DataFrame, width: str = "3 hours", lateness: str | None = None) -> DataFrame:
     """Changes in tumbling windows; with a lateness for streams, without one for tables."""
     if lateness:

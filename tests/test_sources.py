@@ -1,6 +1,7 @@
 """Round trips of files, and the streaming jobs."""
 
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -126,6 +127,33 @@ def test_streamed_changes_equal_those_of_the_table(spark, tmp_path):
     assert spark.table("changed").count() == expected.count() > 0
 
 
+def test_state_of_silent_targets_ends(spark, tmp_path):
+    """Rows of the stream are those of the table: gaps, changes within them, and no state is left of targets that are silent."""
+    from pagetide.operators.history import changes as of_table
+    from pagetide.operators.history import gaps
+
+    columns = ["county", "page_type", "fetched_at", "html_sha256", "text_sha256"]
+    h = inputs.history(spark, SF)
+    h = h.filter("page_type <> 'elections' or day(fetched_at) < 10")
+    silence, lateness = "3 days", "1 day"
+    cuts = [F.col("fetched_at") < F.lit("2024-01-12").cast("timestamp"), F.col("fetched_at") >= F.lit("2024-01-12").cast("timestamp")]
+    for n, part in enumerate(cuts):
+        h.filter(part).select(columns).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = changes.followed(changes.read_captures(spark, f"{tmp_path}/in", h.select(columns).schema), inputs.KEYS, silence, lateness)
+        q = stream.writeStream.foreachBatch(lambda df, k, n=n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/run={n}/batch={k}")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out").select(*inputs.KEYS, "fetched_at", "status")
+    newest = h.agg(F.max("fetched_at")).collect()[0][0]
+    silent = gaps(h, inputs.KEYS, silence, F.lit(newest - dt.timedelta(days=1)))
+    assert Counter(map(tuple, got.filter("status = 'stale'").select(*inputs.KEYS, "fetched_at").collect())) == Counter(map(tuple, silent.select(*inputs.KEYS, "stale_at").collect()))
+    within = of_table(h, inputs.KEYS).filter(F.col("fetched_at") <= F.col("prev_at") + F.expr(f"interval {silence}")).select(*inputs.KEYS, "fetched_at")
+    assert Counter(map(tuple, got.filter("status = 'changed'").select(*inputs.KEYS, "fetched_at").collect())) == Counter(map(tuple, within.collect()))
+    held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    targets, last = h.select(*inputs.KEYS).distinct().count(), silent.groupBy(*inputs.KEYS).agg(F.max("last_at").alias("m"))
+    ended = last.join(h.groupBy(*inputs.KEYS).agg(F.max("fetched_at").alias("m")), [*inputs.KEYS, "m"]).count()
+    assert silent.count() > 0 and within.count() > 0 and ended > 0 and held == targets - ended
+
+
 def test_streamed_ingestion_and_windows(spark, tmp_path):
     h = inputs.history(spark, SF).select("county", "page_type", "fetched_at")
     h.write.parquet(f"{tmp_path}/in")
