@@ -51,6 +51,37 @@ def first_confident(tried: DataFrame, key: str = "county") -> DataFrame:
     return tried.withColumn("_o", order).filter("_o is not null").withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "_o")
 
 
+#: Fixed value: the evidence of a county that no candidate was found for.
+NO_CANDIDATE = "no candidate pattern verified — needs web search"
+
+
+def attempt_results(tried: DataFrame) -> DataFrame:
+    """tried (county, priority, url, resolves, ok, error, http_status, confidence, evidence, final_url, title): what came of each attempt,
+    as county, priority, url, result, status, final_url, title, evidence; the last four only of pages that were verified."""
+    failed = F.when(~F.coalesce("resolves", F.lit(False)), "dns_fail").when(~F.coalesce("ok", F.lit(False)), F.concat(F.lit("fetch_fail:"), F.coalesce("error", F.lit(""))))
+    failed = failed.when(F.col("http_status") >= 400, F.concat(F.lit("http_"), F.col("http_status").cast("string")))
+    seen = failed.isNull()
+    facts = [F.when(seen, F.col(c)).alias(n) for c, n in (("http_status", "status"), ("final_url", "final_url"), ("title", "title"), ("evidence", "evidence"))]
+    return tried.select("county", "priority", "url", F.coalesce(failed, "confidence").alias("result"), *facts)
+
+
+def resolved(counties: DataFrame, attempts: DataFrame) -> DataFrame:
+    """counties (county, ...) with homepage, confidence, evidence, title and attempts: the first confident attempt, else the first likely
+    one, else `unresolved`. Attempts after the first confident one were not made. A county has at most sixteen candidates; a county
+    without any has an empty list. One shuffle of the attempts."""
+    fields = ["priority", "url", "result", "status", "final_url", "title", "evidence"]
+    logs = attempts.groupBy("county").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("a"))
+    made = F.coalesce("a", F.array().cast(logs.schema["a"].dataType))
+    first = lambda result: F.get(F.filter("attempts", lambda x: x["result"] == result), 0)
+    end = F.array_position(F.transform("attempts", lambda x: x["result"]), "confident").cast("int")
+    out = counties.join(logs, "county", "left").withColumn("attempts", made).drop("a")
+    out = out.withColumn("attempts", F.when(end > 0, F.slice("attempts", 1, end)).otherwise(F.col("attempts"))).withColumn("_best", F.coalesce(first("confident"), first("likely")))
+    none = F.col("_best").isNull()
+    best = [F.when(none, "").otherwise(F.col("_best.final_url")).alias("homepage"), F.when(none, "unresolved").otherwise(F.col("_best.result")).alias("confidence")]
+    best += [F.when(none, NO_CANDIDATE).otherwise(F.col("_best.evidence")).alias("evidence"), F.col("_best.title").alias("title")]
+    return out.select(*counties.columns, *best, "attempts")
+
+
 def until_confident(tried: DataFrame, key: str = "county") -> DataFrame:
     """The log of attempts: those up to the first confident one."""
     w = Window.partitionBy(key).orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)

@@ -206,6 +206,40 @@ def tried(spark, d):
     return lines(spark, d).select(F.col("l_orderkey").alias("county"), F.col("l_linenumber").alias("priority"), F.when(s == 0, "confident").when(s == 1, "likely").otherwise("reject").alias("confidence"))
 
 
+PROBED = LINES + """, p as (select l_orderkey as county, l_linenumber as priority, l_suppkey as s, case l_suppkey % 8 when 0 then 'dns_fail' when 1 then 'fetch_fail:timeout' when 2 then 'http_404' when 3 then 'likely' when 4 then 'confident' else 'reject' end as result from x),
+    f as (select county, min(case when result = 'confident' then priority end) as sure, min(case when result = 'likely' then priority end) as likely from p group by 1),
+    m as (select p.* from p join f using (county) where priority <= coalesce(sure, priority)),
+    l as (select county, string_agg(result || ' ' || coalesce(case when s % 8 > 2 then '200 https://www.s' || s || '.example.org/ T' || s || ' e' || s end, ''), ';' order by priority) as attempts from m group by 1)"""
+
+
+@query("resolved_counties", f"""with {PROBED}, b as (select o_orderkey as county, coalesce(sure, likely) as pick, sure from (select distinct o_orderkey from orders) o left join f on county = o_orderkey)
+    select b.county, case when pick is null then '' else 'https://www.s' || s || '.example.org/' end as homepage, case when pick is null then 'unresolved' when sure is null then 'likely' else 'confident' end as confidence,
+    case when pick is null then 'no candidate pattern verified — needs web search' else 'e' || s end as evidence, 'T' || s as title, coalesce(attempts, '') as attempts
+    from b left join p on p.county = b.county and p.priority = b.pick left join l on l.county = b.county""")
+def resolved_counties(spark, d):
+    """Orders as counties, their lines as candidates: the whole log of attempts, and the counties for which none was found."""
+    s = F.col("l_suppkey")
+    named = lambda a, b="": F.concat(F.lit(a), s.cast("string"), F.lit(b))
+    tries = lines(spark, d).select(
+        F.col("l_orderkey").alias("county"), F.col("l_linenumber").alias("priority"), named("https://s", ".example.org/").alias("url"), (s % 8 != 0).alias("resolves"), (s % 8 != 1).alias("ok"), F.when(s % 8 == 1, "timeout").alias("error"),
+        F.when(s % 8 == 2, 404).otherwise(200).alias("http_status"), F.when(s % 8 == 3, "likely").when(s % 8 == 4, "confident").otherwise("reject").alias("confidence"), named("e").alias("evidence"), named("https://www.s", ".example.org/").alias("final_url"), named("T").alias("title"),
+    )
+    counties = table(spark, d, "orders").select(F.col("o_orderkey").alias("county")).distinct()
+    told = F.transform("attempts", lambda a: F.concat(a["result"], F.lit(" "), F.concat_ws(" ", a["status"].cast("string"), a["final_url"], a["title"], a["evidence"])))
+    return D.resolved(counties, D.attempt_results(tries)).withColumn("attempts", F.array_join(told, ";"))
+
+
+@query("stabilized_urls", """select page_id, case page_id % 3 when 0 then 'https://results.enr.clarityelections.com/TX/C' || page_id || '/'
+    when 1 then 'https://www.c' || page_id || '.example.org/a?b=' || page_id else url end as url from pages""")
+def stabilized_urls(spark, d):
+    """Deep links into a results application, proxied pages, and the pages' own URLs, which stay."""
+    n = F.col("page_id").cast("string")
+    deep = F.concat(F.lit("https://results.enr.clarityelections.com/TX/C"), n, F.lit("/"), (F.col("page_id") % 97).cast("string"), F.lit("/web."), n, F.lit("/#/summary?v="), n)
+    proxied = F.concat(F.lit("https://www-c"), n, F.lit("-example-org.translate.goog/a?b="), n, F.lit("&_x_tr_sl=en#top"))
+    url = F.when(F.col("page_id") % 3 == 0, deep).when(F.col("page_id") % 3 == 1, proxied).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", U.stabilized(url).alias("url"))
+
+
 @query("first_confident", f"with {TRIED} select county, min(case when confidence = 'confident' then priority end) is not null as sure, coalesce(min(case when confidence = 'confident' then priority end), min(case when confidence = 'likely' then priority end)) as priority from t group by 1 having coalesce(min(case when confidence = 'confident' then priority end), min(case when confidence = 'likely' then priority end)) is not null")
 def first_confident(spark, d):
     return D.first_confident(tried(spark, d)).select("county", (F.col("confidence") == "confident").alias("sure"), "priority")
