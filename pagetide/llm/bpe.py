@@ -23,16 +23,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import KEPT, ODD, documents
+from .common import KEPT, ODD, documents, release, trim
 
 WORD_END = "</w>"
 END = "\0"  # stands for it within a word
 #: Entries of a generation of the runs and words that a worker keeps, and arcs; only memory and time depend on it.
 CACHE_RUNS, CACHE_WORDS, CACHE_ARCS = 200_000, 150_000, 400_000
 BLOCK_CHARS = 2_000_000  # characters of texts that are encoded together
+CACHE_ENTRIES, BLOCK_BYTES = 300_000, 4_000_000  # the same where only ids are wanted
 LONG = 64  # bytes of a word that goes its way alone
 STOP = 256  # the word end among bytes
 #: The split pattern of the tokenizer's file. Its white space only parts words.
@@ -47,6 +49,12 @@ def lowered(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
 
 
+def normal(lines: bytes) -> str:
+    """Many runs at once: normalised and in lower case."""
+    text = lines.decode()
+    return lowered(text if text.isascii() else unicodedata.normalize("NFC", text))
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: bytes that are visible
     Latin-1 stand for themselves, the others are numbered from U+0100 in order."""
@@ -307,6 +315,10 @@ class Automaton:
             return [run[:-1], run[-1]]
         return self.split.findall(run)
 
+    def split_runs(self, runs: list[bytes]) -> list[list[str]]:
+        """Words of many runs without special tokens."""
+        return [[run] if run.isalpha() else self.words_of(run) for run in normal(b"\n".join(runs)).split("\n")] if runs else []
+
     def encode_run(self, run: str) -> list[int]:
         """Ids of text without ASCII white space, special tokens included."""
         out: list[int] = []
@@ -398,17 +410,12 @@ class Runs:
             gc.enable()
 
     def _learn(self, runs: list[bytes]) -> None:
-        a, known, joined = self.automaton, self.runs[0], b"\n".join(runs)
-        special = []
-        if b"<|" in joined:
-            special = [r for r in runs if b"<|" in r]
+        a, known = self.automaton, self.runs[0]
+        special = [r for r in runs if b"<|" in r]
+        if special:
             runs = [r for r in runs if b"<|" not in r]
-            joined = b"\n".join(runs)
         if runs:
-            text = joined.decode()
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-            split = [[run] if run.isalpha() else a.words_of(run) for run in lowered(text).split("\n")]
+            split = a.split_runs(runs)
             new = self.lacking(self.words, CACHE_WORDS, set(chain.from_iterable(split)))
             words = self.words[0]
             words.update(zip(new, self.make(*a.encode_words(new)), strict=True))
@@ -419,7 +426,136 @@ class Runs:
             (known[r],) = self.make(ids, np.array([len(ids)]))
 
 
-KEPT.append(Runs.kept)
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of values, one behind the other, and where each one's end."""
+    ends = np.cumsum(size)
+    if not len(ends) or not ends[-1]:
+        return values[:0], ends
+    some = size > 0
+    start, size, last = start[some], size[some], ends[some][:-1]
+    at = np.ones(ends[-1], np.int32)  # steps from each place to the next
+    at[0] = start[0]
+    at[last] = start[1:] - start[:-1] - size[:-1] + 1
+    return values[np.cumsum(at, out=at)], ends
+
+
+class TextIds:
+    """Ids of whole texts. Arrow splits a block of texts into runs and numbers the different ones; only those are split into
+    words, and all ids of the block are taken at once from one array of the ids of known words.
+
+    A word is known by its number, which has a place in that array and a count of its uses. When there are too many, those
+    used more often than most stay, with half of their uses."""
+
+    kept: dict[str, TextIds] = {}
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+        self.letters: dict[str, int] = {}  # words of letters alone
+        self.others: dict[str, int] = {}  # words of all other runs
+        self.ids = np.empty(0, np.uint32)
+        self.start, self.size, self.uses = (np.empty(0, np.int64) for _ in range(3))
+        marks = sorted(MARKS)
+        self.add(self.others, marks, *automaton.encode_words(marks))
+        self.mark = np.full(256, -1)
+        self.mark[[ord(m) for m in marks]] = np.arange(len(marks))
+
+    @classmethod
+    def of(cls, path: str) -> TextIds:
+        if path not in cls.kept:
+            release()
+            cls.kept[path] = cls(Automaton(path))
+        return cls.kept[path]
+
+    def add(self, known: dict[str, int], words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """New words, whose ids stand one behind the other."""
+        first, begin = len(self.start), len(self.ids)
+        self.ids = np.r_[self.ids, ids.astype(np.uint32)]
+        self.start, self.size = np.r_[self.start, begin + np.r_[0, ends][:-1]], np.r_[self.size, np.diff(ends, prepend=0)]
+        self.uses = np.r_[self.uses, np.zeros(len(ends), np.int64)]
+        known.update(zip(words, range(first, len(self.start)), strict=True))
+
+    def forget(self) -> None:
+        if len(self.start) <= CACHE_ENTRIES:
+            return
+        stay = self.uses > np.median(self.uses)
+        stay[: len(MARKS)] = True  # the first, whose numbers do not change
+        moved = np.where(stay, np.cumsum(stay) - 1, -1).tolist()
+        self.letters, self.others = ({w: n for w, k in known.items() if (n := moved[k]) >= 0} for known in (self.letters, self.others))
+        self.ids, ends = gathered(self.ids, self.start[stay], self.size[stay])
+        self.size, self.uses = self.size[stay], self.uses[stay] // 2
+        self.start = ends - self.size
+
+    def words(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the runs' words, one run behind the other, and how many each run has."""
+        letters = self.letters
+        lines = np.frombuffer(pc.binary_join(pa.LargeListArray.from_arrays([0, len(runs)], runs), pa.scalar(b"\n", runs.type))[0].as_py() + b"\n", np.uint8)
+        ends = np.flatnonzero(lines == 10)
+        last = self.mark[lines[ends - 1]]
+        # letters, and letters with one mark behind them, need no pattern
+        marked = last >= 0
+        kept = np.ones(len(lines), bool)
+        kept[ends[marked] - 1] = False
+        stems = normal(lines[kept].tobytes()).split("\n")[:-1]
+        numbers = [letters.get(w, -1) for w in stems]
+        lack = [k for k, n in enumerate(numbers) if n < 0]
+        new = list({w for k in lack if (w := stems[k]).isalpha()})
+        self.add(letters, new, *self.automaton.encode_words(new))
+        for k in lack:
+            numbers[k] = letters.get(stems[k], -1)
+        numbers = np.fromiter(numbers, np.int64, len(numbers))
+        plain = numbers >= 0
+        counts = 1 + marked
+        flat, counts[~plain] = self.odd_words(runs.filter(pa.array(~plain)).to_pylist())
+        out, first = np.empty(counts.sum(), np.int64), np.cumsum(counts) - counts
+        out[first[plain]] = numbers[plain]
+        out[first[plain & marked] + 1] = last[plain & marked]
+        out[np.repeat(~plain, counts)] = flat
+        return out, counts
+
+    def odd_words(self, runs: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The same of runs that need the pattern; those that may hold special tokens count as one word."""
+        a, others = self.automaton, self.others
+        split = iter(a.split_runs([r for r in runs if b"<|" not in r]))
+        words = [[r.decode()] if b"<|" in r else next(split) for r in runs]
+        new = set(chain.from_iterable(words)).difference(others)
+        special = [w for w in new if "<|" in w]
+        new = list(new.difference(special))
+        self.add(others, new, *a.encode_words(new))
+        for w in special:
+            ids = np.array(a.encode_run(w), np.int64)
+            self.add(others, [w], ids, np.array([len(ids)]))
+        counts = list(map(len, words))
+        return np.fromiter(map(others.__getitem__, chain.from_iterable(words)), np.int64, sum(counts)), counts
+
+    def blocks(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """For each text of an Arrow column, its ids."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK_BYTES, "right")))
+            yield from self.block(texts.slice(low, high - low))
+            low = high
+            trim()
+
+    def block(self, texts: pa.Array) -> list[np.ndarray]:
+        self.forget()
+        split = pc.ascii_split_whitespace(texts)  # with an empty run before white space at the start and after that at the end
+        coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
+        at = coded.indices.to_numpy()
+        gc.disable()  # many small objects are made, none in cycles
+        try:
+            flat, counts = self.words(coded.dictionary)
+        finally:
+            gc.enable()
+        np.add.at(self.uses, flat, np.repeat(np.bincount(at, minlength=len(counts)), counts))
+        ids, ends = gathered(self.ids, self.start[flat], self.size[flat])
+        ends = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        ids, ends = gathered(ids, ends[:-1][at], np.diff(ends)[at])
+        return np.split(ids, np.r_[0, ends][np.cumsum(pc.list_value_length(split).to_numpy())[:-1]])
+
+
+KEPT += [Runs.kept, TextIds.kept]
 
 
 def cut(values, ends: np.ndarray) -> list:

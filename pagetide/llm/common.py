@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -36,15 +37,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+LIBC = ctypes.CDLL(None)
 #: Caches that a worker keeps from task to task; other operators' tasks let go of them, since workers are shared.
 KEPT: list[dict] = []
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: Arrow's, then the C library's (where it is glibc)."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 def release() -> None:
     """Empties what earlier tasks of other operators have left in this worker."""
     for kept in KEPT:
         kept.clear()
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 class WordHashes(dict):

@@ -16,32 +16,26 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Runs, cut, tokenizer_path
+from .bpe import TextIds, tokenizer_path
 from .common import documents, stored
 
 LENGTH, END_ID = 2048, 1
 
 
-def little_endian(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Each word's ids as unsigned 32-bit numbers."""
-    return cut(ids.astype("<u4").tobytes(), 4 * ends)
-
-
 def pieces_of(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and end_id, cut after every `length`."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs.of(path, "bytes", lambda _: little_endian, b"".join)
+        known = TextIds.of(path)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for doc_id, values in zip(b.column(0).to_pylist(), runs.blocks(b.column(1)), strict=True):
-                ids = b"".join(values) + end
+            for doc_id, values in zip(b.column(0).to_pylist(), known.blocks(b.column(1)), strict=True):
+                ids = values.astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 for at in range(0, n, length):
                     piece = ids[4 * at : 4 * (at + length)]

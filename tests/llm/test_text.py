@@ -69,6 +69,22 @@ def test_runs_are_remembered_in_two_generations(automaton, monkeypatch):
     assert [[i for v in values for i in v] for values in runs.blocks(pa.array(texts, pa.string()))] == [automaton.encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("limits", [(20, 60), (300_000, 4_000_000)])
+def test_ids_of_whole_texts_in_blocks(automaton, library, monkeypatch, limits):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", limits[0])
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", limits[1])
+    rng = random.Random(7)
+    some = ["the", "The.", "of,.", ".", "...", ";", "\u037e", "a\u037e", "don't", "'s,", "12.", "in<|endoftext|>the", "<|startoftext|>", "<|", "a<|b.", "ΑΣ", "ΑΣ.", "e\u0301.", "\u0301", "İx", "日本.", "x\x1cy", "x\x85y", "x\xa0y", "w" * 90]
+    texts = [rng.choice(["", " ", "\n\n"]) + rng.choice([" ", "\t ", "\x0b", "\r\n"]).join(rng.choice([*some, f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(30))) + rng.choice(["", "  ", "\x0c"]) for _ in range(120)]
+    for these in (texts + TEXTS, [], [None, "", None], [" "]):
+        known = bpe.TextIds(automaton)
+        got = [x.tolist() for x in known.blocks(pa.array(these, pa.string()))]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in these]
+        assert len(known.start) == len(known.uses) == len(known.letters) + len(known.others) <= limits[0] + 60  # and the words of a block
+    again = known.blocks(pa.array([None, *texts], pa.string()).slice(1))
+    assert [x.tolist() for x in again] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoding_and_decoding(spark, library, automaton):
     rows = [*enumerate(TEXTS), (0, "again"), (None, "no id")]
     got = [tuple(r) for r in bpe.encoded(frame(spark, rows), bpe.tokenizer_path()).collect()]
