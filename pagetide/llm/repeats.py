@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, Scratch, WordHashes, documents, mix, release
+from .common import ODD, Scratch, documents, mix, release, trim
 
 
 @dataclass(frozen=True)
@@ -78,23 +78,49 @@ def rolling(text: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         piece = text[low : low + CHUNK + size]
         up, down = Powers.to(len(piece))
         values = piece if piece.dtype == np.uint64 else BYTE[piece]
-        sums = np.r_[np.uint64(0), np.cumsum(values * down[: len(piece)])]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(values * down[: len(piece)], out=sums[1:])
         at = starts[a:b] - low
         out[a:b] = mix((sums[at + size] - sums[at]) * up[at])
     return out
 
 
+def words_in(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a text's words."""
+    return spans_of(~SPACE[text])
+
+
+def word_hashes(text: np.ndarray) -> np.ndarray:
+    """A hash of each word of a text, from running sums over its bytes; a few words of a long text at a time."""
+    starts, ends = words_in(text)
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        at = starts[low]
+        high = max(low + 1, int(np.searchsorted(ends, at + CHUNK, "right")))
+        piece, a, b = text[at : ends[high - 1]], starts[low:high] - at, ends[low:high] - at
+        up, down = Powers.to(len(piece))
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(BYTE[piece] * down[: len(piece)], out=sums[1:])
+        out[low:high] = mix((sums[b] - sums[a]) * up[a])
+        low = high
+    return out
+
+
 def sliding(values: np.ndarray, width: int, of: np.ufunc, fill: int) -> np.ndarray:
     """Smallest or largest of every `width` neighbours."""
     n = len(values)
-    grid = np.r_[values, np.full(-n % width, fill, np.uint64)].reshape(-1, width)
+    grid = np.full(n + -n % width, fill, np.uint64)
+    grid[:n] = values
+    grid = grid.reshape(-1, width)
     ahead = of.accumulate(grid, 1).ravel()
     behind = of.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
     return of(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def symbols(raw: bytes, unit: Unit, hashes: WordHashes) -> np.ndarray:
-    return hashes.of(raw.split()) if unit.words else np.frombuffer(raw, np.uint8)
+def symbols(raw: bytes, unit: Unit) -> np.ndarray:
+    text = np.frombuffer(raw, np.uint8)
+    return word_hashes(text) if unit.words else text
 
 
 def triggers(text: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +130,17 @@ def triggers(text: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     width = unit.length - unit.gram + 1
     h = rolling(text, np.arange(len(text) - unit.gram + 1), unit.gram)
     least = sliding(h, width, np.minimum, 2**64 - 1)
-    edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(h == sliding(np.r_[edge, least, edge], width, np.maximum, 0))
+    around = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+    around[width - 1 : width - 1 + len(least)] = least
+    at = np.flatnonzero(h == sliding(around, width, np.maximum, 0))
     return at, h[at]
 
 
 def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true."""
-    edges = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
+    edge = np.zeros(len(flags) + 2, bool)
+    edge[1:-1] = flags
+    edges = np.flatnonzero(edge[1:] != edge[:-1])
     return edges[::2], edges[1::2]
 
 
@@ -126,9 +155,9 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Text:
     """A candidate: its symbols and its repeated triggers."""
 
-    def __init__(self, text: str, places: list[int], unit: Unit, hashes: WordHashes):
+    def __init__(self, text: str, places: list[int], unit: Unit):
         self.raw, self.unit = text.encode("utf-8", "replace"), unit
-        self.symbols = symbols(self.raw, unit, hashes)
+        self.symbols = symbols(self.raw, unit)
         self.length, self.gram, self.reach = unit.length, unit.gram, unit.length - unit.gram
         self.at = np.sort(np.array(places, np.int64))
         self.last = len(self.symbols) - unit.length + 1
@@ -137,9 +166,8 @@ class Text:
         """Spans of symbols as spans of bytes."""
         if not self.unit.words:
             return starts, ends
-        word = np.r_[False, ~SPACE[np.frombuffer(self.raw, np.uint8)], False].astype(np.int8)
-        edges = np.flatnonzero(np.diff(word))
-        return edges[::2][starts], edges[1::2][ends - 1]
+        first, last = words_in(np.frombuffer(self.raw, np.uint8))
+        return first[starts], last[ends - 1]
 
     def contexts(self) -> np.ndarray:
         """Hash of each trigger's longest context: all strings that hold it; 0 where the text ends before."""
@@ -177,6 +205,7 @@ SENT, ANSWER = "shard int, unit string, keys binary, marks binary", "unit string
 
 def _met(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The rows' keys; all of them, their marks, and the number of each among the distinct ones."""
+    trim()  # what the group before has left
     lists = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
     marks = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("marks")])
     keys = np.concatenate(lists)
@@ -229,16 +258,16 @@ def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
     release()
-    hashes = WordHashes()
     for b in batches:
         rows, grams, places = [], [], []
         for k, x in enumerate(b.column(1)):
-            at, h = triggers(symbols((x.as_py() or "").encode("utf-8", "replace"), unit, hashes), unit)
+            at, h = triggers(symbols((x.as_py() or "").encode("utf-8", "replace"), unit), unit)
             if len(at):
                 rows.append(k)
                 grams.append(h.view(np.int64))
                 places.append(at.astype(np.int32))
         own = b.take(pa.array(rows, pa.int64()))
+        trim()
         yield pa.record_batch([own.column(0), own.column(2), own.column(3), pa.array(grams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "tid", "size", "gram", "at"])
 
 
@@ -285,10 +314,10 @@ def found_spans(docs: DataFrame, unit: Unit, with_text: bool, scratch: Scratch,
     scratch.drop("places")
 
     def list_triggers(batches):
-        hashes = WordHashes()
         for b in batches:
+            trim()
             for key, rows in _by_unit(b):
-                got = [Text(b.column(3)[k].as_py(), b.column(4)[k].as_py(), unit, hashes) for k in rows]
+                got = [Text(b.column(3)[k].as_py(), b.column(4)[k].as_py(), unit) for k in rows]
                 yield pa.record_batch([pa.array([key], pa.string()), pa.array([np.concatenate([t.grams() for t in got]).tobytes()], pa.binary()), pa.array([np.concatenate([t.contexts() for t in got]).tobytes()], pa.binary())], ["unit", "grams", "contexts"])
 
     def ask_contexts(batches):
@@ -303,10 +332,10 @@ def found_spans(docs: DataFrame, unit: Unit, with_text: bool, scratch: Scratch,
         return pa.Table.from_batches([sent(key[0].as_py(), grams[marks > 0], marks[marks > 0], shards)])
 
     def texts(left, right):
-        hashes = WordHashes()
+        trim()
         contexts, lead, grams = (keys_of(right, k) for k in ("context", "lead", "gram"))
         for x, p in zip(left.column("text"), left.column("places"), strict=True):
-            t = Text(x.as_py(), p.as_py(), unit, hashes)
+            t = Text(x.as_py(), p.as_py(), unit)
             c = t.contexts()
             known = among(c, contexts)
             ask = np.flatnonzero(t.around(~known | among(c, lead) & among(t.grams(), grams)))

@@ -193,6 +193,19 @@ def repeated_words(rows, length):
     return sorted(out, key=str)
 
 
+def test_words_have_hashes_of_their_own_wherever_they_stand(monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 16)  # words of many bytes, and many words, in more pieces than one
+    rng = random.Random(4)
+    some = [b"a", b"aa", b"ab", b"ba", b"b", "é".encode(), b"x" * 40, b"x" * 41, b"\x1c", b"\x00", b"\x00\x00"]
+    words = [rng.choice(some) for _ in range(300)]
+    gaps = [rng.choice([b" ", b"\t\n", b"\x0b \x0c\r"]) for _ in words]
+    for head, tail in ((b"", b""), (b" ", b"\n")):
+        text = np.frombuffer(head + b"".join(w + g for w, g in zip(words, gaps, strict=True)).rstrip() + tail, np.uint8)
+        got = repeats.word_hashes(text)
+        assert len(got) == 300 and len(set(zip(words, got.tolist(), strict=True))) == len(set(got.tolist())) == len(set(words))
+    assert [len(repeats.word_hashes(np.frombuffer(t, np.uint8))) for t in (b"", b" \n", b"a")] == [0, 0, 1]
+
+
 def test_repeated_words_equal_brute_force(spark):
     rows = passages()
     for size in (40, 51, 60, 3000):
