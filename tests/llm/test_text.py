@@ -85,6 +85,18 @@ def test_ids_of_whole_texts_in_blocks(automaton, library, monkeypatch, limits):
     assert [x.tolist() for x in again] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_packing_lets_go_of_what_other_operators_keep(monkeypatch, automaton):
+    calls = []
+    monkeypatch.setattr(bpe, "Automaton", lambda path: automaton)
+    monkeypatch.setattr(bpe, "trim", lambda: calls.append("trim"))
+    monkeypatch.setattr(bpe.TextIds, "kept", {})
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 10)
+    bpe.Runs.kept["left", "over"] = None
+    known = bpe.TextIds.of(bpe.tokenizer_path())
+    assert ("left", "over") not in bpe.Runs.kept and bpe.TextIds.of(bpe.tokenizer_path()) is known
+    assert len(list(known.blocks(pa.array(["some words"] * 3)))) == len(calls) == 3  # memory goes back after each block
+
+
 def test_encoding_and_decoding(spark, library, automaton):
     rows = [*enumerate(TEXTS), (0, "again"), (None, "no id")]
     got = [tuple(r) for r in bpe.encoded(frame(spark, rows), bpe.tokenizer_path()).collect()]
