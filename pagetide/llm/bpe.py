@@ -14,6 +14,7 @@ the tables of labels and arcs. Decoding emits the arcs' labels.
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 import json
@@ -34,7 +35,8 @@ END = "\0"  # stands for it within a word
 #: Entries of a generation of the runs and words that a worker keeps, and arcs; only memory and time depend on it.
 CACHE_RUNS, CACHE_WORDS, CACHE_ARCS = 200_000, 150_000, 400_000
 BLOCK_CHARS = 2_000_000  # characters of texts that are encoded together
-CACHE_ENTRIES, BLOCK_BYTES = 300_000, 4_000_000  # the same where only ids are wanted
+CACHE_ENTRIES, BLOCK_BYTES = 150_000, 4_000_000  # the same where only ids are wanted
+SLICE_RUNS, SLICE_WORDS = 50_000, 20_000  # runs of a block whose ids are taken, and new words that are encoded, at once
 LONG = 64  # bytes of a word that goes its way alone
 STOP = 256  # the word end among bytes
 #: The split pattern of the tokenizer's file. Its white space only parts words.
@@ -64,16 +66,18 @@ def byte_chars() -> list[str]:
 
 
 class Table:
-    """int64 key -> int64 value, -1 for none, for whole arrays: open addressing, the next place on a collision."""
+    """int64 key -> value, -1 for none, for whole arrays: open addressing, the next place on a collision. Keys that fit are
+    kept in 32 bits, values in the type that they have. dense: as few places as look-ups of known keys allow."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, (4 * len(keys)).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray, dense: bool = False):
+        bits = max(4, ((2 if dense else 4) * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.keys, self.values = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, -1, np.int64)
+        self.keys = np.full((1 << bits) + 64, -1, np.int32 if keys.max(initial=0) < 1 << 31 else np.int64)
+        self.values = np.full((1 << bits) + 64, -1, values.dtype)
         todo, at = np.arange(len(keys)), self.place(keys)
         while len(todo):
             if at.max(initial=0) >= len(self.keys) - 1:
-                self.keys, self.values = np.append(self.keys, np.full(64, -1)), np.append(self.values, np.full(64, -1))
+                self.keys, self.values = (np.append(x, np.full(64, -1, x.dtype)) for x in (self.keys, self.values))
             free = np.flatnonzero(self.keys[at] == -1)
             slots, first = np.unique(at[free], return_index=True)
             own = free[first]
@@ -98,6 +102,10 @@ class Table:
             live = live[~hit & (found != -1)]
         return out
 
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        there = self.keys >= 0
+        return self.keys[there].astype(np.int64), self.values[there]
+
 
 class Automaton:
     """The compiled merges of a tokenizer file (BPE with word ends, byte-level characters)."""
@@ -106,7 +114,6 @@ class Automaton:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.labels = {i: s for s, i in self.ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.compile_merges([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in merges])
@@ -114,9 +121,20 @@ class Automaton:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
         self.bytes = byte_chars()
-        self.arcs: dict[int, int] = {}
-        self.arcs_settled = 0
-        self.settle()
+        self.arcs: dict[int, int] = {}  # those that are not in the table yet
+        self.arc_table, self.arcs_settled = Table(np.empty(0, np.int64), np.empty(0, np.int8)), 0
+        del spec, merges
+        trim()
+
+    @functools.cached_property
+    def labels(self) -> dict[int, str]:
+        """For decoding."""
+        return {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
+
+    @functools.cached_property
+    def trie(self) -> dict[str, int]:
+        """For words that go alone."""
+        return self.beginnings()
 
     def compile_merges(self, merges: list[tuple[int, int, int]]) -> None:
         """One gadget for each merge, in order. born: -1 for base symbols."""
@@ -149,10 +167,10 @@ class Automaton:
             else:  # one label after itself: both of the above
                 state, label, until = self.right[state], self.left[label], s - 1
 
-    def _index(self) -> None:
-        """trie: every beginning of a label -> the longest label that it begins with; shorter: a label's next shorter one."""
+    def beginnings(self) -> dict[str, int]:
+        """Every beginning of a label -> the longest label that it begins with. Sets size, and shorter: a label's next shorter one."""
         spelled = {(s.removesuffix(WORD_END) + END if s.endswith(WORD_END) else s): i for s, i in self.ids.items() if i not in self.never}
-        self.trie: dict[str, int] = {}
+        trie: dict[str, int] = {}
         self.size, self.shorter = [0] * len(self.ids), [-1] * len(self.ids)
         for s, i in sorted(spelled.items(), key=lambda x: len(x[0])):
             self.size[i] = len(s)
@@ -160,15 +178,19 @@ class Automaton:
             for k in range(1, len(s)):
                 last = spelled.get(s[:k], last)
                 if last >= 0:
-                    self.trie.setdefault(s[:k], last)
+                    trie.setdefault(s[:k], last)
             self.shorter[i] = last
-            self.trie[s] = i
-        # the same by numbers: (node, byte) -> node in order, and each node's longest label
+            trie[s] = i
+        return trie
+
+    def _index(self) -> None:
+        """The beginnings by numbers: (node, byte) -> node in order, and each node's longest label."""
+        trie = self.beginnings()
         byte = {c: k for k, c in enumerate(byte_chars())} | {END: STOP}
-        nodes = {"": 0} | {s: k + 1 for k, s in enumerate(p for p in self.trie if set(p) <= byte.keys())}
-        steps = sorted((nodes[p[:-1]] * 512 + byte[p[-1]], k, self.trie[p]) for p, k in nodes.items() if p and p[:-1] in nodes)
+        nodes = {"": 0} | {s: k + 1 for k, s in enumerate(p for p in trie if set(p) <= byte.keys())}
+        steps = sorted((nodes[p[:-1]] * 512 + byte[p[-1]], k, trie[p]) for p, k in nodes.items() if p and p[:-1] in nodes)
         keys, to = (np.array([x[j] for x in steps], np.int64) for j in (0, 1))
-        self.steps = Table(keys, to)
+        self.steps = Table(keys, to.astype(np.int32))
         self.node_label = np.full(len(nodes), -1, np.int64)
         self.node_label[to] = [x[2] for x in steps]
         # the first two steps at once: both bytes -> node after them, else after the first; how many were taken
@@ -251,16 +273,23 @@ class Automaton:
         return got > 0
 
     def settle(self) -> None:
-        """Makes the table of arcs anew when many were added, or empties it when it is full."""
-        if len(self.arcs) > CACHE_ARCS:
-            self.arcs = {}
-        if len(self.arcs) > 1.05 * self.arcs_settled or not self.arcs:
-            self.arcs_settled = len(self.arcs)
-            self.arc_table = Table(*(np.fromiter(x, np.int64, len(self.arcs)) for x in (self.arcs.keys(), self.arcs.values())))
+        """Moves arcs to the table when many were added, or empties it when it is full."""
+        if self.arcs_settled + len(self.arcs) > CACHE_ARCS:
+            self.arcs, self.arc_table, self.arcs_settled = {}, Table(np.empty(0, np.int64), np.empty(0, np.int8)), 0
+        if len(self.arcs) > 0.05 * self.arcs_settled:
+            keys, values = (np.fromiter(x, t, len(self.arcs)) for x, t in ((self.arcs.keys(), np.int64), (self.arcs.values(), np.int8)))
+            new = self.arc_table.get(keys) < 0  # a word that goes alone may have added one again
+            before = self.arc_table.items()
+            keys, values = np.r_[before[0], keys[new]], np.r_[before[1], values[new]]
+            self.arcs, self.arc_table, self.arcs_settled = {}, Table(keys, values, dense=True), len(keys)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pre-split words, and where each word's end. All words stand one behind the other; a word's walker is at `at`, has come by the label
         `state` and tries `label`; out and before hold its path, dead the places from which no path goes on."""
+        if len(words) > SLICE_WORDS:
+            parts = [self.encode_words(words[k : k + SLICE_WORDS]) for k in range(0, len(words), SLICE_WORDS)]
+            before = np.cumsum([0, *(len(flat) for flat, _ in parts)])
+            return np.concatenate([flat for flat, _ in parts]), np.concatenate([ends + n for (_, ends), n in zip(parts, before[:-1], strict=True)])
         raw = [w.encode("utf-8", "replace") for w in words]
         if any(len(w) > LONG for w in raw):
             flat, ends = self.encode_words([w for w, b in zip(words, raw, strict=True) if len(b) <= LONG])
@@ -529,16 +558,15 @@ class TextIds:
 
     def blocks(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """For each text of an Arrow column, its ids."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
         low = 0
         while low < len(texts):
             high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK_BYTES, "right")))
-            yield from self.block(texts.slice(low, high - low))
+            yield from self.block(pc.fill_null(texts.slice(low, high - low).cast(pa.large_string()), ""))
             low = high
             trim()
 
-    def block(self, texts: pa.Array) -> list[np.ndarray]:
+    def block(self, texts: pa.Array) -> Iterator[np.ndarray]:
         self.forget()
         split = pc.ascii_split_whitespace(texts)  # with an empty run before white space at the start and after that at the end
         coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
@@ -549,10 +577,19 @@ class TextIds:
         finally:
             gc.enable()
         np.add.at(self.uses, flat, np.repeat(np.bincount(at, minlength=len(counts)), counts))
+        stops = np.cumsum(pc.list_value_length(split).to_numpy())
+        del split, coded
         ids, ends = gathered(self.ids, self.start[flat], self.size[flat])
         ends = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-        ids, ends = gathered(ids, ends[:-1][at], np.diff(ends)[at])
-        return np.split(ids, np.r_[0, ends][np.cumsum(pc.list_value_length(split).to_numpy())[:-1]])
+        start, size = ends[:-1], np.diff(ends)
+        # the ids of all runs, some texts at a time
+        low = first = 0
+        while low < len(stops):
+            high = max(low + 1, int(np.searchsorted(stops, first + SLICE_RUNS, "right")))
+            some = at[first : stops[high - 1]]
+            values, ends = gathered(ids, start[some], size[some])
+            yield from np.split(values, np.r_[0, ends][stops[low : high - 1] - first])
+            low, first = high, stops[high - 1]
 
 
 KEPT += [Runs.kept, TextIds.kept]

@@ -16,6 +16,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,7 +112,9 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     # at most `length` rows come here
     counts = {r["length"]: r["n"] for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = slots_of(pack_histogram(counts, length))
-    table = spark.createDataFrame(slots, "length long, lo long, hi long, base long, at long, times long")
+    # as an Arrow table: rows of Python objects would start workers of their own on the executors
+    names, columns = ["length", "lo", "hi", "base", "at", "times"], np.array(slots, np.int64).reshape(-1, 6).T
+    table = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = by_chunk.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "chunk").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")

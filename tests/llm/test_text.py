@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -97,6 +98,36 @@ def test_packing_lets_go_of_what_other_operators_keep(monkeypatch, automaton):
     assert len(list(known.blocks(pa.array(["some words"] * 3)))) == len(calls) == 3  # memory goes back after each block
 
 
+def test_memory_of_a_block_does_not_follow_its_runs(automaton, library):
+    texts = [" ".join(random.Random(k).choices(["some", "words", "again.", "it's"], k=20_000)) for k in range(40)]
+    known = bpe.TextIds(automaton)
+    tracemalloc.start()
+    try:
+        sizes = [len(x) for x in known.blocks(pa.array(texts))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert peak < 35_000_000  # 54 MB when the ids of all of a block's runs were taken at once
+
+
+def test_words_are_encoded_in_slices(automaton, monkeypatch):
+    words = [f"w{'abcdefghij'[k % 10] * (k % 80)}{k}" for k in range(300)]
+    flat, ends = automaton.encode_words(words)
+    assert flat.tolist() == [i for w in words for i in automaton.encode_word(w)]
+    monkeypatch.setattr(bpe, "SLICE_WORDS", 7)
+    again = automaton.encode_words(words)
+    assert (flat.tolist(), ends.tolist()) == tuple(x.tolist() for x in again)
+
+
+def test_packing_starts_no_workers_for_its_places(spark, monkeypatch):
+    made, create = [], type(spark).createDataFrame
+    docs = frame(spark, [*enumerate(TEXTS)])
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: made.append(create(*a, **k)) or made[-1])
+    assert packing.packed(docs, bpe.tokenizer_path()).count() >= len(TEXTS)
+    assert made and not any("PythonRDD" in df._jdf.rdd().toDebugString() for df in made)
+
+
 def test_encoding_and_decoding(spark, library, automaton):
     rows = [*enumerate(TEXTS), (0, "again"), (None, "no id")]
     got = [tuple(r) for r in bpe.encoded(frame(spark, rows), bpe.tokenizer_path()).collect()]
