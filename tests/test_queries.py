@@ -60,3 +60,7 @@ def held_against_sql(spark, con, folder, name):
 
 def test_titles_cut_inside_a_reference(spark, tmp_path):
     held_against_sql(spark, cut_pages(spark, tmp_path), tmp_path, "page_titles")
+
+
+def test_visible_texts_cut_inside_a_reference(spark, tmp_path):
+    held_against_sql(spark, cut_pages(spark, tmp_path), tmp_path, "visible_texts")
