@@ -54,9 +54,10 @@ def bad_values(targets: DataFrame) -> DataFrame:
 def missing_artifacts(targets: DataFrame, files: DataFrame, names: tuple[str, ...] = ("page.html", "page.txt", "meta.json")) -> DataFrame:
     """files: slug, page_type, name. Of targets that have any artifact, those that lack one."""
     wanted = targets.filter(F.trim("url") != "").select(slug(F.trim("county")).alias("slug"), F.trim("page_type").alias("page_type"))
-    there = wanted.join(files.select("slug", "page_type").distinct(), ["slug", "page_type"], "left_semi")
-    each = there.select("slug", "page_type", F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
-    return each.join(files, ["slug", "page_type", "name"], "left_anti")
+    # One row for each target that has any; Spark's estimates don't count what explode makes, so the join is never left to broadcast.
+    found = files.groupBy("slug", "page_type").agg(F.collect_set(F.when(F.col("name").isin(*names), F.col("name"))).alias("found"))
+    lacking = F.array_except(F.array(*[F.lit(n) for n in names]), "found")
+    return wanted.join(found.hint("merge"), ["slug", "page_type"]).select("slug", "page_type", F.explode(lacking).alias("name"))
 
 
 def artifacts_of_gaps(targets: DataFrame, files: DataFrame) -> DataFrame:
