@@ -51,6 +51,47 @@ def test_blocks_of_queries_and_parts_of_leaves_change_nothing(spark, monkeypatch
     assert [tuple(r) for r in neighbours.nearest(df).orderBy("query_id", "rank").collect()] == whole and len(whole) > 300
 
 
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_rows_are_sent_once_however_many_leaves_queries_open(spark):
+    rng = np.random.default_rng(5)
+    n = 4000
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(n)], "vec_id long, embedding array<double>").cache()
+    df.count()
+    before = shuffled(spark)
+    assert neighbours.nearest(df).count() == 10 * n // 100
+    # rows once, and once for the sample; queries once to each part; ten of each query from each part. By leaves it was 65,853
+    assert shuffled(spark) - before < 3 * n + 12 * 32 * n // 100
+
+
+def test_contenders_hold_the_nearest_of_close_and_huge_vectors():
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1, 16))
+    for x in (base + 1e-9 * rng.normal(size=(400, 16)), np.repeat(base, 400, 0), 1e200 * rng.normal(size=(400, 16)), 1e-170 * rng.normal(size=(400, 16)), rng.normal(size=(400, 16)) * 10.0 ** rng.integers(-8, 8, (400, 1))):
+        q, may = x[:70:2], rng.random((35, 400)) < 0.7
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((x[None] - q[:, None]) ** 2).sum(2))
+            got = neighbours.contenders(q, x, (x * x).sum(1), may, 10)
+        d[~may] = np.inf
+        for k in range(len(q)):
+            tenth = np.sort(d[k])[9]
+            assert got[k][may[k] & (d[k] <= tenth)].all() and not got[k][~may[k]].any()
+    q, x = rng.normal(size=(64, 16)), rng.normal(size=(400, 16))
+    assert neighbours.contenders(q, x, (x * x).sum(1), np.ones((64, 400), bool), 10).sum() == 640
+
+
+def test_rows_seen_by_leaves():
+    rng = np.random.default_rng(7)
+    opened, at = (rng.random((50, 3, 8)) < 0.2).astype(np.uint8), rng.integers(0, 8, (200, 3)).astype(np.int16)
+    got = neighbours.seen(opened, at)
+    for q in range(50):
+        assert [(int(x) >> q) & 1 for x in got] == [int(any(opened[q, t, at[r, t]] for t in range(3))) for r in range(200)]
+
+
 def test_small_and_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, score double"
     nan, inf = float("nan"), float("inf")
