@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import uuid
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +84,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def mounted_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. Workers map its files, so the shared folder must be mounted on every machine."""
+    url = urlparse(shared_dir(spark))
+    if url.scheme not in ("", "file"):
+        raise ValueError(f"arrays are mapped into memory: spark.checkpoint.dir must be a mounted folder, not {url.scheme}://")
+    os.makedirs(path := f"{url.path.rstrip('/')}/{name}-{uuid.uuid4().hex}", exist_ok=True)
+    return path
+
+
 class Scratch:
     """Tables of Parquet that one operator writes between its steps, in the shared folder. A step that reads one depends
     on its files alone, so a lost executor costs no more than that step; those that no later step reads are dropped."""

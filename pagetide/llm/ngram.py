@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, lower_words_of, mix, shared_dir
+from .common import crc_mod, documents, lower_words_of, mix, mounted_folder
 
 END = b"\n"  # no word; after each text, and the context of its first word
 TASK_WORDS, TASK_PAIRS = 400_000, 2_500_000  # what a task counts before it sends
@@ -275,19 +274,10 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.0), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def model_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one. Workers map its files, so the shared folder must be mounted on every machine."""
-    url = urlparse(shared_dir(spark))
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"the model's arrays are mapped into memory: spark.checkpoint.dir must be a mounted folder, not {url.scheme}://")
-    os.makedirs(path := f"{url.path.rstrip('/')}/ngram-{uuid.uuid4().hex}", exist_ok=True)
-    return path
-
-
 def trained(train: DataFrame) -> Folder:
     """The model of train(text). Null texts count as empty. Without rows, the model knows no word."""
     spark = train.sparkSession
-    folder = Folder(model_folder(spark), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    folder = Folder(mounted_folder(spark, "ngram"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     parts = {r["part"]: r for r in count_words(train, folder)}
     if any(r["wide"] for r in parts.values()):
         raise ValueError("a word occurs over 2 ** 32 times: its counts need wider arrays")

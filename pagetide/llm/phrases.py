@@ -2,7 +2,8 @@
 
 Words that are frequent in their language get numbers; a text becomes its numbers, with 0 for what no frequent phrase can
 hold (a rare word, the end of a piece). A phrase of k words can be frequent only if both its parts of k - 1 words are, so
-frequent phrases of k - 1 words are compiled into double-array tries in slices of bounded size, which are broadcast; numpy
+frequent phrases of k - 1 words are compiled into double-array tries in slices of bounded size: tasks compile one each and put
+it into the shared folder, from where all workers map it, so the driver has no more of them than their names. numpy
 moves the states of all positions of a block one level down at once, and what no longer lies in any accepting state is
 squeezed out of the block. Two accepting states one word apart are a candidate; a block sums its candidates, and Spark
 sums those of all blocks. Candidates come from the text and not from a join of phrases with each other, which would make
@@ -14,8 +15,13 @@ two parts, so counts are handed down, two equi-joins a level.
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -24,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, mix, release
+from .common import Scratch, documents, mix, mounted_folder, release
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 SLICE_ARCS = 1 << 17  # arcs of a slice of a trie (more only where one state has more)
-GROUP_SLICES = 32  # slices that a task holds at once; further ones are further passes over the blocks
+GROUP_SLICES = 256  # slices that a task maps at once; further ones are further passes over the blocks
+CROWDED = 64  # arcs of a state for which a place is looked for everywhere
+FILE_WORDS = 1_000_000  # frequent words whose numbers lie in one file (about)
 BLOCK_WORDS = 1_000_000  # positions of a block
 ROW_WORDS = 8192  # positions of a row of the table of blocks; Parquet holds and compresses some hundred rows at once
 SHARD_WORDS = 2_000_000  # positions whose candidates a shard holds
@@ -56,8 +64,17 @@ def word_key(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, crc32(lang.encode()))
 
 
+def first_fit(taken: np.ndarray, own: np.ndarray) -> int:
+    """The first place from which a state's words all meet free ones; -1 for none. Takes memory for the places alone."""
+    fits = np.arange(len(taken) - int(own.max()))
+    for w in own:
+        fits = fits[~taken[fits + w]]
+    return int(fits[0]) if len(fits) else -1
+
+
 class Slice:
-    """A double-array over some parents: the arc of a parent by a word lies at base[parent] + word, if check says so there."""
+    """A double-array over some parents: the arc of a parent by a word lies at base[parent] + word, if check says so there.
+    States with many arcs that find no place in it (a window of nearly all words would go to each) keep theirs as codes in order."""
 
     def __init__(self, parent: np.ndarray, word: np.ndarray, value: np.ndarray):
         """Arcs in the order of (parent, word); values count from 1."""
@@ -90,33 +107,100 @@ class Slice:
                 todo, labels = todo[left], labels[left]
                 if not len(todo):
                     break
+            if size > CROWDED:
+                continue
             for k, own in zip(todo, labels, strict=True):  # the first place that fits; behind all others one always does
-                while True:
-                    open_at = ~taken[: len(taken) - int(own.max())]
-                    open_at = ~np.logical_or.reduce([taken[int(w) : int(w) + len(open_at)] for w in own])
-                    if open_at.any():
-                        break
-                    taken = np.append(taken, np.zeros(len(taken), bool))
-                base[k] = int(np.argmax(open_at))
+                base[k] = first_fit(taken, own)
+                if base[k] < 0:
+                    base[k] = len(taken)
+                    taken = np.append(taken, np.zeros(max(len(taken), int(own.max()) + 1), bool))
                 taken[base[k] + own] = True
-        self.base = np.zeros(self.last - self.first + 1, np.int64)
+        self.base = np.zeros(self.last - self.first + 1, np.int32)
         self.base[parent[starts] - self.first] = base
-        self.check, self.value = np.full(len(taken), -1, np.int64), np.zeros(len(taken), np.int32)
-        at = np.repeat(base, sizes) + word
-        self.check[at], self.value[at] = parent, value
+        base = np.repeat(base, sizes)
+        rest = base < 0
+        self.codes, self.behind = parent[rest] << 32 | word[rest], value[rest].astype(np.int32)
+        at = (base + word)[~rest]
+        length = int(at.max(initial=0)) + 2  # the last place stays free
+        self.check, self.value = np.full(length, -1, np.int32), np.zeros(length, np.int32)
+        self.check[at], self.value[at] = parent[~rest], value[~rest]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The states behind arcs; 0 for none. States must be between first and last."""
-        at = np.minimum(self.base[state - self.first] + word, len(self.check) - 1)
-        return np.where(self.check[at] == state, self.value[at], 0)
+        base = self.base[state - self.first]
+        at = np.minimum(base + word, len(self.check) - 1)
+        out = np.where(self.check[at] == state, self.value[at], 0)
+        if len(self.codes):
+            own = np.flatnonzero(base < 0)
+            codes = state[own] << 32 | word[own]
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            out[own] = np.where(self.codes[at] == codes, self.behind[at], 0)
+        return out
+
+
+@dataclass
+class Stored:
+    """A file of numbers in the shared folder: a slice of a trie, or numbers of words. Such files have disjoint ranges."""
+
+    path: str
+    first: int
+    last: int
+    sizes: tuple[int, int]
+
+    def slice(self) -> Slice:
+        """The slice that the file holds, mapped."""
+        s = Slice.__new__(Slice)
+        raw = np.memmap(self.path, np.int32, "r").view(np.ndarray)
+        s.first, s.last, (n, states) = self.first, self.last, self.sizes
+        codes, s.base, s.behind, rest = np.split(raw, np.cumsum([2 * n, states, n]))
+        s.codes, (s.check, s.value) = codes.view(np.int64), np.split(rest, 2)
+        return s
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys in order, and the numbers of their words."""
+        return np.memmap(self.path, np.int64, "r", 0, self.sizes[0]).view(np.ndarray), np.memmap(self.path, np.int32, "r", 8 * self.sizes[0], self.sizes[1]).view(np.ndarray)
+
+
+def kept_files(files: DataFrame, folder: str) -> list[Stored]:
+    return [Stored(f"{folder}/{r['name']}", r["first"], r["last"], (r["a"], r["b"])) for r in sorted(files.collect(), key=lambda r: r["first"])]
+
+
+def remove(files: list[Stored]) -> None:
+    for f in files:
+        os.unlink(f.path)
+
+
+def put_file(folder: str, first: int, last: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """Writes arrays behind each other; the row that says where."""
+    name = uuid.uuid4().hex
+    with open(f"{folder}/{name}", "wb") as f:
+        for x in arrays:
+            x.tofile(f)
+    row = (name, first, last, len(arrays[0]), len(arrays[1]))
+    return pa.record_batch([pa.array([x]) for x in row], FILE_COLUMNS)
+
+
+FILE_COLUMNS = ["name", "first", "last", "a", "b"]
+FILE = "name string, first long, last long, a long, b long"
 
 
-def advance(slices: list, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+def places(slices: list[Slice], state: np.ndarray) -> np.ndarray:
+    """For each state the slice whose range it lies in; -1 for none. Slices in order."""
+    k = np.searchsorted(np.array([s.first for s in slices], np.int64), state, "right") - 1
+    k[state > np.array([s.last for s in slices], np.int64)[k]] = -1
+    return k
+
+
+def advance(slices: list[Slice], state: np.ndarray, word: np.ndarray) -> np.ndarray:
     """All positions one level down, each in the slice that has its state; 0 where there is none."""
     out = np.zeros(len(state), np.int32)
-    for s in slices:
-        own = np.flatnonzero((state >= s.value.first) & (state <= s.value.last) & (word > 0))
-        out[own] = s.value.step(state[own].astype(np.int64), word[own].astype(np.int64))
+    at = np.flatnonzero((state > 0) & (word > 0))
+    k = places(slices, state[at])
+    order = np.argsort(k, kind="stable")
+    at, bounds = at[order], np.searchsorted(k[order], np.arange(len(slices) + 1))
+    for s, a, b in zip(slices, bounds, bounds[1:], strict=False):
+        own = at[a:b]
+        out[own] = s.step(state[own].astype(np.int64), word[own].astype(np.int64))
     return out
 
 
@@ -199,34 +283,49 @@ def arrays_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
         yield np.concatenate(held[0]), np.concatenate(held[1])
 
 
-def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """words, states: texts in numbers of frequent words, in blocks; the states of single words are their numbers."""
-    spark = docs.sparkSession
-    keys, ids = [], []
-    for r in words.select("lang", "word", "id").toLocalIterator():
-        keys.append(word_key(r["lang"], r["word"].encode()))
-        ids.append(r["id"])
-    keys, ids = np.array(keys, np.uint64), np.array(ids, np.int32)
-    order = np.argsort(keys)
-    table = spark.sparkContext.broadcast((keys[order], ids[order]))
+def stored_words(words: DataFrame, count: int, folder: str) -> list[Stored]:
+    """Keys and numbers of words(lang, word, id) in files by ranges of keys."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [word_key(lang, w.as_py()) for lang, w in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True)]
+            yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), b.column(2)], ["key", "id"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            keys, ids = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
+            yield put_file(folder, int(keys[0]), int(keys[-1]), [keys, ids.astype(np.int32)])
+
+    by_key = words.select("lang", "word", "id").mapInArrow(keyed, "key long, id long").repartitionByRange(max(8, -(-count // FILE_WORDS)), "key")
+    return kept_files(by_key.sortWithinPartitions("key").mapInArrow(write, FILE), folder)
+
+
+def encoded(docs: DataFrame, files: list[Stored]) -> DataFrame:
+    """words, states: texts in numbers of frequent words, in blocks; the states of single words are their numbers.
+    files: of stored_words()."""
+    firsts = [f.first for f in files]
 
     class Numbers(dict):
-        def __init__(self, lang: str):
+        def __init__(self, lang: str, tables: list):
             super().__init__({END: 0})
-            self.lang = lang
+            self.lang, self.tables = lang, tables
 
         def __missing__(self, word: bytes) -> int:
             if len(self) >= CACHE_WORDS:
                 self.clear()
                 self[END] = 0
-            keys, ids = table.value
-            key = np.uint64(word_key(self.lang, word))
-            at = int(np.searchsorted(keys, key))
-            out = self[word] = int(ids[at]) if at < len(keys) and keys[at] == key else 0
+            key = np.uint64(word_key(self.lang, word)).view(np.int64)
+            out, k = 0, bisect_right(firsts, key) - 1
+            if k >= 0:
+                keys, ids = self.tables[k]
+                at = int(np.searchsorted(keys, key))
+                out = int(ids[at]) if at < len(keys) and keys[at] == key else 0
+            self[word] = out
             return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Numbers] = {}
+        tables = [f.numbers() for f in files]
         held, size = [], 0
 
         def block() -> pa.RecordBatch:
@@ -236,7 +335,7 @@ def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                numbers = known.setdefault(lang, Numbers(lang)).__getitem__
+                numbers = known.setdefault(lang, Numbers(lang, tables)).__getitem__
                 for words in tokens_of(text.as_py()):
                     held.append(np.fromiter(map(numbers, words), np.int32, len(words)))
                     size += len(words)
@@ -295,40 +394,46 @@ def count_candidates(blocks: DataFrame, least: int) -> DataFrame:
     return blocks.mapInArrow(run, "shard long, codes binary, counts binary, size long").groupBy("shard").applyInArrow(merge, "left long, right long, n long")
 
 
-def slices_of(arcs: DataFrame) -> Iterator[Slice]:
-    """Tries of arcs(left, word, id), one slice after another; the driver holds one slice."""
-    held: list[tuple[int, int, int]] = []
-    for r in arcs.select("left", "word", "id").orderBy("left", "word").toLocalIterator():
-        if len(held) >= SLICE_ARCS and r["left"] != held[-1][0]:
-            yield Slice(*np.array(held, np.int64).T)
-            held = []
-        held.append((r["left"], r["word"], r["id"]))
-    if held:
-        yield Slice(*np.array(held, np.int64).T)
+def slices_of(arcs: DataFrame, count: int, folder: str) -> list[Stored]:
+    """Tries of arcs(left, word, id) in slices, in files; a task compiles those of a range of states."""
+    most = SLICE_ARCS
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            arcs = [np.concatenate([b.column(c).to_numpy() for b in held]).astype(np.int64) for c in range(3)]
+            starts = np.flatnonzero(np.append(True, arcs[0][1:] != arcs[0][:-1]))
+            near = np.searchsorted(starts, np.arange(most, len(arcs[0]), most))
+            cuts = np.unique(np.append(starts[near[near < len(starts)]], len(arcs[0]))).tolist()
+            for a, b in zip([0, *cuts], cuts, strict=False):
+                s = Slice(*(x[a:b] for x in arcs))
+                yield put_file(folder, s.first, s.last, [s.codes, s.base, s.behind, s.check, s.value])
+        release()
+
+    ranges = arcs.select("left", "word", "id").repartitionByRange(-(-count // most), "left").sortWithinPartitions("left", "word")
+    return kept_files(ranges.mapInArrow(compiled, FILE), folder)
 
 
-def moved(blocks: DataFrame, group: list, depth: int, last: bool) -> DataFrame:
+def moved(blocks: DataFrame, group: list[Stored], depth: int, last: bool) -> DataFrame:
     """Blocks with states one level down, of phrases of `depth` words, as far as the group's slices have them. Between
     groups a state that was moved is negative; after the last group those that no slice has moved go, and what they held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = [s.slice() for s in group]
         for words, state in arrays_of(batches):
             after = np.zeros(len(words), np.int32)
             after[: len(words) - depth + 1] = words[depth - 1 :]
             out = np.where(state < 0, state, 0)  # moved before
-            new = advance(group, np.maximum(state, 0), after)
-            own = np.zeros(len(state), bool)
-            for s in group:
-                own |= (state >= s.value.first) & (state <= s.value.last)
+            new = advance(slices, np.maximum(state, 0), after)
+            own = (state > 0) & (places(slices, state) >= 0)
             out = np.where(own, -new, np.where(state < 0, out, state))
             yield block_rows(*squeezed(words, np.maximum(-out, 0), depth)) if last else block_rows(words, out)
 
     return blocks.mapInArrow(run, "words binary, states binary")
 
 
-def grouped(slices: Iterator[Slice], size: int = GROUP_SLICES) -> Iterator[tuple[list[Slice], bool]]:
+def grouped(slices: list[Stored], size: int = GROUP_SLICES) -> Iterator[tuple[list[Stored], bool]]:
     """Groups of slices, and whether one is the last."""
-    held: list[Slice] = []
+    held: list[Stored] = []
     for s in slices:
         if len(held) == size:
             yield held, False
@@ -349,9 +454,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     docs = docs.select(F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), "text")
     counts = ids.put("counts", count_words(docs))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    words, _ = numbered(ids, "words", counts.filter(F.col("n") >= least), "lang", "word")
+    words, size = numbered(ids, "words", counts.filter(F.col("n") >= least), "lang", "word")
     known = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), F.col("id").alias("word"), F.lit(1).alias("words"), F.col("n").alias("a"), F.array("n").alias("first"), F.array("n").alias("last"))
-    blocks = scratch.put("blocks", encoded(docs, words))
+    folder = mounted_folder(spark, "phrases")
+    files = stored_words(words, size, folder)
+    blocks = scratch.put("blocks", encoded(docs, files))
+    remove(files)
     found: list[DataFrame] = []
     for k in range(2, longest + 1):
         level, size = numbered(ids, f"level{k}", count_candidates(blocks, least), "left", "right")
@@ -368,11 +476,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         known = new
         if k == longest or not size:
             break
-        for group, last in grouped(slices_of(new.select("left", "word", "id"))):
-            sent = [spark.sparkContext.broadcast(s) for s in group]
-            blocks = scratch.put("blocks", moved(blocks, sent, k, last))
-            for s in sent:
-                s.destroy()
+        files = slices_of(new, size, folder)
+        for group, last in grouped(files):
+            blocks = scratch.put("blocks", moved(blocks, group, k, last))
+        remove(files)
+    shutil.rmtree(folder, ignore_errors=True)
     scratch.drop("blocks")
     found[-1] = found[-1].withColumn("maximal", F.lit(True))
     cols = ["lang", "phrase", "words", "a", "first", "last", "maximal"]

@@ -1,6 +1,7 @@
 """Collocations against SQL on tables and against plain counting on small texts."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -77,6 +78,30 @@ def test_double_array_finds_what_was_put_in():
     assert s.step(p, w).tolist() == [known.get(a, 0) for a in zip(p.tolist(), w.tolist(), strict=True)]
 
 
+def test_states_with_many_arcs_take_little_memory():
+    """Random words of a common word's state find no place beside those of another; the search took memory for places times words."""
+    rng = np.random.default_rng(6)
+    sizes = [*[4000] * 8, *[20] * 300, 1]
+    parent = np.repeat(np.arange(3, 3 + len(sizes)), sizes)
+    word = np.concatenate([np.sort(rng.choice(40000, n, replace=False)) + 1 for n in sizes])
+    tracemalloc.start()
+    s = phrases.Slice(parent, word, np.arange(1, len(parent) + 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert np.array_equal(s.step(parent, word), np.arange(1, len(parent) + 1))
+    known = {a: k for k, a in enumerate(zip(parent.tolist(), word.tolist(), strict=True), 1)}
+    p, w = rng.integers(parent[0], parent[-1] + 1, 50000), rng.integers(1, 50000, 50000)
+    assert s.step(p, w).tolist() == [known.get(a, 0) for a in zip(p.tolist(), w.tolist(), strict=True)]
+
+
+def test_the_driver_compiles_no_slice(spark, monkeypatch):
+    monkeypatch.setattr(phrases.Slice, "__init__", None)  # in the driver; workers have their own
+    rows = list(texts(4, 60))
+    df = spark.createDataFrame([(i, t, lang, "", 0) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    assert {tuple(r) for r in phrases.collocations(df, 3).collect()} == brute(rows, 3)
+
+
 def test_squeezing_keeps_phrases_apart():
     words, state = np.array([1, 2, 0, 3, 4, 5, 6, 0, 7], np.int32), np.array([9, 0, 0, 0, 8, 0, 0, 0, 0], np.int32)
     assert [x.tolist() for x in phrases.squeezed(words, state, 2)] == [[1, 2, 0, 4, 5, 0], [9, 0, 0, 8, 0, 0]]
